@@ -1,6 +1,6 @@
 """Toxicity scores: a regularised word classifier that must not react to identity terms.
 
-* A text's features are the hashed lower-case words it holds (present or not). Features that are
+* A text's features are the hashed lower-case words it holds, and their beginnings (present or not). Features that are
   too rare, or as frequent among toxic as among other labelled texts, weigh nothing.
 * Logistic regression with an L2 penalty and the counterfactual penalty: in every sentence of a
   labelled text that names an identity term, the term is swapped for another term of its group,
@@ -31,10 +31,12 @@ from pyspark.sql import functions as F
 from chronoforge.llm.common import held_out
 
 BUCKETS = 1 << 18
-SAMPLE = 5000
-#: Least number of labelled texts that hold a feature, and least |z| of its log odds ratio.
-LEAST_TEXTS, LEAST_Z = 5, 4.0
-L2, COUNTERFACTUAL = 2.0, 20.0
+SAMPLE = 4000
+#: Words count by themselves and by their beginnings of these lengths (inflected languages).
+BEGINNINGS = (4, 5, 6)
+#: Least number of labelled texts that hold a feature, and its least likelihood ratio statistic.
+LEAST_TEXTS, LEAST_G = 4, 15.0
+L2, COUNTERFACTUAL = 0.5, 20.0
 THRESHOLD = 0.3
 
 # Identity terms by group; terms of a group are swapped for each other.
@@ -53,17 +55,25 @@ _sentences = re.compile(r"[.!?\n]+")
 
 
 class Buckets(dict):
-    """Feature number of each word seen; starts anew when large."""
+    """Feature numbers of each word seen: the word and its beginnings; starts anew when large.
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+    wanted: only these features, all others weigh nothing.
+    """
+
+    def __init__(self, wanted: set[int] | None = None):
+        self.wanted = wanted
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > 500_000:
             self.clear()
-        self[word] = b = zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
-        return b
+        parts = [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)]
+        got = tuple(zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in parts)
+        self[word] = got = got if self.wanted is None else tuple(f for f in got if f in self.wanted)
+        return got
 
 
 def features(text: str | None, buckets: Buckets) -> set[int]:
-    return {buckets[w] for w in set(_words.findall((text or "").lower()))}
+    return set().union(*filter(None, map(buckets.__getitem__, set(_words.findall((text or "").lower())))))
 
 
 def swaps(text: str | None) -> Counter:
@@ -86,8 +96,9 @@ class Model:
         self.bias, self.weights = bias, {}
 
     def logits(self, texts, buckets: Buckets) -> np.ndarray:
+        """buckets: of the weights' features alone."""
         w = self.weights
-        return np.array([self.bias + sum(w[f] for f in w.keys() & features(t, buckets)) for t in texts], float)
+        return np.array([self.bias + sum(w[f] for f in sorted(features(t, buckets))) for t in texts], float)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -124,20 +135,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     y = got["y"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return model
-    flat = np.concatenate([np.asarray(f, np.int64) for f in got["features"]] or [np.zeros(0, np.int64)])
-    row = np.repeat(np.arange(len(got)), [len(f) for f in got["features"]])
-    # features worth a weight: frequent enough, log odds ratio far from 0
+    flat = np.concatenate([np.zeros(0, np.int32), *got["features"]])
+    row = np.repeat(np.arange(len(got), dtype=np.int32), [len(f) for f in got["features"]])
+    # features worth a weight: frequent enough, and held by one class more often than chance explains
     pos, neg = y.sum(), len(y) - y.sum()
     a = np.bincount(flat, weights=y[row], minlength=BUCKETS)
-    b = np.bincount(flat, minlength=BUCKETS) - a
-    z = np.log((a + 0.5) * (neg - b + 0.5) / ((b + 0.5) * (pos - a + 0.5)))
-    z /= np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (pos - a + 0.5) + 1 / (neg - b + 0.5))
+    both = np.bincount(flat, minlength=BUCKETS)
+    g = np.zeros(BUCKETS)
+    for seen, held, n in ((a, both, pos), (both - a, both, neg), (pos - a, len(y) - both, pos), (neg - both + a, len(y) - both, neg)):
+        expected = held * n / len(y)
+        g += 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0)
     pairs: Counter = Counter()
     for s in got["swaps"]:
         for p in s:
             t, o, n = p.split(" ")
-            pairs[Buckets()[t], Buckets()[o]] += int(n)
-    used = np.flatnonzero((a + b >= LEAST_TEXTS) & (np.abs(z) >= LEAST_Z))
+            pairs[Buckets()[t][0], Buckets()[o][0]] += int(n)
+    used = np.flatnonzero((both >= LEAST_TEXTS) & (g >= LEAST_G))
     at = np.full(BUCKETS, -1)
     at[used] = np.arange(len(used))
     keep = at[flat] >= 0
@@ -197,7 +210,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = Buckets()
+        buckets = Buckets(set(model.weights))
         for b in batches:
             s = _sigmoid(model.logits(b.column(1).to_pylist(), buckets))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
