@@ -1,6 +1,435 @@
-def queries():
-    return {}
+"""One query per operator on timelines, each with the SQL that states it."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronoforge.functions.data_types import SOURCES, source_of
+from chronoforge.functions.schema import EVENT_COLUMNS, EXPORT_COLUMNS, FREQUENCY_COLUMNS, SEARCH_COLUMNS
+from chronoforge.functions.text import MACB_JSON, MACB_OTHER, highlight, macb
+from chronoforge.functions.times import drop_offset, filetime_text, iso_to_utc, l2t_date, l2t_time
+from chronoforge.operators import aggregates, edits, pages, predicates
+from chronoforge.operators.predicates import Request, predicate
+from chronoforge.plans.timeline_view import NOTES_SQL, TIMELINE_SQL, notes, timeline
+from chronoforge.sources import dynamic, jsonl, l2t, store, tln
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+COLUMNS = ", ".join(["id", *(f'"{c}"' for c in EVENT_COLUMNS)])
+DAY = ("2024-01-05", "2024-01-12")
+IN_DAYS = "datetime >= '2024-01-05 00:00:00' AND datetime <= '2024-01-12 23:59:59'"
+REAL = "datetime > '1970-01-01' AND datetime < '2100-01-01'"
+
+
+def query(sql: str, timeline_sql: bool = True) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        _SQL[f.__name__] = TIMELINE_SQL + sql if timeline_sql else sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _found(spark: SparkSession, sf: str, request: Request) -> DataFrame:
+    return pages.matching(timeline(spark, sf), predicate(request))
+
+
+# -- filters
+
+
+@query(f"SELECT {COLUMNS} FROM tl WHERE source = 'WEBHIST' AND host != 'HOST3' AND {IN_DAYS}")
+def filter_eq_and(spark, sf):
+    return _found(spark, sf, Request([("source", "=", "WEBHIST"), ("host", "!=", "HOST3")], date_from=DAY[0], date_to=DAY[1]))
+
+
+@query(f"SELECT {COLUMNS} FROM tl WHERE source = 'REG' OR \"user\" = 'user7' OR bookmark = 1")
+def filter_or(spark, sf):
+    return _found(spark, sf, Request([("source", "=", "REG"), ("user", "=", "user7"), ("nosuch", "=", "x")], "OR", bookmarked=True))
+
+
+@query(f"SELECT {COLUMNS} FROM tl WHERE (source = 'REG' OR \"user\" = 'user7') AND bookmark = 1")
+def filter_or_within_scopes(spark, sf):
+    return _found(spark, sf, Request([("source", "=", "REG"), ("user", "=", "user7")], "OR", bookmarked=True, and_scopes=True))
+
+
+@query(f"SELECT {COLUMNS} FROM tl WHERE filename ILIKE '%c:\\users\\USER1%' AND tag NOT ILIKE '%malware%'")
+def filter_like_backslash(spark, sf):
+    return _found(spark, sf, Request([("filename", "LIKE", "c:\\users\\USER1"), ("tag", "NOT LIKE", "malware")]))
+
+
+@query(f"SELECT {COLUMNS} FROM tl WHERE datetime >= '2024-01-01 00:00:00' AND datetime <= '2024-01-31 23:59:59'")
+def date_range_partial(spark, sf):
+    return _found(spark, sf, Request([("datetime", ">=", "2024"), ("datetime", "<=", "2024-01")]))
+
+
+@query(f"SELECT {COLUMNS} FROM tl WHERE datetime BETWEEN '2024-01-10 00:00:00' AND '2024-01-10 11:59:59'")
+def date_between(spark, sf):
+    return pages.matching(timeline(spark, sf), predicates.between("2024-01-10 00:00:00", "2024-01-10 11:59:59"))
+
+
+@query(f"SELECT {COLUMNS} FROM tl WHERE " + " OR ".join(f"\"{c}\" ILIKE '%site/4%'" for c in SEARCH_COLUMNS))
+def keyword_search(spark, sf):
+    return _found(spark, sf, Request(search="SITE/4"))
+
+
+@query("SELECT doc_id, length(text) AS n FROM documents WHERE text ILIKE '%tion the%'", timeline_sql=False)
+def keyword_large_texts(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    return docs.filter(predicates.like(F.col("text"), "Tion THE")).select("doc_id", F.length("text").cast("long").alias("n"))
+
+
+@query(f"SELECT {COLUMNS} FROM tl WHERE bookmark = 1")
+def bookmark_only(spark, sf):
+    return _found(spark, sf, Request(bookmarked=True))
+
+
+@query(f"SELECT {COLUMNS} FROM tl WHERE (\"desc\" ILIKE 'view%' AND filename ILIKE '%C:\\users%' AND \"offset\" = 0) OR \"user\" IN ('user3', 'it''s')")
+def raw_where(spark, sf):
+    where = "(desc LIKE 'view%' AND filename like '%C:\\users%' AND \"offset\" = 0) OR user IN ('user3', 'it''s')"
+    return pages.matching(timeline(spark, sf), predicates.raw_where(where))
+
+
+@query(f"SELECT {COLUMNS} FROM tl WHERE {REAL}")
+def junk_dates_excluded(spark, sf):
+    return pages.matching(timeline(spark, sf), predicates.real_dates())
+
+
+@query("SELECT id, regexp_replace(\"desc\", '(?i)(value)', '<mark>\\1</mark>', 'g') AS marked FROM tl WHERE \"desc\" ILIKE '%value 1%'")
+def keyword_highlight(spark, sf):
+    rows = _found(spark, sf, Request([("desc", "LIKE", "VALUE 1")]))
+    return rows.select("id", highlight(F.col("desc"), "VALUE").alias("marked"))
+
+
+# -- pages
+
+
+@query(f"SELECT {COLUMNS} FROM tl WHERE source = 'WEBHIST' ORDER BY datetime, id LIMIT 100 OFFSET 100")
+def page_2(spark, sf):
+    return pages.query(timeline(spark, sf), Request([("source", "=", "WEBHIST")], page=2, page_size=100))
+
+
+@query(f"SELECT {COLUMNS} FROM tl WHERE datetime > '2024-01-15 00:00:00' OR (datetime = '2024-01-15 00:00:00' AND id > 7) ORDER BY datetime, id LIMIT 50")
+def page_after_key(spark, sf):
+    return pages.page_after(timeline(spark, sf), "2024-01-15 00:00:00", 7, 50)
+
+
+@query(f"SELECT {COLUMNS} FROM (SELECT * FROM tl WHERE source = 'LOG' UNION ALL {NOTES_SQL}) ORDER BY datetime, id LIMIT 200")
+def notes_union_page(spark, sf):
+    return pages.query(timeline(spark, sf), Request([("source", "=", "LOG")], page_size=200), notes(spark, sf), "all")
+
+
+@query(f"SELECT {COLUMNS} FROM (SELECT * FROM tl UNION ALL {NOTES_SQL}) WHERE \"desc\" ILIKE '%purchase%' ORDER BY datetime DESC, id LIMIT 1000000")
+def notes_filtered(spark, sf):
+    return pages.matching(timeline(spark, sf), predicate(Request([("desc", "LIKE", "purchase")])), notes(spark, sf))
+
+
+@query(f"SELECT {COLUMNS} FROM ({NOTES_SQL})")
+def notes_as_events(spark, sf):
+    return pages.ordered(pages.notes_as_events(notes(spark, sf)))
+
+
+@query("SELECT n AS total, greatest(1, CAST(ceil(n / 100.0) AS BIGINT)) AS pages FROM (SELECT (SELECT count(*) FROM tl WHERE source = 'REG') + (SELECT count(*) FROM nt) AS n)")
+def count_total_with_notes(spark, sf):
+    return pages.total(timeline(spark, sf), Request([("source", "=", "REG")], page_size=100), notes(spark, sf), "all")
+
+
+@query("SELECT count(id) AS total FROM tl WHERE source = 'EVT'")
+def count_events(spark, sf):
+    return aggregates.count(timeline(spark, sf), F.col("source") == "EVT")
+
+
+# -- aggregates
+
+
+@query("SELECT value, count(*) AS frequency FROM (SELECT source AS value FROM tl UNION ALL SELECT 'EXAMINER' FROM nt) WHERE value != '' GROUP BY value")
+def distinct_source_with_notes(spark, sf):
+    return aggregates.distinct_values(timeline(spark, sf), "source", notes(spark, sf))
+
+
+@query("SELECT value, count(*) AS frequency FROM (SELECT tag AS value FROM tl UNION ALL SELECT tag FROM nt) WHERE value != '' GROUP BY value")
+def distinct_tag_lists(spark, sf):
+    return aggregates.distinct_values(timeline(spark, sf), "tag", notes(spark, sf))
+
+
+@query("SELECT DISTINCT trim(t) AS tag FROM (SELECT unnest(string_split(tag, ',')) AS t FROM tl) WHERE trim(t) != ''")
+def distinct_tags(spark, sf):
+    return aggregates.distinct_tags(timeline(spark, sf))
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS field, \"{c}\" AS value, count(*) AS frequency FROM tl WHERE \"{c}\" != '' GROUP BY \"{c}\"" for c in FREQUENCY_COLUMNS))
+def metadata_frequencies(spark, sf):
+    return aggregates.frequencies(timeline(spark, sf))
+
+
+@query(f"SELECT coalesce(min(datetime), '') AS min_date, coalesce(max(datetime), '') AS max_date FROM tl WHERE {REAL}")
+def min_max_date(spark, sf):
+    return aggregates.min_max_date(timeline(spark, sf))
+
+
+@query(f"SELECT count(id) AS events, min(datetime) FILTER ({REAL}) AS min_date, max(datetime) FILTER ({REAL}) AS max_date FROM tl")
+def db_info(spark, sf):
+    return aggregates.summary(timeline(spark, sf))
+
+
+@query(f"SELECT datetime[:13] || ':00:00' AS bucket, count(*) AS cnt FROM tl WHERE {REAL} AND datetime[:10] = '2024-01-10' GROUP BY 1")
+def histogram_hour(spark, sf):
+    return aggregates.histogram(timeline(spark, sf), Request([("datetime", ">=", "2024-01-10"), ("datetime", "<=", "2024-01-10")]))
+
+
+@query(f"SELECT datetime[:10] AS bucket, count(*) AS cnt FROM tl WHERE {REAL} AND source = 'WEBHIST' GROUP BY 1")
+def histogram_day(spark, sf):
+    return aggregates.histogram(timeline(spark, sf), Request([("source", "=", "WEBHIST")]))
+
+
+@query("SELECT strftime(o_orderdate, '%Y-%m') AS bucket, count(*) AS cnt FROM orders GROUP BY 1", timeline_sql=False)
+def histogram_month(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    return aggregates.histogram(orders.select(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("datetime")))
+
+
+@query(
+    "SELECT 'reg' AS name, CAST(count_if(source = 'REG') AS BIGINT) AS events FROM tl UNION ALL SELECT 'either', CAST(count_if(host = 'HOST1' OR tag ILIKE '%malware%') AS BIGINT) FROM tl"
+    " UNION ALL SELECT 'raw', CAST(count_if(\"desc\" ILIKE 'click%') AS BIGINT) FROM tl UNION ALL SELECT 'all', count(*) FROM tl"
+)
+def saved_query_counts(spark, sf):
+    texts = {
+        "reg": '{"filters": [{"field": "source", "operator": "=", "value": "REG"}], "logic": "AND"}',
+        "either": '{"filters": [{"field": "host", "operator": "=", "value": "HOST1"}, {"field": "tag", "operator": "LIKE", "value": "MALWARE"}], "logic": "OR"}',
+        "raw": '{"advanced": true, "whereClause": "desc LIKE \'click%\'"}',
+        "all": '{"filters": [], "logic": "AND"}',
+    }
+    return aggregates.saved_query_counts(timeline(spark, sf), {n: predicates.saved(t) for n, t in texts.items()})
+
+
+# -- edits: every seventh event and every second note are named
+
+
+def _ids(spark, sf):
+    events = timeline(spark, sf).filter("id % 7 = 0").select("id")
+    return events.unionByName(notes(spark, sf).filter("id % 2 = 0").select((-F.col("id")).alias("id")))
+
+
+@query("SELECT id, CASE WHEN id % 7 = 0 THEN 'GREEN' ELSE color END AS color FROM tl UNION ALL SELECT -id, CASE WHEN id % 2 = 0 THEN 'GREEN' ELSE color END FROM nt")
+def bulk_color(spark, sf):
+    e, n = edits.set_color(timeline(spark, sf), notes(spark, sf), _ids(spark, sf), "GREEN")
+    return e.select("id", "color").unionByName(n.select((-F.col("id")).alias("id"), "color"))
+
+
+@query("SELECT id, CASE WHEN id % 7 = 0 THEN 1 ELSE bookmark END AS bookmark FROM tl UNION ALL SELECT -id, CASE WHEN id % 2 = 0 THEN 1 ELSE bookmark END FROM nt")
+def bulk_bookmark(spark, sf):
+    e, n = edits.set_bookmark(timeline(spark, sf), notes(spark, sf), _ids(spark, sf), True)
+    return e.select("id", "bookmark").unionByName(n.select((-F.col("id")).alias("id"), "bookmark"))
+
+
+@query("SELECT id, CASE WHEN id % 7 != 0 THEN tag WHEN tag = '' THEN 'MALWARE' WHEN lower(tag) = 'malware' THEN tag ELSE tag || ',MALWARE' END AS tag FROM tl")
+def bulk_add_tag(spark, sf):
+    return edits.add_tag(timeline(spark, sf), _ids(spark, sf), "MALWARE").select("id", "tag")
+
+
+@query("SELECT id, CASE WHEN id % 7 != 0 THEN bookmark WHEN bookmark = 1 THEN 0 ELSE 1 END AS bookmark FROM tl")
+def toggle_bookmark(spark, sf):
+    return edits.toggle_bookmark(timeline(spark, sf), timeline(spark, sf).filter("id % 7 = 0").select("id")).select("id", "bookmark")
+
+
+@query("SELECT id, CASE WHEN id % 5 = 0 THEN 'note ' || id ELSE notes END AS notes, CASE WHEN id % 5 = 0 THEN 'LATER' ELSE color END AS color, \"desc\" FROM tl")
+def update_fields(spark, sf):
+    named = timeline(spark, sf).filter("id % 5 = 0").select("id")
+    rows = [named.select("id", F.lit("color").alias("field"), F.lit(v).alias("value"), F.lit(k).alias("seq")) for k, v in enumerate(("FIRST", "LATER"))]
+    rows.append(named.select("id", F.lit("notes").alias("field"), F.concat(F.lit("note "), F.col("id")).alias("value"), F.lit(9).alias("seq")))
+    return edits.update_fields(timeline(spark, sf), rows[0].unionByName(rows[1]).unionByName(rows[2])).select("id", "notes", "color", "desc")
+
+
+@query("SELECT id, CASE host WHEN 'HOST1' THEN 'HOT' WHEN 'HOST2' THEN 'COLD' ELSE color END AS color FROM tl")
+def color_template(spark, sf):
+    template = timeline(spark, sf).filter("host IN ('HOST1', 'HOST2')").select(F.lit("host").alias("field"), F.col("host").alias("key"), F.when(F.col("host") == "HOST1", "HOT").otherwise("COLD").alias("color")).distinct()
+    return edits.apply_color_template(timeline(spark, sf), template, "host").select("id", "color")
+
+
+@query("SELECT id, description FROM nt WHERE id % 2 != 0")
+def delete_notes(spark, sf):
+    return edits.delete_notes(notes(spark, sf), _ids(spark, sf)).select("id", "description")
+
+
+@query("SELECT * EXCLUDE n FROM (SELECT description, tag, color, bookmark, CAST(1 AS BIGINT) AS n FROM nt UNION ALL SELECT 'from ' || id, '', '', 0, 1 FROM tl WHERE id % 1000 = 0)")
+def add_notes(spark, sf):
+    new = timeline(spark, sf).filter("id % 1000 = 0").select(F.lit("2024-02-01 00:00:00").alias("datetime"), F.concat(F.lit("from "), F.col("id")).alias("description"))
+    return edits.add_notes(notes(spark, sf), new).select("description", "tag", "color", "bookmark")
+
+
+# -- sinks
+
+
+@query("SELECT " + ", ".join(f'"{c}"' for c in EXPORT_COLUMNS) + f" FROM tl WHERE source = 'LOG' AND {IN_DAYS}")
+def export_rows(spark, sf):
+    return store.export_rows(_found(spark, sf, Request([("source", "=", "LOG")], date_from=DAY[0], date_to=DAY[1])))
+
+
+@query("SELECT id, TRY_CAST(CASE WHEN datetime LIKE '0000%' THEN NULL ELSE datetime END AS TIMESTAMP) AS datetime, \"desc\" FROM tl")
+def push_sanitised(spark, sf):
+    rows = timeline(spark, sf).withColumn("desc", F.concat("desc", F.lit("\0")))
+    return store.sanitised(rows).select("id", "datetime", "desc")
+
+
+# -- sources: lines are rendered from the timeline, then parsed; the SQL never parses
+
+
+_M2 = "CASE id % 5 WHEN 1 THEN 'M...' WHEN 2 THEN '.A..' WHEN 3 THEN '..C.' WHEN 4 THEN '...B' ELSE '....' END"
+_SECONDS = "CAST(floor(epoch(ts)) AS BIGINT)"
+
+
+def _with_epoch(spark, sf):
+    ts = spark.read.parquet(f"{sf}/events.parquet").select((F.col("event_id") + 1).alias("id"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("epoch"))
+    return timeline(spark, sf).join(ts, "id")
+
+
+@query(f"SELECT strftime(to_timestamp(e) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS datetime, source, host, \"user\", type, {_M2} AS \"MACB\", \"desc\" || ' | ' || id AS \"desc\", 'UTC' AS timezone FROM (SELECT tl.*, {_SECONDS} AS e FROM tl JOIN events ON id = event_id + 1) WHERE id % 13 != 0")
+def read_tln(spark, sf):
+    bad = F.when(F.col("id") % 13 == 0, F.lit("abc")).otherwise(F.col("epoch").cast("string"))
+    line = F.concat_ws("|", bad, "source", "host", "user", F.concat_ws("; ", "datetime", "type", F.concat("desc", F.lit(" | "), F.col("id"))))
+    out = tln.lines_to_events(_with_epoch(spark, sf).select(line.alias("value")), 5)
+    return out.filter("ok").select("datetime", "source", "host", "user", "type", "MACB", "desc", "timezone")
+
+
+@query("SELECT CASE WHEN id % 2 = 0 THEN 'UTC' ELSE 'America/New_York' END AS timezone, CASE WHEN id % 3 = 0 THEN '' ELSE 'File: ' || filename || CASE WHEN id % 3 = 1 THEN ' inode: ' || id ELSE '' END END AS notes, CASE WHEN id % 3 = 0 THEN '' ELSE filename END AS filename, CASE WHEN id % 3 = 1 THEN CAST(id AS VARCHAR) ELSE '' END AS inode, \"desc\", 'Not a time' AS datetime FROM tl")
+def read_l2ttln(spark, sf):
+    n = F.col("id")
+    note = F.when(n % 3 == 0, F.lit("-")).otherwise(F.concat(F.lit("File: "), F.col("filename"), F.when(n % 3 == 1, F.concat(F.lit(" inode: "), n)).otherwise("")))
+    line = F.concat_ws("|", F.lit("0"), "source", "host", "user", "desc", F.when(n % 2 == 0, "-").otherwise("America/New_York"), note)
+    out = tln.lines_to_events(timeline(spark, sf).select(line.alias("value")), 7)
+    return out.select("timezone", "notes", "filename", "inode", "desc", "datetime")
+
+
+@query("SELECT CASE WHEN datetime LIKE '2%' THEN datetime ELSE '0000-00-00 00:00:00' END AS datetime, source, \"user\", \"desc\", filename, CAST(-1 AS BIGINT) AS store_number, extra FROM tl")
+def read_l2t_csv(spark, sf):
+    day = F.substring("datetime", 1, 10)
+    real = F.col("datetime").startswith("2")
+    us = F.when(real, F.concat_ws("/", F.substring("datetime", 6, 2), F.substring("datetime", 9, 2), F.substring("datetime", 1, 4))).otherwise("garbage")
+    cells = timeline(spark, sf).select(
+        F.when(F.col("id") % 2 == 0, us).otherwise(day).alias("date"), F.when(real, F.substring("datetime", 12, 8)).otherwise("x").alias("time"), "timezone", "MACB", "source", "sourcetype", "type",
+        F.concat("user", F.lit("\0")).alias("user"), "host", F.lit("short").alias("short"), "desc", F.lit("2").alias("version"), "filename", F.lit(None).cast("string").alias("inode"), "notes", "format", "extra",
+    )
+    return l2t.cells_to_events(cells).select("datetime", "source", "user", "desc", "filename", "store_number", "extra")
+
+
+@query("SELECT datetime, source, \"desc\" FROM tl WHERE datetime[:10] > '2024-01-05' AND datetime[:10] < '2024-01-09'")
+def l2t_window(spark, sf):
+    return l2t.in_window(timeline(spark, sf), "2024-01-05", "2024-01-09").select("datetime", "source", "desc")
+
+
+@query(
+    "SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS datetime, 'UTC' AS timezone, CASE WHEN id % 2 = 0 THEN 'FILE' ELSE 'CUSTOM' END AS source, CASE WHEN id % 2 = 0 THEN 'NTFS File stat' ELSE 'custom:thing:x' END AS sourcetype,"
+    " type, CASE id % 5 WHEN 1 THEN 'M...' WHEN 2 THEN '.A..' WHEN 3 THEN '..C.' WHEN 4 THEN '...B' ELSE '' END AS \"MACB\", \"user\", filename, 'a, b' AS tag, 'alpha: ' || id || '; zeta: true' AS extra, id AS store_number, CAST(id AS VARCHAR) AS event_identifier FROM (SELECT tl.*, ts FROM tl JOIN events ON id = event_id + 1)"
+)
+def read_jsonl_raw(spark, sf):
+    n = F.col("id")
+    micros = F.col("epoch") * 1_000_000
+    line = F.to_json(
+        F.struct(
+            F.when(n % 2 == 0, "fs:stat:ntfs").otherwise("custom:thing:x").alias("data_type"),
+            F.struct(F.when(n % 4 < 2, "Filetime").otherwise("PosixTimeInMicroseconds").alias("__class_name__"), F.when(n % 4 < 2, micros * 10 + 116444736000000000).otherwise(micros).alias("timestamp")).alias("date_time"),
+            F.col("type").alias("timestamp_desc"), F.col("user").alias("username"), F.col("filename").alias("display_name"), F.expr("array('a', 'b')").alias("tag_list"),
+            F.lit(True).alias("zeta"), n.alias("alpha"), F.struct(n.alias("x")).alias("nested"), n.cast("string").alias("store_number"), n.alias("event_identifier"), F.lit("T").alias("__type__"),
+        )
+    )
+    out = jsonl.lines_to_events(_with_epoch(spark, sf).select(line.alias("value")))
+    return out.select("datetime", "timezone", "source", "sourcetype", "type", "MACB", "user", "filename", "tag", "extra", "store_number", "event_identifier")
+
+
+@query("SELECT strftime(CASE WHEN id % 3 = 1 THEN ts - INTERVAL 2 HOUR ELSE ts END, '%Y-%m-%d %H:%M:%S') AS datetime, source, sourcetype, \"desc\", host, tag, CASE WHEN id % 11 = 0 THEN 0 ELSE id END AS \"offset\", \"URL\" FROM (SELECT tl.*, ts FROM tl JOIN events ON id = event_id + 1) WHERE id % 17 != 0")
+def read_jsonl_psort(spark, sf):
+    n = F.col("id")
+    iso = F.date_format(F.timestamp_seconds("epoch"), "yyyy-MM-dd'T'HH:mm:ss")
+    line = F.to_json(
+        F.struct(
+            F.when(n % 3 == 0, F.concat(iso, F.lit("Z"))).when(n % 3 == 1, F.concat(iso, F.lit("+02:00"))).alias("datetime"), (F.col("epoch") * 1_000_000).alias("timestamp"),
+            F.when(n % 2 == 0, F.col("source")).alias("source_short"), F.when(n % 2 == 1, F.col("source")).alias("source"), F.col("sourcetype").alias("source_long"),
+            F.col("desc").alias("message"), F.col("host").alias("computer_name"), "tag", F.when(n % 11 == 0, "x").otherwise(n.cast("string")).alias("offset"), F.col("URL").alias("url"),
+        )
+    )
+    lines = _with_epoch(spark, sf).select(F.when(n % 17 == 0, F.lit("{broken")).otherwise(line).alias("value"))
+    return jsonl.lines_to_events(lines).filter("ok").select("datetime", "source", "sourcetype", "desc", "host", "tag", "offset", "URL")
+
+
+@query("SELECT CASE WHEN datetime LIKE '2%' THEN datetime WHEN datetime LIKE '0%' THEN '' ELSE datetime END AS datetime, type, CASE WHEN id % 2 = 0 THEN 'MACB' ELSE " + _M2 + " END AS \"MACB\", source, \"user\", \"desc\", 'UTC' AS timezone, 'Odd Name: ' || id || '; unknown: more' AS extra FROM tl")
+def read_dynamic_csv(spark, sf):
+    header = ["MACB", "Date", "timestamp_desc", "Source", "username", "message", "desc", "Odd Name"]
+    when = F.when(F.col("datetime").startswith("2"), F.concat(F.translate("datetime", " ", "T"), F.lit(".123+02:00"))).when(F.col("datetime").startswith("0"), "0000-00-00T00:00:00+00:00").otherwise(F.col("datetime"))
+    values = [F.when(F.col("id") % 2 == 0, "MACB").otherwise(""), when, F.concat(F.lit(" "), F.col("type")), F.col("source"), F.col("user"), F.col("desc"), F.lit("-"), F.col("id").cast("string"), F.lit("more")]
+    cells = timeline(spark, sf).select(*[v.alias(n) for v, n in zip(values, dynamic.cell_names(header), strict=False)])
+    return dynamic.cells_to_events(cells, header).select("datetime", "type", "MACB", "source", "user", "desc", "timezone", "extra")
+
+
+@query("SELECT host AS file, CAST(count_if(id % 13 != 0) AS BIGINT) AS events, CAST(count_if(id % 13 = 0) AS BIGINT) AS excluded FROM tl GROUP BY host")
+def import_summary(spark, sf):
+    from chronoforge.sources.imports import summary
+
+    bad = F.when(F.col("id") % 13 == 0, F.lit("abc")).otherwise("1")
+    lines = timeline(spark, sf).select(F.concat_ws("|", bad, "source", "host", "user", "desc").alias("value"), F.col("host").alias("file"))
+    return summary(tln.lines_to_events(lines, 5, ("file",)).withColumn("import_format", F.lit("tln"))).drop("import_format")
+
+
+# -- row functions
+
+
+def _macb_sql(words: dict[str, str], none: str) -> str:
+    flags = " || ".join(f"CASE WHEN regexp_matches(lower(d), '{w}') THEN '{k}' ELSE '.' END" for k, w in words.items())
+    return f"SELECT id, CASE WHEN {flags} = '....' THEN '{none}' ELSE {flags} END AS macb FROM (SELECT id, type || ' ' || \"desc\" || CASE WHEN id % 4 = 0 THEN ' Visited MFT Entry' ELSE '' END AS d FROM tl)"
+
+
+def _described(spark, sf):
+    return timeline(spark, sf).select("id", F.concat(F.col("type"), F.lit(" "), F.col("desc"), F.when(F.col("id") % 4 == 0, " Visited MFT Entry").otherwise("")).alias("d"))
+
+
+@query(_macb_sql(MACB_JSON, ""))
+def macb_jsonl(spark, sf):
+    return _described(spark, sf).select("id", macb(F.col("d"), MACB_JSON, "").alias("macb"))
+
+
+@query(_macb_sql(MACB_OTHER, "...."))
+def macb_tln(spark, sf):
+    return _described(spark, sf).select("id", macb(F.col("d"), MACB_OTHER).alias("macb"))
+
+
+_TYPES = [*list(SOURCES)[::9], "fs:stat:odd", "new:thing:x", "single", ""]
+
+
+@query(
+    "SELECT id, coalesce(m.s, n.s, upper(split_part(d, ':', 1))) AS source, coalesce(m.t, n.t, d) AS sourcetype FROM (SELECT id, (["
+    + ", ".join(f"'{t}'" for t in _TYPES) + f"])[id % {len(_TYPES)} + 1] AS d FROM tl)"
+    + "".join(
+        f" LEFT JOIN (VALUES {', '.join(f"('{k}', '{s}', '{t}')" for k, (s, t) in SOURCES.items())}) AS {a}(k, s, t) ON {a}.k = {on}"
+        for a, on in (("m", "d"), ("n", "split_part(d, ':', 1) || ':' || split_part(d, ':', 2)"))
+    )
+)
+def source_mapping(spark, sf):
+    d = F.element_at(F.array(*map(F.lit, _TYPES)), (F.col("id") % len(_TYPES) + 1).cast("int"))
+    return timeline(spark, sf).select("id", source_of(d).alias("s")).select("id", "s.source", "s.sourcetype")
+
+
+@query("SELECT id, strftime(ts, '%Y-%m-%d') AS us, strftime(ts, '%Y-%m-%d') AS iso, '0000-00-00' AS bad, strftime(ts, '%H:%M:%S') AS clock, '00:00:00' AS bad_clock FROM tl JOIN events ON id = event_id + 1")
+def l2t_times(spark, sf):
+    t = F.timestamp_seconds("epoch")
+    return _with_epoch(spark, sf).select(
+        "id", l2t_date(F.date_format(t, "MM/dd/yyyy")).alias("us"), l2t_date(F.date_format(t, "yyyy-MM-dd")).alias("iso"), l2t_date(F.date_format(t, "dd.MM.yyyy")).alias("bad"),
+        l2t_time(F.date_format(t, "HH:mm:ss")).alias("clock"), l2t_time(F.concat(F.lit("99:"), F.col("id"))).alias("bad_clock"),
+    )
+
+
+@query("SELECT id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS filetime, strftime(ts - INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') AS utc, strftime(ts, '%Y-%m-%d %H:%M:%S') AS cut FROM tl JOIN events ON id = event_id + 1")
+def time_conversions(spark, sf):
+    iso = F.date_format(F.timestamp_seconds("epoch"), "yyyy-MM-dd'T'HH:mm:ss")
+    return _with_epoch(spark, sf).select(
+        "id", filetime_text(F.col("epoch") * 10_000_000 + 116444736000000000).alias("filetime"), iso_to_utc(F.concat(iso, F.lit(".5+02:00"))).alias("utc"), drop_offset(F.concat(iso, F.lit(".5+02:00"))).alias("cut")
+    )
