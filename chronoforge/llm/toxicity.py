@@ -135,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     y = got["y"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return model
-    flat = np.concatenate([np.zeros(0, np.int32), *got["features"]])
+    flat = np.concatenate([np.zeros(0, np.int32), *got["features"]]).astype(np.int32)
     row = np.repeat(np.arange(len(got), dtype=np.int32), [len(f) for f in got["features"]])
     # features worth a weight: frequent enough, and held by one class more often than chance explains
     pos, neg = y.sum(), len(y) - y.sum()
