@@ -66,7 +66,8 @@ class Buckets(dict):
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) > 500_000:
             self.clear()
-        parts = [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)]
+        # an identity term counts as a whole alone, so that the penalty reaches all it weighs
+        parts = [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n and word not in GROUP)]
         got = tuple(zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in parts)
         self[word] = got = got if self.wanted is None else tuple(f for f in got if f in self.wanted)
         return got
