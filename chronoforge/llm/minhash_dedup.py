@@ -27,9 +27,10 @@ ignored here and carried through by ``deduplicate``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby, islice
+from operator import itemgetter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -206,64 +207,82 @@ def _blocks(members: DataFrame, labels: DataFrame) -> DataFrame:
     return main.unionByName(to_main).unionByName(mutual)
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray, label_a: np.ndarray, label_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of pairs of different components whose estimate is within reach. a, b: sketches, a row each."""
-    least = REACH + (1 - REACH) / 256
-    hits = [(k, np.flatnonzero(((b == a[k]).mean(axis=1) >= least) & (label_b != label_a[k]))) for k in range(len(a))]
-    return np.repeat([k for k, _ in hits], [len(x) for _, x in hits]).astype(int), np.concatenate([np.zeros(0, int), *(x for _, x in hits)])
+def equal_bytes(rows: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """How many of its T bytes each row shares with the one row; eight at a time (no byte's sum passes T / 8)."""
+    return (rows == row).view(np.uint64).sum(axis=1).view(np.uint8).reshape(-1, 8).sum(axis=1)
 
 
-def _sides(pdf: pd.DataFrame, column: str) -> tuple[tuple[np.ndarray, np.ndarray, list], ...]:
-    """(nodes, labels, values) of both sides; within one block of others both sides are that block."""
-    parts = [pdf[pdf["side"] == s].sort_values("node") for s in (0, 1)]
-    if pdf["kind"].iloc[0] == 1 and pdf["i"].iloc[0] == pdf["j"].iloc[0]:
-        parts = [parts[0], parts[0]]
-    return tuple((p["node"].to_numpy(), p["label"].to_numpy(), p[column].tolist()) for p in parts)
+def near_pairs(a: list[tuple], b: list[tuple], bucket: int) -> list[tuple[int, int]]:
+    """Positions of pairs of different components whose estimate is within reach. a, b: rows of a block's sides.
+
+    A pair that shares several buckets is met in the one of its first band only.
+    """
+    if len(a) > len(b):
+        return [(y, x) for x, y in near_pairs(b, a, bucket)]
+    least = T * (REACH + (1 - REACH) / 256)
+    (one, keys_a), (two, keys_b) = read_sketches([r[SKETCH] for r in a]), read_sketches([r[SKETCH] for r in b])
+    labels = np.array([r[LABEL] for r in b])
+    two = np.ascontiguousarray(two)
+    band = int(np.flatnonzero(keys_b[0] == bucket)[0])
+    out = []
+    for k, row in enumerate(a):
+        hits = np.flatnonzero((equal_bytes(two, one[k]) >= least) & (labels != row[LABEL]))
+        if len(hits):
+            hits = hits[(keys_b[hits] == keys_a[k]).argmax(axis=1) == band]
+            out += [(k, h) for h in hits.tolist()]
+    return out
+
+
+KEY = ["key", "kind", "i", "j"]
+SIDE, NODE, LABEL, SKETCH, GRAMS = 4, 5, 6, 7, 8
+
+
+def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], list[tuple], list[tuple]]]:
+    """Rows of each block, and those of its two sides; within one block of others both sides are that block."""
+    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    for (_, kind, i, j), group in groupby(rows, key=itemgetter(0, 1, 2, 3)):
+        block = list(group)
+        one, two = ([r for r in block if r[SIDE] == s] for s in (0, 1))
+        if kind == 1 and i == j:
+            two = one
+        if one and two:
+            yield block, one, two
 
 
 def remaining_links(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) between components that share a bucket; at least one for each two components that have any there."""
-    key = ["key", "kind", "i", "j"]
     layout = "key long, kind int, i int, j int, side int, node long, label long"
-    names = [c.split(" ")[0] for c in layout.split(", ")]
-
-    def close_pairs(sa: list[bytes], sb: list[bytes], la, lb, bucket: int) -> tuple[np.ndarray, np.ndarray]:
-        (one, keys_a), (two, keys_b) = read_sketches(sa), read_sketches(sb)
-        x, y = near_pairs(one, two, la, lb)
-        if len(x):  # a pair that shares several buckets is met in the one of its first band
-            own = np.flatnonzero(keys_a[0] == bucket)[0]
-            first = (keys_a[x] == keys_b[y]).argmax(axis=1) == own
-            x, y = x[first], y[first]
-        return x, y
-
-    def reach(pdf: pd.DataFrame) -> pd.DataFrame:
-        (na, la, sa), (nb, lb, sb) = _sides(pdf, "sketch")
-        if not len(na) or not len(nb):
-            return pdf.iloc[:0][names]
-        x, y = close_pairs(sa, sb, la, lb, pdf["key"].iloc[0])
-        seen = {0: {*na[x].tolist()}, 1: {*nb[y].tolist()}}
-        if pdf["kind"].iloc[0] == 1 and pdf["i"].iloc[0] == pdf["j"].iloc[0]:
-            seen[0] |= seen[1]
-        keep = [n in seen[s] for n, s in zip(pdf["node"], pdf["side"], strict=True)]
-        return pdf.loc[keep, names]
-
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        (na, la, ga), (nb, lb, gb) = _sides(pdf, "grams")
-        if not len(na) or not len(nb):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        (_, _, sa), (_, _, sb) = _sides(pdf, "sketch")
-        ga, gb = ([np.frombuffer(g, np.uint64) for g in x] for x in (ga, gb))
-        joined: set[tuple[int, int]] = set()
-        links = []
-        for p, q in zip(*close_pairs(sa, sb, la, lb, pdf["key"].iloc[0]), strict=True):
-            if (la[p], lb[q]) not in joined and linked(ga[p], gb[q]):
-                joined |= {(la[p], lb[q]), (lb[q], la[p])}
-                links.append((na[p], nb[q]))
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-
-    blocks = _blocks(members, labels)
-    close = blocks.join(sets.select("node", "sketch"), "node").groupBy(*key).applyInPandas(reach, layout)
-    return written(close, "near-reach").join(sets, "node").groupBy(*key).applyInPandas(verify, "a long, b long")
+    arrow = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("node", pa.int64()), ("label", pa.int64())])
+
+    def emit(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        while some := list(islice(rows, 5000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
+
+    def close_rows(batches):
+        for block, one, two in block_rows(batches):
+            pairs = near_pairs(one, two, block[0][0])
+            near = {id(one[p]) for p, _ in pairs} | {id(two[q]) for _, q in pairs}
+            yield from (r[: LABEL + 1] for r in block if id(r) in near)
+
+    def links(batches):
+        for block, one, two in block_rows(batches):
+            ga, gb = ([np.frombuffer(r[GRAMS], np.uint64) for r in side] for side in (one, two))
+            joined: set[tuple[int, int]] = set()
+            for p, q in near_pairs(one, two, block[0][0]):
+                la, lb = one[p][LABEL], two[q][LABEL]
+                if (la, lb) not in joined and linked(ga[p], gb[q]):
+                    joined |= {(la, lb), (lb, la)}
+                    yield one[p][NODE], two[q][NODE]
+
+    def dealt(blocks: DataFrame) -> DataFrame:
+        return blocks.repartition(*KEY).sortWithinPartitions(*KEY, "side", "node")
+
+    columns = [*KEY, "side", "node", "label", "sketch"]
+    met = _blocks(members, labels).join(sets.select("node", "sketch"), "node").select(*columns)
+    close = dealt(met).mapInArrow(lambda b: emit(close_rows(b), arrow), layout)
+    full = written(close, "near-reach").join(sets, "node").select(*columns, "grams")
+    pair = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    return dealt(full).mapInArrow(lambda b: emit(links(b), pair), "a long, b long")
 
 
 def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
