@@ -125,7 +125,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeated_anchors(docs: DataFrame) -> DataFrame:
-    """anchor, for those that stand at several places."""
+    """anchor, for those that stand at several places; written, so that joins with it can split a common anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
@@ -136,7 +136,7 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(n.astype(np.int32))], ["anchor", "n"])
 
     found = docs.select("text").mapInArrow(run, "anchor long, n int")
-    return found.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
+    return written(found.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor"), "substring-anchors")
 
 
 def candidate_runs(docs: DataFrame) -> DataFrame:
@@ -174,13 +174,20 @@ def candidate_runs(docs: DataFrame) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """id0, id1, marks: per row the (start, mask) of runs with repeated windows; bit k is window start + k."""
+    """id0, id1, marks: per row the (start, mask) of runs with repeated windows; bit k is window start + k.
+
+    A common anchor has runs without bound. The tables it is joined with are written first: both sides of the
+    join are then plain shuffles, which the adaptive engine splits. Windows are keyed by one struct of
+    anchor and window, so that Spark doesn't count them where the join by anchor alone has put them.
+    """
     runs = candidate_runs(docs)
     kinds = written(runs.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("n"), F.first("windows").alias("windows")), "substring-kinds")
-    open_anchors = kinds.filter("n = 1").select("anchor").distinct()
+    open_anchors = written(kinds.filter("n = 1").select("anchor").distinct(), "substring-open")
     each = kinds.join(open_anchors, "anchor", "left_semi").select("anchor", "run", "n", F.posexplode("windows").alias("k", "window"))
-    twice = each.groupBy("anchor", "window").agg(F.sum("n").alias("all")).filter("all > 1").select("anchor", "window")
-    bits = each.filter("n = 1").join(twice, ["anchor", "window"]).groupBy("anchor", "run").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask"))
+    each = each.select("anchor", "run", "n", "k", F.struct("anchor", "window").alias("key"))
+    counted = each.groupBy("key").agg(F.sum("n").alias("all"), F.min("n").alias("least"))
+    twice = written(counted.filter("all > 1 AND least = 1").select("key"), "substring-twice")
+    bits = each.filter("n = 1").join(twice, "key", "left_semi").groupBy("anchor", "run").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask"))
     full = kinds.filter("n > 1").select("anchor", "run", F.expr("shiftleft(1L, size(windows)) - 1").alias("mask"))
     marked = runs.select("id0", "id1", "anchor", "run", "start").join(full.unionByName(bits), ["anchor", "run"])
     return marked.groupBy("id0", "id1").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
