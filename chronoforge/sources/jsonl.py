@@ -31,9 +31,11 @@ def _whole(v: Column) -> Column:
 
 def as_text(v: Column) -> Column:
     """A JSON value as text: whole numbers without a fraction, null as ''."""
+    text = F.try_variant_get(v, "$", "string")
     number = F.try_variant_get(v, "$", "double")
-    whole = _is_number(v) & (number == F.floor(number)) & (F.abs(number) < 9.2e18)
-    return F.coalesce(F.when(whole, _whole(v).cast("string")).otherwise(F.try_variant_get(v, "$", "string")), F.lit(""))
+    # only what reads like a number with a fraction or exponent needs its kind looked up
+    whole = text.rlike(r"^-?\d+[.E]") & _is_number(v) & (number == F.floor(number)) & (F.abs(number) < 9.2e18)
+    return F.coalesce(F.when(whole, _whole(v).cast("string")).otherwise(text), F.lit(""))
 
 
 def as_long(v: Column) -> Column:
@@ -51,12 +53,13 @@ def lines_to_events(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     last = F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda e: e["key"] == k), -1)["value"]))
     twice = F.when(F.col("_v").isNull() & F.col("value").rlike(r"^\s*\{.*\}\s*$"), last)
     rows = rows.withColumn("_m", F.coalesce(F.expr("try_cast(_v AS map<string, variant>)"), twice)).withColumn("ok", F.col("_m").isNotNull())
+    rows = rows.withColumn("_t", F.transform_values("_m", lambda _, v: as_text(v)))  # each value's text is made once
 
     def get(key: str) -> Column:
         return F.try_element_at(F.col("_m"), F.lit(key))
 
     def text(key: str) -> Column:
-        return as_text(get(key))
+        return F.coalesce(F.try_element_at(F.col("_t"), F.lit(key)), F.lit(""))
 
     def first(*keys: str) -> Column:
         return F.coalesce(*[F.nullif(text(k), F.lit("")) for k in keys], F.lit(""))
@@ -71,7 +74,7 @@ def lines_to_events(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     derived = (short == "") & (text("data_type") != "")
     listed = F.array_join(F.filter(F.try_variant_get(get("tag_list"), "$", "array<variant>"), lambda t: F.schema_of_variant(t) == "STRING").cast("array<string>"), ", ")
     spare = F.map_filter("_m", lambda k, v: ~k.isin(NOT_EXTRA) & ~F.schema_of_variant(v).rlike("^(OBJECT|VOID)"))
-    pairs = F.transform(F.sort_array(F.map_keys(spare)), lambda k: F.concat(k, F.lit(": "), as_text(F.try_element_at(spare, k))))
+    pairs = F.transform(F.sort_array(F.map_keys(spare)), lambda k: F.concat(k, F.lit(": "), F.try_element_at(F.col("_t"), k)))
     out = {
         "datetime": F.when(raw, nested).otherwise(plain),
         "timezone": F.coalesce(F.nullif(text("zone"), F.lit("")), F.lit("UTC")),
