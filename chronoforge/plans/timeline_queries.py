@@ -367,7 +367,7 @@ def read_dynamic_csv(spark, sf):
     header = ["MACB", "Date", "timestamp_desc", "Source", "username", "message", "desc", "Odd Name"]
     when = F.when(F.col("datetime").startswith("2"), F.concat(F.translate("datetime", " ", "T"), F.lit(".123+02:00"))).when(F.col("datetime").startswith("0"), "0000-00-00T00:00:00+00:00").otherwise(F.col("datetime"))
     values = [F.when(F.col("id") % 2 == 0, "MACB").otherwise(""), when, F.concat(F.lit(" "), F.col("type")), F.col("source"), F.col("user"), F.col("desc"), F.lit("-"), F.col("id").cast("string"), F.lit("more")]
-    cells = timeline(spark, sf).select(*[v.alias(n) for v, n in zip(values, dynamic.cell_names(header), strict=False)])
+    cells = timeline(spark, sf).select(*[v.alias(n) for v, n in zip(values, dynamic.cell_names(header, 1), strict=True)])
     return dynamic.cells_to_events(cells, header).select("datetime", "type", "MACB", "source", "user", "desc", "timezone", "extra")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,23 +38,25 @@ ALIASES = {
     "computer_name": ["computer_name"],
 }
 TARGET = {name: column for column, names in ALIASES.items() for name in names}
-#: Cells beyond the header that are kept.
-OVERFLOW = 8
+BLANKS = " \t\r\n"
+#: Cells of a row that Spark's parser makes room for; it fails on a row with more.
+MOST_CELLS = 1_000_000
 
 
-def cell_names(header: list[str]) -> list[str]:
-    return [f"_c{k}" for k in range(len(header))] + [f"_o{k}" for k in range(OVERFLOW)]
+def cell_names(header: list[str], surplus: int) -> list[str]:
+    """Columns of the header's cells and of as many cells beyond it."""
+    return [f"_c{k}" for k in range(len(header))] + [f"_o{k}" for k in range(surplus)]
 
 
 def cells_to_events(cells: DataFrame, header: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
-    """Events of the columns _c0, _c1 ... named by the header, and of overflow columns _o0 ... if there are any."""
+    """Events of the columns _c0, _c1 ... named by the header, and of overflow columns _o0 ... or an array _beyond if there are any."""
     first: dict[str, int] = {}
     for k, name in enumerate(header):
         if target := TARGET.get(name.strip().lower()):
             first.setdefault(target, k)
     if not first:
         raise ValueError("no column of the header is known")
-    cell = {n: F.trim(F.coalesce(F.col(n), F.lit("")), F.lit(" \t\r\n")) for n in cell_names(header) if n in cells.columns}
+    cell = {n: F.trim(F.coalesce(F.col(n), F.lit("")), F.lit(BLANKS)) for n in cell_names(header, 0) if n in cells.columns}
     out: dict[str, Column] = {column_name(t): cell[f"_c{k}"] for t, k in first.items()}
     if "datetime" in first:
         out["datetime"] = drop_offset(out["datetime"])
@@ -65,8 +68,12 @@ def cells_to_events(cells: DataFrame, header: list[str], keep: tuple[str, ...] =
             out["MACB"] = F.when(out["MACB"] != "", out["MACB"]).otherwise(flags)
     zone = out.get("timezone", F.lit(""))
     out["timezone"] = F.when(zone == "", "UTC").otherwise(zone)
-    spare = [(header[k].strip(), f"_c{k}") for k in range(len(header)) if k not in first.values()] + [("unknown", n) for n in cell if n.startswith("_o")]
+    spare = [(header[k].strip(), f"_c{k}") for k in range(len(header)) if k not in first.values()]
     pairs = [F.when(~cell[n].isin("", "-"), F.concat(F.lit(f"{name}: "), cell[n])) for name, n in spare]
+    surplus = [F.array(n) for n in sorted((n for n in cells.columns if re.fullmatch(r"_o\d+", n)), key=lambda n: int(n[2:]))] + [F.col("_beyond")] * ("_beyond" in cells.columns)
+    if surplus:
+        beyond = F.transform(F.concat(*surplus), lambda x: F.trim(x, F.lit(BLANKS)))
+        pairs.append(F.transform(F.filter(beyond, lambda x: ~x.isin("", "-")), lambda x: F.concat(F.lit("unknown: "), x)))
     if pairs:
         made, given = F.concat_ws("; ", *pairs), out.get("extra", F.lit(""))
         out["extra"] = F.when(given != "", given).otherwise(made)
@@ -77,12 +84,37 @@ def header_of(line: str) -> list[str]:
     return next(csv.reader([line.lstrip("﻿")], skipinitialspace=True), [])
 
 
+OPTIONS = {"escape": '"', "ignoreLeadingWhiteSpace": True, "maxColumns": MOST_CELLS}
+
+
+def _schema(names: list[str]) -> str:
+    return ", ".join(f"`{n}` string" for n in names)
+
+
+def _beyond(header: list[str], most: int) -> Column:
+    """The cells of _ragged beyond the header. A row is parsed for a width of its own size, so that a wide one costs the others nothing."""
+    out, width, widths = F.array().cast("array<string>"), 8, []
+    while not widths or widths[-1] < most:
+        widths.append(width)
+        width *= 4
+    for w in reversed(widths):
+        parsed = F.from_csv("_ragged", _schema(cell_names(header, w)), {k: str(v).lower() for k, v in OPTIONS.items()})
+        cells = F.transform(F.array(parsed), lambda row: F.array(*[row[f"_o{k}"] for k in range(w)]))  # noqa: B023  (called at once; it parses a row once)
+        out = F.when(F.col("_room") <= w, F.element_at(cells, 1)).otherwise(out)
+    return F.when(F.col("_room") > 0, out).otherwise(F.array().cast("array<string>"))
+
+
 def read(spark: SparkSession, paths: list[str], header: list[str], multiline: bool = True) -> DataFrame:
-    """Events with file, of files that have this header."""
-    names = cell_names(header)
+    """Events with file, of files that have this header. A first pass finds the room that surplus cells need."""
     raw = (
-        spark.read.schema(", ".join(f"`{n}` string" for n in names))
-        .option("header", True).option("enforceSchema", True).option("multiLine", multiline).option("escape", '"').option("ignoreLeadingWhiteSpace", True)
+        spark.read.schema(_schema([*cell_names(header, 0), "_ragged"])).options(**OPTIONS)
+        .option("header", True).option("enforceSchema", True).option("multiLine", multiline).option("columnNameOfCorruptRecord", "_ragged").option("columnPruning", False)
         .csv(paths)
     )
+    # no row has more cells beyond the header than its commas allow, those within quotes included; _ragged is null where the cells fit the header
+    commas = F.length("_ragged") - F.length(F.replace("_ragged", F.lit(","), F.lit("")))
+    raw = raw.withColumn("_room", F.coalesce(commas + 1 - len(header), F.lit(0)))
+    most = raw.agg(F.max("_room"), F.count("_c0")).first()[0] or 0  # Spark refuses to read _ragged alone
+    if most > 0:
+        raw = raw.withColumn("_beyond", _beyond(header, most))
     return cells_to_events(raw.select("*", F.col("_metadata.file_path").alias("file")), header, ("file",))

@@ -96,6 +96,18 @@ def test_dynamic_headers(spark):
         dynamic.cells_to_events(rows, ["a", "b"])
 
 
+@pytest.mark.parametrize("multiline", [True, False])
+def test_every_cell_beyond_the_header_is_kept(spark, tmp_path, multiline):
+    many = [f"s{k}" for k in range(40)]
+    lines = ["datetime,message", "2020-01-02T03:04:05Z,none", "2020-01-02T03:04:06Z,nine" + "".join(f",{x}" for x in many[:9]), "2020-01-02T03:04:07Z", '2020-01-02T03:04:08Z,"a,b"' + ",,-" * 6 + "," + ",".join(many) + ',"x,y"']
+    (tmp_path / "a.csv").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.csv").write_text("datetime,message\n2020-01-02T03:04:09Z,even\n")
+    got = dynamic.read(spark, [str(tmp_path / n) for n in ("a.csv", "b.csv")], ["datetime", "message"], multiline)
+    extra = {r.desc: r.extra for r in got.collect()}
+    unknown = lambda cells: "; ".join(f"unknown: {x}" for x in cells)
+    assert extra == {"none": "", "nine": unknown(many[:9]), "": "", "a,b": unknown([*many, "x,y"]), "even": ""}
+
+
 def test_detection():
     assert imports.detect("a.csv", "date,time,timezone,MACB,source,sourcetype,type,user,host,short,desc,version,filename,inode,notes,format,extra") == "l2t"
     assert imports.detect("a.jsonl", '{"timestamp": 1, "message": "x"}') == "jsonl"
