@@ -1,6 +1,7 @@
 """Corpus operators on small fixtures: brute force, round trips, held-out accuracy, odd inputs."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -117,6 +118,19 @@ def test_near_dedup_of_many_variants_equals_brute_force(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == want
 
 
+def test_estimates_rule_out_fewer_pairs_than_the_banding():
+    m = minhash_dedup
+    banding = (1 - 0.85**m.ROWS) ** m.BANDS
+    same = 0.85 + 0.15 / 256
+    short = math.ceil(m.T * (m.REACH + (1 - m.REACH) / 256)) - 1
+    assert sum(math.comb(m.T, k) * same**k * (1 - same) ** (m.T - k) for k in range(short + 1)) <= banding
+    one = np.arange(m.T, dtype=np.uint8)
+    two = one.copy()
+    two[:76] += 1  # 180 of 256 are equal
+    rows = [(7, 0, 0, 0, side, side, side, x.tobytes() + np.full(m.BANDS, 7, np.int64).tobytes()) for side, x in enumerate((one, two))]
+    assert m.near_pairs(rows[:1], rows[1:], 7) == [(0, 0)]
+
+
 def test_blocks_meet_all_components(spark, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "BLOCK", 3)
     members = spark.createDataFrame([(1, n) for n in range(20)], "key long, node long")
