@@ -13,7 +13,8 @@ counts the contents of each digest; a digest with several contents takes a path
 
 Cases: null text counts as empty; a null doc_id is never smallest, counts in ``group_size`` and is
 kept only where its whole group has no id; repeated rows with the same doc_id are all reported (and
-kept once by ``deduplicate``); an empty table gives no rows; other columns are ignored here and
+kept once by ``deduplicate``); of rows without an id ``deduplicate`` keeps one per text, beside the row with
+an id if their text has one; an empty table gives no rows; other columns are ignored here and
 carried through unchanged by ``deduplicate``.
 """
 
@@ -70,10 +71,12 @@ def mark_copies(docs: DataFrame, salts: int = 16) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, salts: int = 16) -> DataFrame:
-    """The rows of docs that stay, with all their columns; rows without an id all stay."""
+    """The rows of docs that stay, with all their columns; of rows without an id one per text stays."""
     keep = contents(docs, salts).select(F.col("keep_id").alias("doc_id"))
     named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    norm = F.regexp_replace(whole_text(), SPACES, " ")
+    nameless = docs.filter(F.col("doc_id").isNull()).withColumn("_norm", norm).dropDuplicates(["_norm"])
+    return named.select(docs.columns).unionByName(nameless.select(docs.columns))
 
 
 ORACLE_SQL = r"""

@@ -12,12 +12,14 @@ true size: broadcast below the session's threshold, else a shuffled join whose h
 adaptive engine splits.
 
 Cases: a null source is a source of its own; null text and other columns are carried as they are;
-a null doc_id draws like the text 'null'; repeated rows draw alike; a source without a weight
+a row with a null doc_id draws by a hash of all its columns (but maps and variants); repeated rows draw alike; a source without a weight
 shares none and disappears; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,9 +85,12 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, total: float | None =
     """docs with each row as often as drawn, shuffled; adds copy (from 1), rate and order_key."""
     r = rates(docs, weights, total).select(F.col("source").alias("_source"), F.col("rate").alias("mix_rate"))
     drawn = docs.join(r, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    drawn = drawn.withColumn("mix_copies", copies(seed, F.col("doc_id"), F.col("mix_rate")))
+    hashed = [f.name for f in docs.schema if not re.search("map<|variant", f.dataType.simpleString())]
+    nameless = F.when(F.col("doc_id").isNull(), F.xxhash64(*hashed))
+    row = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), nameless))
+    drawn = drawn.withColumn("mix_copies", copies(seed, row, F.col("mix_rate")))
     out = drawn.filter("mix_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-    out = out.withColumn("order_key", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("copy")))
+    out = out.withColumn("order_key", F.xxhash64(F.lit(seed), F.col("doc_id"), nameless, F.col("copy")))
     return out.repartition(F.col("order_key")).sortWithinPartitions("order_key")
 
 

@@ -295,6 +295,16 @@ def test_poisson_mixing(spark, docs, none):
     assert set(docs.columns) <= set(mixing.mix(docs.drop("copy")).columns) | {"copy"} and mixing.mix(none.drop("copy")).count() == 0
 
 
+def test_rows_without_ids_are_drawn_and_dealt_one_by_one(spark):
+    rows = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"), F.lit("s").alias("source"))
+    out = mixing.mix(rows)
+    times = Counter(r.text for r in out.collect())
+    assert abs(sum(times.values()) - 2000) < 250 and abs(len(times) - 2000 * (1 - math.exp(-1))) < 150 and max(times.values()) > 2
+    assert out.select("order_key").distinct().count() == out.count()
+    twice = rows.unionByName(rows.withColumn("text", F.concat("text", F.lit("  "), "text"))).unionByName(rows.withColumn("text", F.concat("text", F.lit(" "), "text")))
+    assert Counter(norm(r.text) for r in exact_dedup.deduplicate(twice).collect()) == Counter([f"t{k}" for k in range(2000)] + [f"t{k} t{k}" for k in range(2000)])
+
+
 def test_isotonic_means():
     at, value = quality.isotonic(np.array([0.0, 1, 2, 3]), np.array([0.0, 2, 1, 2]), np.array([2.0, 2, 2, 2]))
     assert at.tolist() == [0, 1, 2, 3] and value.tolist() == [0, 0.75, 0.75, 1]
