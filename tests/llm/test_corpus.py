@@ -305,6 +305,46 @@ def test_rows_without_ids_are_drawn_and_dealt_one_by_one(spark):
     assert Counter(norm(r.text) for r in exact_dedup.deduplicate(twice).collect()) == Counter([f"t{k}" for k in range(2000)] + [f"t{k} t{k}" for k in range(2000)])
 
 
+def mixing_brute_force(rows):
+    """(id, source, text) as often as drawn, of rows with these three."""
+    n = Counter(source for _, source, _ in rows)
+    out = Counter()
+    for row in rows:
+        rate = 1.0 / len(n) * len(rows) / n[row[1]]
+        parts = max(1, math.ceil(rate / mixing.SPLIT))
+        for i in range(1, parts + 1):
+            u = int(hashlib.md5(f"mix:{row[0]}:{i}".encode()).hexdigest()[:13], 16) / 16**13
+            p = cdf = math.exp(-rate / parts)
+            k = 0
+            while cdf <= u:
+                k += 1
+                p *= rate / parts / k
+                cdf += p
+            out[row] += k
+    return +out
+
+
+def test_mixing_equals_brute_force_with_a_rare_source(spark):
+    rows = [(k, "rare" if k < 7 else f"s{k % 2}", f"t{k}") for k in range(3000)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    assert Counter((r.doc_id, r.source, r.text) for r in out.collect()) == mixing_brute_force(rows)
+
+
+def test_quality_and_mixing_stages_equal_brute_force(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    good = corpus_pipeline.quality_filter(spark, docs, SF)
+    model = quality.fit(quality.all_statistics(docs), labels)
+    rows = [(r.doc_id, r.source, r.text) for r in docs.collect()]
+    scores = [model.score(np.array([quality.statistics(t)], float))[0] for _, _, t in rows]
+    want = Counter(r for r, x in zip(rows, scores, strict=True) if x >= quality.THRESHOLD)
+    assert 0 < want.total() < len(rows) and Counter((r.doc_id, r.source, r.text) for r in good.collect()) == want
+    mixed = corpus_pipeline.mix_sources(spark, docs, SF)
+    assert Counter((r.doc_id, r.source, r.text) for r in mixed.collect()) == mixing_brute_force(rows)
+
+
 def test_isotonic_means():
     at, value = quality.isotonic(np.array([0.0, 1, 2, 3]), np.array([0.0, 2, 1, 2]), np.array([2.0, 2, 2, 2]))
     assert at.tolist() == [0, 1, 2, 3] and value.tolist() == [0, 0.75, 0.75, 1]
