@@ -108,6 +108,13 @@ def test_every_cell_beyond_the_header_is_kept(spark, tmp_path, multiline):
     assert extra == {"none": "", "nine": unknown(many[:9]), "": "", "a,b": unknown([*many, "x,y"]), "even": ""}
 
 
+def test_every_entry_of_the_source_mapping(spark):
+    from chronoforge.functions.data_types import SOURCES, source_of
+
+    kinds = spark.createDataFrame([(k,) for k in SOURCES], "d string").withColumn("s", source_of(F.col("d"))).select("d", "s.source", "s.sourcetype")
+    assert {r.d: (r.source, r.sourcetype) for r in kinds.collect()} == {k: tuple(v) for k, v in SOURCES.items()}
+
+
 def test_detection():
     assert imports.detect("a.csv", "date,time,timezone,MACB,source,sourcetype,type,user,host,short,desc,version,filename,inode,notes,format,extra") == "l2t"
     assert imports.detect("a.jsonl", '{"timestamp": 1, "message": "x"}') == "jsonl"
