@@ -218,6 +218,51 @@ def test_word_ids_equal_the_tokenizer(corpus):
         assert ids.coded(t or "") == np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_word_ids_of_random_strings_equal_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    tokenizer, ids = Tokenizer.from_file(packing.default_vocabulary()), packing.word_ids(packing.default_vocabulary())
+    assert packing.word_ids(packing.default_vocabulary()) is ids
+    rng = np.random.default_rng(11)
+    alphabet = [*"abzABZ'.,;:!?_-09 \t\n", "'s", "'ll", "'RE", "<|", "|>", "<|endoftext|>", *"éÉßİıǅȺȾñªº²¹½µ×ſ\u0307\u0301\xa0\x85\x1c\x1f\u200b日本😀Ωж\u02b0"]
+    for _ in range(8000):
+        t = "".join(rng.choice(alphabet, rng.integers(1, 12)))
+        assert ids.coded(t) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
+    for c in map(chr, range(0x300)):
+        t = f"a{c}b {c} {c}."
+        assert ids.coded(t) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
+
+
+def test_packing_hands_up_few_sequences_and_loses_none(spark):
+    rng = np.random.default_rng(2)
+    for lengths in (rng.integers(1, 4097, 3000), rng.integers(2049, 2200, 3000), rng.integers(1, 300, 3000)):
+        bins = packing.pack_pieces(((k, 0, 0, int(n), 0) for k, n in enumerate(lengths)), 4096, 16, 0)
+        assert sum(b["load"] for b in bins) == lengths.sum() and sum(2 * b["load"] <= 4096 for b in bins) <= 1
+        up = [b["load"] for b in bins if not b["done"]]
+        assert len(up) <= packing.PARTNERS + 1 and all(b["load"] >= max(up, default=0) for b in bins if b["done"])
+
+
+def packed_by_tree(lengths, tasks, fan_in=8):
+    """Number of sequences of all rounds, task by task."""
+    level = [packing.pack_pieces(((k, 0, 0, int(n), 0) for k, n in enumerate(lengths[t::tasks])), 4096, 16, t << 32) for t in range(tasks)]
+    final = 0
+    while len(level) > 1:
+        final += sum(b["done"] for bins in level for b in bins)
+        up = [[b | {"key": b["sequence_id"]} for bins in level[k::-(-len(level) // fan_in)] for b in bins if not b["done"]] for k in range(-(-len(level) // fan_in))]
+        level = [packing.pack_together(rows, 4096, 16, sorted(r["sequence_id"] for r in rows).__getitem__) for rows in up]
+    return final + len(level[0])
+
+
+def test_handing_up_few_sequences_costs_no_sequence(monkeypatch):
+    rng = np.random.default_rng(4)
+    for low, high, n in ((1, 4097, 4000), (1, 600, 9000), (2049, 2400, 2000), (1200, 2800, 6000)):
+        lengths = rng.integers(low, high, n)
+        few = packed_by_tree(lengths, 70)
+        with monkeypatch.context() as m:
+            m.setattr(packing, "PARTNERS", 1 << 40)
+            assert few <= packed_by_tree(lengths, 70)
+
+
 def test_token_counts_equal_the_unigram_model(corpus, docs, none):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
