@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,14 +40,44 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Paths of the tables written in each scope that is open, the innermost last.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables written within, at the end, but for those that outlive it: they belong to the scope around it.
+
+    A result reads tables that outlive its operator. Whoever writes that result elsewhere can do so in a scope of their own.
+    """
+    paths: list[str] = []
+    token = _scopes.set((*_scopes.get(), paths))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for path in paths:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)  # PySpark has no call of its own to delete files
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Spark then removes a step's shuffle files as soon as the step ends, not when the driver happens to forget its plan.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, outlive: bool = False) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/chronoforge/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # shuffle files of finished steps go when the driver forgets their plans
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    scopes = _scopes.get()[: -1 if outlive else None]
+    if scopes:
+        scopes[-1].append(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
