@@ -12,24 +12,33 @@ Every row then meets its class by digest alone (numbers, no text), which is exac
 counts the contents of each digest; a digest with several contents takes a path that compares text.
 
 Cases: null text counts as empty; a null doc_id is never smallest, counts in ``group_size`` and is
-kept only where its whole group has no id; repeated rows with the same doc_id are all reported (and
-kept once by ``deduplicate``); of rows without an id ``deduplicate`` keeps one per text, beside the row with
+kept only where its whole group has no id; repeated rows with the same doc_id and text are all reported (and
+kept once by ``deduplicate``), rows of one doc_id with different texts are rows of different groups; of rows without an id ``deduplicate`` keeps one per text, beside the row with
 an id if their text has one; an empty table gives no rows; other columns are ignored here and
 carried through unchanged by ``deduplicate``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoforge.llm.common import SPACES, whole_text, written
 
 
+def normalised() -> Column:
+    return F.regexp_replace(whole_text(), SPACES, " ")
+
+
+def digest(norm: Column) -> Column:
+    return F.unhex(F.sha2(norm, 256))
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, normalised text and its SHA-256 (binary)."""
-    norm = docs.select("doc_id", F.regexp_replace(whole_text(), SPACES, " ").alias("norm"))
-    return norm.withColumn("digest", F.unhex(F.sha2(F.col("norm"), 256)))
+    return docs.select("doc_id", normalised().alias("norm")).withColumn("digest", digest(F.col("norm")))
 
 
 def contents(docs: DataFrame, salts: int = 16) -> DataFrame:
@@ -42,18 +51,16 @@ def contents(docs: DataFrame, salts: int = 16) -> DataFrame:
     return salted.groupBy("digest", "norm").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
 
 
+def classes_by_digest(docs: DataFrame, salts: int) -> DataFrame:
+    """digest, keep_id, group_size, n_contents (1, but for digests that several texts share); written."""
+    groups = contents(docs, salts).groupBy("digest")
+    found = groups.agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.count(F.lit(1)).alias("n_contents"))
+    return written(found, "exact-classes")
+
+
 def mark_copies(docs: DataFrame, salts: int = 16) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    classes = written(
-        contents(docs, salts)
-        .groupBy("digest")
-        .agg(
-            F.min("keep_id").alias("keep_id"),
-            F.sum("group_size").alias("group_size"),
-            F.count(F.lit(1)).alias("n_contents"),
-        ),
-        "exact-classes",
-    )
+    classes = classes_by_digest(docs, salts)
     rows = digests(docs).select("doc_id", "digest")
     marked = rows.join(classes.filter("n_contents = 1").drop("n_contents"), "digest")
     clashes = classes.filter("n_contents > 1").select("digest")
@@ -71,12 +78,19 @@ def mark_copies(docs: DataFrame, salts: int = 16) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, salts: int = 16) -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows without an id one per text stays."""
-    keep = contents(docs, salts).select(F.col("keep_id").alias("doc_id"))
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    norm = F.regexp_replace(whole_text(), SPACES, " ")
-    nameless = docs.filter(F.col("doc_id").isNull()).withColumn("_norm", norm).dropDuplicates(["_norm"])
-    return named.select(docs.columns).unionByName(nameless.select(docs.columns))
+    """The rows of docs that stay, with all their columns: of each text the row with the smallest id, once; of rows without an id one per text."""
+    classes = classes_by_digest(docs, salts)
+    key, norm = (f"{name}_{uuid.uuid4().hex}" for name in ("digest", "norm"))  # no columns of docs
+    marked = docs.withColumn(key, digest(normalised()))
+    firsts = classes.filter("n_contents = 1").select(F.col("keep_id").alias("doc_id"), F.col("digest").alias(key))
+    named = marked.join(firsts, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key]).select(docs.columns)
+    clashes = classes.filter("n_contents > 1").select(F.col("digest").alias(key))
+    if not clashes.isEmpty():
+        by_text = contents(docs, salts).select(F.col("digest").alias(key), F.col("norm").alias(norm), F.col("keep_id").alias("doc_id")).join(clashes, key, "left_semi")
+        rows = marked.withColumn(norm, normalised()).join(by_text, [key, norm, "doc_id"], "left_semi").dropDuplicates(["doc_id", key, norm])
+        named = named.unionByName(rows.select(docs.columns))
+    nameless = docs.filter(F.col("doc_id").isNull()).withColumn(norm, normalised()).dropDuplicates([norm])
+    return named.unionByName(nameless.select(docs.columns))
 
 
 ORACLE_SQL = r"""
