@@ -12,13 +12,15 @@ true size: broadcast below the session's threshold, else a shuffled join whose h
 adaptive engine splits.
 
 Cases: a null source is a source of its own; null text and other columns are carried as they are;
-a row with a null doc_id draws by a hash of all its columns (but maps and variants); repeated rows draw alike; a source without a weight
+a row with a null doc_id draws by a hash of all its columns (but maps and variants), which the SQL can't say;
+repeated rows draw alike; where docs has a column named like an added one, the added one gets a trailing underscore; a source without a weight
 shares none and disappears; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,17 +83,25 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, total: float | None
     )
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return name
+
+
 def mix(docs: DataFrame, weights: DataFrame | None = None, total: float | None = None, seed: str = "mix") -> DataFrame:
-    """docs with each row as often as drawn, shuffled; adds copy (from 1), rate and order_key."""
-    r = rates(docs, weights, total).select(F.col("source").alias("_source"), F.col("rate").alias("mix_rate"))
-    drawn = docs.join(r, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    hashed = [f.name for f in docs.schema if not re.search("map<|variant", f.dataType.simpleString())]
+    """docs with each row as often as drawn, shuffled; adds copy (from 1), mix_rate, mix_copies and order_key (see free_name)."""
+    copy, rate, times, order = (free_name(docs, n) for n in ("copy", "mix_rate", "mix_copies", "order_key"))
+    own = f"source_{uuid.uuid4().hex}"
+    r = rates(docs, weights, total).select(F.col("source").alias(own), F.col("rate").alias(rate))
+    drawn = docs.join(r, F.col("source").eqNullSafe(F.col(own))).drop(own)
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if not re.search("map<|variant", f.dataType.simpleString())]
     nameless = F.when(F.col("doc_id").isNull(), F.xxhash64(*hashed))
     row = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), nameless))
-    drawn = drawn.withColumn("mix_copies", copies(seed, row, F.col("mix_rate")))
-    out = drawn.filter("mix_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-    out = out.withColumn("order_key", F.xxhash64(F.lit(seed), F.col("doc_id"), nameless, F.col("copy")))
-    return out.repartition(F.col("order_key")).sortWithinPartitions("order_key")
+    drawn = drawn.withColumn(times, copies(seed, row, F.col(rate)))
+    out = drawn.filter(F.col(times) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
+    out = out.withColumn(order, F.xxhash64(F.lit(seed), F.col("doc_id"), nameless, F.col(copy)))
+    return out.repartition(F.col(order)).sortWithinPartitions(order)
 
 
 ORACLE_SQL = """
@@ -99,16 +109,20 @@ WITH RECURSIVE c AS (
   SELECT source, count(*) AS n FROM documents GROUP BY source
 ), r AS (
   SELECT source, 1.0::DOUBLE / (SELECT sum(1.0::DOUBLE) FROM c) * (SELECT sum(n) FROM c)::DOUBLE / n::DOUBLE AS rate FROM c
+), s AS (
+  SELECT source, parts, rate / parts AS rate FROM (SELECT source, rate, greatest(1, ceil(rate / 64.0::DOUBLE))::BIGINT AS parts FROM r)
 ), t AS (
-  SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS cdf FROM r
+  SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS cdf FROM s
   UNION ALL
   SELECT source, rate, k + 1, p * rate / (k + 1), cdf + p * rate / (k + 1) FROM t
   WHERE k < ceil(rate + 12 * sqrt(rate) + 30)
 ), d AS (
-  SELECT doc_id, source, text,
-         ('0x' || substr(md5('mix:' || doc_id || ':1'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u
-  FROM documents
+  SELECT row_number() OVER () AS pos, doc_id, documents.source, text, parts FROM documents JOIN s ON documents.source IS NOT DISTINCT FROM s.source
+), u AS (
+  SELECT d.*, ('0x' || substr(md5('mix:' || doc_id || ':' || i), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u
+  FROM d, unnest(range(1, parts + 1)) AS x(i)
+), n AS (
+  SELECT pos, doc_id, u.source, text, count(*) AS n FROM u JOIN t ON u.source IS NOT DISTINCT FROM t.source AND t.cdf <= u.u GROUP BY ALL
 )
-SELECT d.doc_id, d.source, d.text, (t.k + 1)::INTEGER AS copy
-FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source AND t.cdf <= d.u
+SELECT doc_id, source, text, unnest(range(1, n + 1))::INTEGER AS copy FROM n
 """
