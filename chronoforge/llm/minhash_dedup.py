@@ -6,47 +6,56 @@
   least value of its earliest round. After T rounds, round T + j throws every shingle into bin j, so
   each coordinate fills, even for one shingle; mostly two or three rounds do. The share of equal
   coordinates estimates the Jaccard similarity with the concentration of T independent samples.
-* Banding: BANDS bands of ROWS coordinates. At the least similarity asked for, 0.85, all bands of a pair
-  differ with a probability of 7e-9.
+* Banding: BANDS bands of ROWS coordinates. At the least similarity asked for, 0.85, a pair shares less
+  than two bands with a probability of 6.6e-9 (no band at all: 2.1e-10).
 * Verification on full sets, in two steps, that never lists all pairs of a bucket:
-  1. each member of a bucket is compared with the bucket's smallest id (a star); the
+  1. each member of a bucket is compared with the bucket's smallest node (a star); the
      links found give components;
-  2. what is left are pairs of one bucket in different components. The largest component's members meet
+  2. what is left are pairs of one bucket in different components. A bucket of more than LARGE members,
+     as a template shared by dissimilar documents makes it, is first dealt anew by a second band: its pairs
+     meet where they share two bands. The largest component's members meet
      the others in blocks of fixed size, spread over tasks. A block compares sketches; the
      members of pairs whose estimate is within reach (over seven standard errors below the threshold) meet
      once more, with their full sets.
-  A pair that shares a bucket thus ends up linked, in one component anyway, or refuted, unless its
+  A pair that shares two bands thus ends up linked, in one component anyway, or refuted, unless its
   estimate is out of reach; at a similarity of 0.85 that has a probability of 5e-12 (binomial tail of
-  at most 174 of 256 coordinates). Both causes together miss such a pair with at most 7.2e-9.
+  at most 174 of 256 coordinates). All causes together miss such a pair with at most 6.7e-9.
+
+Classes are numbered when they are written; the numbers are the nodes of all links, so that ids that
+name several texts are no trouble. The least (doc_id, row hash) of a component leads it.
 
 Cases: null text, empty text and text of blanks have no set, link with nothing and are kept; with
 fewer than five words the whole sequence is the one shingle; a null doc_id has a null component and is
-kept; repeated rows are reported each; doc_id is taken to name one text (rows of one id with different texts are
-reported by the component of their own text); an empty table gives no rows; other columns are
+kept; repeated rows are reported each; rows of one id with different texts are documents of their own, each reported
+by the component of its text; an empty table gives no rows; other columns are
 ignored here and carried through by ``deduplicate``.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import cache
 from itertools import groupby, islice
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoforge.llm.common import written
+from chronoforge.llm.common import temporary, written
 from chronoforge.llm.components import components
 
 SHINGLE = 5
 PERCENT = 85
-T, BANDS, ROWS = 256, 32, 5
+T, BANDS, ROWS = 256, 38, 5
 #: Pairs whose estimated similarity is lower are out of reach of the threshold.
 REACH = 0.68
 BLOCK = 512
+#: Buckets with more members are dealt by a second band.
+LARGE = 8 * BLOCK
 CACHE_WORDS = 1_000_000
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -74,6 +83,12 @@ class WordHashes(dict):
         return h
 
 
+@cache
+def word_hashes() -> WordHashes:
+    """One per worker process, which Spark uses for many tasks."""
+    return WordHashes()
+
+
 def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct shingle hashes. bytes.lower() and bytes.split() know ASCII letters and blanks only, as asked."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -131,31 +146,36 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
+def row_hash() -> Column:
+    """Tells rows of one id apart by their texts."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_id (128-bit hash of the set), bands, written to the shared folder."""
+    """doc_id, h (see row_hash), n_shingles, set_id (128-bit hash of the set), bands, written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = word_hashes()
         for b in batches:
             n, ids, bands = [], [], []
-            for text in b.column(1).to_pylist():
+            for text in b.column(2).to_pylist():
                 s = shingles(text, hashes)
                 n.append(len(s))
                 ids.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 bands.append(band_keys(sketch(s)) if len(s) else np.zeros(0, np.int64))
             offsets = np.cumsum([0, *map(len, bands)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *bands])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), lists], ["doc_id", "n_shingles", "set_id", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), lists], ["doc_id", "h", "n_shingles", "set_id", "bands"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text"))
-    return written(rows.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands array<long>"), "near-signatures")
+    rows = docs.select(F.col("doc_id").cast("long"), row_hash().alias("h"), F.col("text"))
+    return written(rows.mapInArrow(run, "doc_id long, h long, n_shingles long, set_id binary, bands array<long>"), "near-signatures", outlive=True)
 
 
-def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, sketch (see short_sketch), grams (the full set), of the documents that share a bucket."""
+def full_sets(docs: DataFrame, leads: DataFrame, repeated: bool) -> DataFrame:
+    """node, sketch (see short_sketch), grams (the full set) of the rows that leads(node, doc_id, h) names; repeated: such a row may stand several times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = word_hashes()
         for big in batches:
             for lo in range(0, big.num_rows, 1000):
                 b = big.slice(lo, 1000)
@@ -163,8 +183,10 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 short = [short_sketch(sketch(s)) if len(s) else b"" for s in sets]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(short, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "sketch", "grams"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text")).join(nodes, "node", "left_semi")
-    return written(rows.mapInArrow(run, "node long, sketch binary, grams binary"), "near-sets")
+    rows = docs.select(F.col("doc_id").cast("long"), row_hash().alias("h"), F.col("text")).join(leads, ["doc_id", "h"])
+    if repeated:
+        rows = rows.dropDuplicates(["doc_id", "h"])
+    return written(rows.select("node", "text").mapInArrow(run, "node long, sketch binary, grams binary"), "near-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -196,6 +218,7 @@ def _blocks(members: DataFrame, labels: DataFrame) -> DataFrame:
         F.ceil(F.col("top.n") / BLOCK).cast("int").alias("mains"),
         F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("others"),
     )
+    top = written(top, "near-top")  # a plain shuffle then, beside which a hot key's members can be split
     live = written(named.join(top, "key"), "near-live")
     h = F.xxhash64("key", "node")
     main = live.filter("label = main").select(
@@ -214,10 +237,18 @@ def equal_bytes(rows: np.ndarray, row: np.ndarray) -> np.ndarray:
     return (rows == row).view(np.uint64).sum(axis=1).view(np.uint8).reshape(-1, 8).sum(axis=1)
 
 
+def bands_of(keys: np.ndarray, bucket: int) -> tuple[int, int]:
+    """The band that makes a bucket and -1, or the two bands that do; keys: one member's."""
+    if len(one := np.flatnonzero(keys == bucket)):
+        return int(one[0]), -1
+    both = np.argwhere(np.triu(keys[:, None] ^ (keys[None, :] << 1) == bucket, 1))
+    return int(both[0][0]), int(both[0][1])
+
+
 def near_pairs(a: list[tuple], b: list[tuple], bucket: int) -> list[tuple[int, int]]:
     """Positions of pairs of different components whose estimate is within reach. a, b: rows of a block's sides.
 
-    A pair that shares several buckets is met in the one of its first band only.
+    A pair that shares several bands is met in the bucket of its first band only, or in that of its first two.
     """
     if len(a) > len(b):
         return [(y, x) for x, y in near_pairs(b, a, bucket)]
@@ -225,12 +256,17 @@ def near_pairs(a: list[tuple], b: list[tuple], bucket: int) -> list[tuple[int, i
     (one, keys_a), (two, keys_b) = read_sketches([r[SKETCH] for r in a]), read_sketches([r[SKETCH] for r in b])
     labels = np.array([r[LABEL] for r in b])
     two = np.ascontiguousarray(two)
-    band = int(np.flatnonzero(keys_b[0] == bucket)[0])
+    first, second = bands_of(keys_b[0], bucket)
     out = []
     for k, row in enumerate(a):
         hits = np.flatnonzero((equal_bytes(two, one[k]) >= least) & (labels != row[LABEL]))
         if len(hits):
-            hits = hits[(keys_b[hits] == keys_a[k]).argmax(axis=1) == band]
+            shared = keys_b[hits] == keys_a[k]
+            met = shared.argmax(axis=1) == first
+            if second >= 0:
+                shared[:, first] = False
+                met &= (shared.argmax(axis=1) == second) & shared.any(axis=1)
+            hits = hits[met]
             out += [(k, h) for h in hits.tolist()]
     return out
 
@@ -287,37 +323,65 @@ def remaining_links(members: DataFrame, labels: DataFrame, sets: DataFrame) -> D
     return dealt(full).mapInArrow(lambda b: emit(links(b), pair), "a long, b long")
 
 
-def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(signatures, classes: set_id and rep, labels: node and label of every rep that has links)."""
-    rows = signatures(docs)
-    named = rows.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = written(named.groupBy("set_id").agg(F.min("doc_id").alias("rep")), "near-classes")
-    nodes = named.join(classes.withColumnRenamed("set_id", "own_set"), (F.col("doc_id") == F.col("rep")) & (F.col("set_id") == F.col("own_set")))
-    nodes = nodes.dropDuplicates(["doc_id", "set_id"])
-    thrown = nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    buckets = thrown.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = written(thrown.join(buckets.drop("size"), "key").select("key", "node", "n", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")), "near-members")
-    sets = full_sets(docs, members.select("node").distinct())
-    star = members.filter("node != lead").filter(f"100 * least(n, lead_n) >= {PERCENT} * greatest(n, lead_n)")
-    first = written(verified(star.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), sets), "near-links")
-    labels = written(components(first), "near-labels")
-    more = written(remaining_links(members.select("key", "node"), labels, sets), "near-links")
-    if not more.isEmpty():
-        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
-    return rows, classes, labels
+def by_two_bands(members: DataFrame, nodes: DataFrame, large: DataFrame) -> DataFrame:
+    """key, node: buckets of those that share the band of a large bucket and one more."""
+    at = members.join(large, "key", "left_semi").groupBy("node").agg(F.collect_set("key").alias("hot"))
+    bands = nodes.join(at, "node").select("node", "hot", F.posexplode("bands").alias("i", "one"), "bands")
+    pairs = bands.select("node", "hot", "i", "one", F.posexplode("bands").alias("j", "two")).filter("i < j AND (array_contains(hot, one) OR array_contains(hot, two))")
+    dealt = pairs.select(F.col("one").bitwiseXOR(F.shiftleft("two", 1)).alias("key"), "node").distinct()
+    shared = written(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key"), "near-second")
+    return dealt.join(shared, "key")
+
+
+def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(signatures, classes: set_id and lead, the least (doc_id, h) of its component), for the sets of rows with an id."""
+    with temporary(docs.sparkSession):
+        rows = signatures(docs)
+        named = rows.filter("doc_id IS NOT NULL AND n_shingles > 0")
+        classes = named.groupBy("set_id").agg(F.min(F.struct("doc_id", "h")).alias("lead"))
+        classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
+        leads = classes.select("node", "set_id", "lead.doc_id", "lead.h")
+        nodes = named.join(leads, ["doc_id", "h", "set_id"]).groupBy("node", "doc_id", "h", "set_id").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("times"))
+        nodes = written(nodes, "near-nodes")
+        thrown = nodes.select("node", "n", F.explode("bands").alias("key"))
+        # written: beside a plain shuffle, a hot key's members can be split
+        buckets = written(thrown.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "near-buckets")
+        members = thrown.join(buckets, "key").select("key", "node", "n", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"), (F.col("size") > LARGE).alias("is_large"))
+        members = written(members, "near-members")
+        met = nodes.join(members.select("node").distinct(), "node", "left_semi")
+        sets = full_sets(docs, met.select("node", "doc_id", "h"), not met.filter("times > 1").isEmpty())
+        star = members.filter("node != lead").filter(f"100 * least(n, lead_n) >= {PERCENT} * greatest(n, lead_n)")
+        first = written(verified(star.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), sets), "near-links")
+        labels = components(first)
+        dealt = members.filter("NOT is_large").select("key", "node")
+        large = buckets.filter(F.col("size") > LARGE).select("key")
+        if not large.isEmpty():
+            dealt = dealt.unionByName(by_two_bands(members, nodes, large))
+        more = written(remaining_links(dealt, labels, sets), "near-links")
+        if not more.isEmpty():
+            labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
+        of = classes.join(labels, "node").select("node", "label", "lead")
+        led = of.select("node", "label").join(written(of.groupBy("label").agg(F.min("lead").alias("led_by")), "near-leads"), "label")
+        found = classes.join(led.select("node", "led_by"), "node", "left").select("set_id", F.coalesce("led_by", "lead").alias("lead"))
+        return rows, written(found, "near-found", outlive=True)
 
 
 def mark_near_copies(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
-    rows, classes, labels = near_classes(docs)
-    ids = classes.join(labels, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("label", "rep").alias("found"))
-    out = rows.select("doc_id", "n_shingles", "set_id").join(ids, "set_id", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
+    rows, classes = near_classes(docs)
+    out = rows.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("lead.doc_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay (one id per component, its repeated rows once), with all their columns."""
-    keep = mark_near_copies(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id")
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The rows of docs that stay, with all their columns: of each component the row that leads it, once, and all rows without a set or an id."""
+    with temporary(docs.sparkSession):
+        rows, classes = near_classes(docs)
+        leads = classes.select(F.col("lead.doc_id").alias("id"), F.col("lead.h").alias("h")).distinct()
+        bare = rows.filter("n_shingles = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "h").distinct()
+        keep = written(leads.unionByName(bare), "near-kept", outlive=True)
+    name = f"h_{uuid.uuid4().hex}"  # no column of docs
+    marked = docs.withColumn(name, row_hash())
+    named = marked.join(keep, (F.col("doc_id").cast("long") == keep["id"]) & (F.col(name) == keep["h"]), "left_semi").dropDuplicates(["doc_id", name])
     return named.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -118,6 +118,71 @@ def test_near_dedup_of_many_variants_equals_brute_force(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == want
 
 
+def test_a_hot_band_is_dealt_by_a_second_one(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    template = rng.choice(VOCAB, 300)
+    base = [rng.choice(VOCAB, 90) for _ in range(40)]
+    rows = []
+    for k in range(160):
+        words = base[k % 40].copy()
+        at = rng.integers(0, 90, rng.integers(0, 9))
+        words[at] = rng.choice(VOCAB, len(at))
+        rows.append((k, " ".join([*template, *words])))
+    want = near_brute_force(rows)
+    assert 20 < len(set(want.values())) < 120
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    met = []
+    two = minhash_dedup.by_two_bands
+    monkeypatch.setattr(minhash_dedup, "LARGE", 6)
+    monkeypatch.setattr(minhash_dedup, "by_two_bands", lambda *a: met.append(two(*a)) or met[-1])
+    assert {r.doc_id: r.component_id for r in minhash_dedup.mark_near_copies(docs).collect()} == want
+    assert met
+
+
+def test_two_bands_are_found_by_their_bucket():
+    keys = mix_numbers(7)
+    assert minhash_dedup.bands_of(keys, int(keys[3])) == (3, -1)
+    assert minhash_dedup.bands_of(keys, int(keys[2] ^ (keys[5] << 1))) == (2, 5)
+    p, n = 0.85**minhash_dedup.ROWS, minhash_dedup.BANDS
+    assert (1 - p) ** n + n * p * (1 - p) ** (n - 1) < 6.7e-9
+
+
+def mix_numbers(n):
+    return minhash_dedup.mix(np.arange(1, n + 1, dtype=np.uint64)).view(np.int64)
+
+
+@pytest.mark.parametrize("deduplicate", [exact_dedup.deduplicate, minhash_dedup.deduplicate])
+def test_an_id_that_names_several_texts(spark, deduplicate):
+    a, b, c = prose(60), prose(60), prose(60)
+    rows = [(5, a), (5, b), (3, a), (5, b), (8, c), (8, a + "  "), (9, c.replace(" ", "\n")), (4, ""), (4, None), (4, c)]
+    docs = spark.createDataFrame([(i, t, "k", "h") for i, t in rows], "doc_id long, text string, keep_id string, digest string").repartition(3)
+    kept = deduplicate(docs)
+    assert kept.columns == docs.columns
+    empty = [(4, "")] if deduplicate is exact_dedup.deduplicate else [(4, ""), (4, "")]
+    assert Counter((r.doc_id, norm(r.text).strip()) for r in kept.collect()) in [Counter([(3, a), (5, b), (4, c), *empty] + more) for more in ([], [(8, a)])]
+
+
+def test_copies_of_one_text_and_id_meet_once(spark):
+    base = prose(80)
+    rows = [(1, base)] * 30 + [(2, base + " tail")] * 30 + [(3, prose(50))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert Counter((r.doc_id, r.component_id) for r in minhash_dedup.mark_near_copies(docs).collect()) == Counter({(1, 1): 30, (2, 1): 30, (3, 3): 1})
+    assert sorted(r.doc_id for r in minhash_dedup.deduplicate(docs).collect()) == [1, 3]
+
+
+def test_intermediate_tables_are_deleted(spark, docs):
+    from pathlib import Path
+
+    from chronoforge.llm.common import shared_dir, temporary
+
+    at = Path(shared_dir(spark)) / "chronoforge"
+    before = set(at.glob("*"))
+    with temporary(spark):
+        minhash_dedup.mark_near_copies(docs).count()
+        assert {p.name.rsplit("-", 1)[0] for p in set(at.glob("*")) - before} == {"near-signatures", "near-found"}
+    assert set(at.glob("*")) == before
+
+
 def test_estimates_rule_out_fewer_pairs_than_the_banding():
     m = minhash_dedup
     banding = (1 - 0.85**m.ROWS) ** m.BANDS
@@ -369,6 +434,28 @@ def mixing_brute_force(rows):
     return +out
 
 
+def test_mixing_keeps_columns_of_any_name(spark):
+    names = ["copy", "mix_rate", "mix_copies", "order_key", "_source", "rate", "Copy_", "a.b"]
+    rows = [(k, f"s{k % 3}", f"t{k}", *(f"{n}{k}" for n in names)) for k in range(200)]
+    docs = spark.createDataFrame(rows, ["doc_id", "source", "text", *names])
+    out = mixing.mix(docs)
+    assert out.columns[: len(docs.columns)] == docs.columns and out.columns[len(docs.columns) :] == ["mix_rate_", "mix_copies_", "copy__", "order_key_"]
+    got = out.collect()
+    assert {tuple(r[: len(docs.columns)]) for r in got} <= set(rows)
+    assert Counter((r[0], r[1], r[2]) for r in got) == mixing_brute_force([r[:3] for r in rows])
+
+
+def test_mixing_sql_draws_rare_sources_in_parts(spark, tmp_path):
+    import duckdb
+
+    rows = [(k, "rare" if k < 7 else f"s{k % 2}", f"t{k}") for k in range(3000)] + [(5000, None, None)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = queries.op10_mixing(spark, str(tmp_path)).select("doc_id", "source", "text", "copy").collect()
+    assert Counter(map(tuple, got)) == Counter(con.execute(mixing.ORACLE_SQL).fetchall())
+
+
 def test_mixing_equals_brute_force_with_a_rare_source(spark):
     rows = [(k, "rare" if k < 7 else f"s{k % 2}", f"t{k}") for k in range(3000)]
     out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"))
