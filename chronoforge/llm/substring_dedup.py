@@ -25,6 +25,7 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoforge.llm.common import written
-from chronoforge.llm.minhash_dedup import WordHashes, mix
+from chronoforge.llm.common import temporary, written
+from chronoforge.llm.minhash_dedup import mix, word_hashes
 
 WINDOW, GRAM = 35, 10
 #: Windows that share a gram, and so the longest run.
@@ -78,7 +79,7 @@ class Reader:
     """Anchors and windows of texts."""
 
     def __init__(self):
-        self.hashes, self.powers = WordHashes(), Powers()
+        self.hashes, self.powers = word_hashes(), Powers()
 
     def words(self, text: str | None) -> np.ndarray:
         w = (text or "").encode("utf-8", "surrogatepass").split()
@@ -117,6 +118,12 @@ class Reader:
         ]
 
 
+@cache
+def reader_here() -> Reader:
+    """One per worker process, which Spark uses for many tasks."""
+    return Reader()
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text, and two numbers that name the row."""
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).select(
@@ -124,35 +131,32 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def repeated_anchors(docs: DataFrame) -> DataFrame:
-    """anchor, for those that stand at several places; written, so that joins with it can split a common anchor."""
+def held_anchors(docs: DataFrame) -> DataFrame:
+    """id0, id1, anchor, n: how often each row holds each anchor; written, for both uses made of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader()
+        reader = reader_here()
         for b in batches:
-            got = [reader.anchors(t) for t in b.column(0).to_pylist()]
+            got = [reader.anchors(t) for t in b.column(2).to_pylist()]
+            rows = pa.array(np.repeat(np.arange(len(got)), [len(x) for x, _ in got]))
             v = np.concatenate([np.zeros(0, np.uint64), *(x for x, _ in got)]).view(np.int64)
             n = np.concatenate([np.zeros(0, np.int64), *(c for _, c in got)])
-            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(n.astype(np.int32))], ["anchor", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(v), pa.array(n.astype(np.int32))], ["id0", "id1", "anchor", "n"])
+
+    return written(_keyed(docs).select("id0", "id1", "text").mapInArrow(run, "id0 long, id1 long, anchor long, n int"), "substring-held")
 
-    found = docs.select("text").mapInArrow(run, "anchor long, n int")
-    return written(found.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor"), "substring-anchors")
+
+def repeated_anchors(held: DataFrame) -> DataFrame:
+    """anchor, for those that stand at several places; written, so that joins with it can split a common anchor."""
+    return written(held.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor"), "substring-anchors")
 
 
 def candidate_runs(docs: DataFrame) -> DataFrame:
     """id0, id1, anchor, run, start, windows: the windows whose anchor stands at several places."""
     keyed = _keyed(docs)
 
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader()
-        for b in batches:
-            got = [reader.anchors(t)[0] for t in b.column(2).to_pylist()]
-            rows = np.repeat(np.arange(len(got)), [len(x) for x in got])
-            v = np.concatenate([np.zeros(0, np.uint64), *got]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), pa.array(v)], ["id0", "id1", "anchor"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader()
+        reader = reader_here()
         for big in batches:
             for lo in range(0, big.num_rows, 1000):
                 b = big.slice(lo, 1000)
@@ -167,8 +171,8 @@ def candidate_runs(docs: DataFrame) -> DataFrame:
                 flat = [pa.array(c, pa.int64()) for c in cols[:4]] + [pa.array(cols[4], pa.int32()), lists]
                 yield pa.RecordBatch.from_arrays(flat, ["id0", "id1", "anchor", "run", "start", "windows"])
 
-    spread = keyed.select("id0", "id1", "text").mapInArrow(held, "id0 long, id1 long, anchor long")
-    wanted = spread.join(repeated_anchors(docs), "anchor", "left_semi").groupBy("id0", "id1").agg(F.collect_list("anchor").alias("wanted"))
+    held = held_anchors(docs)
+    wanted = held.join(repeated_anchors(held), "anchor", "left_semi").groupBy("id0", "id1").agg(F.collect_set("anchor").alias("wanted"))
     rows = keyed.join(wanted, ["id0", "id1"]).select("id0", "id1", "text", "wanted")
     return written(rows.mapInArrow(run, "id0 long, id1 long, anchor long, run long, start int, windows array<long>"), "substring-runs")
 
@@ -190,7 +194,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     bits = each.filter("n = 1").join(twice, "key", "left_semi").groupBy("anchor", "run").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask"))
     full = kinds.filter("n > 1").select("anchor", "run", F.expr("shiftleft(1L, size(windows)) - 1").alias("mask"))
     marked = runs.select("id0", "id1", "anchor", "run", "start").join(full.unionByName(bits), ["anchor", "run"])
-    return marked.groupBy("id0", "id1").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
+    return marked.groupBy("id0", "id1").agg(F.collect_set(F.struct("start", "mask")).alias("marks"))
 
 
 def removed(n: int, marks: list[dict] | None) -> np.ndarray:
@@ -219,6 +223,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     kept.append(b" ".join(words if not gone[-1] else [words[i] for i in np.flatnonzero(~cut)]).decode("utf-8", "surrogatepass"))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    marks = written(repeated_windows(docs), "substring-marks").dropDuplicates(["id0", "id1"])
+    with temporary(docs.sparkSession):
+        marks = written(repeated_windows(docs), "substring-marks", outlive=True)
     rows = _keyed(docs).join(marks, ["id0", "id1"], "left").select("doc_id", "text", "marks")
     return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
