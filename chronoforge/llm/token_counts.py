@@ -8,7 +8,7 @@ as many pieces as it has UTF-8 bytes. Words are what the Metaspace pre-tokenizer
 text split before each space, with one mark put in front of the text.
 
 The vocabulary is a parameter (a sentencepiece model file, pieces and scores as they stand there); here it is the
-public 32k vocabulary. Counts of words are cached per task, in a cache of fixed size.
+public 32k vocabulary. Counts of words are cached per worker process, in a cache of fixed size.
 
 Cases: null and empty text have 0 tokens; texts of any length are counted whole; repeated rows are
 repeated; an empty table gives no rows; other columns are ignored.
@@ -88,8 +88,9 @@ class Counter(dict):
 
 
 @cache
-def _pieces(path: str) -> list[tuple[str, float]]:
-    return vocabulary(path)
+def counter_of(path: str) -> Counter:
+    """One per worker process, which Spark uses for many tasks."""
+    return Counter(vocabulary(path))
 
 
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -97,7 +98,7 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(_pieces(path))
+        counter = counter_of(path)
         for b in batches:
             got = [counter.count(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
