@@ -23,12 +23,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoforge.llm.common import held_out
+from chronoforge.llm.common import held_out, temporary, written
 
 BUCKETS = 1 << 18
 SAMPLE = 4000
@@ -116,8 +115,19 @@ def sample(docs: DataFrame, labels: DataFrame, label: str) -> tuple[DataFrame, d
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).join(few, "doc_id"), counts
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
+def likelihood_ratio(a: Column, both: Column, pos: int, neg: int) -> Column:
+    """G statistic of a feature that a texts of class 1 and both texts of either class hold."""
+    n = pos + neg
+    cells = ((a, both, pos), (both - a, both, neg), (pos - a, n - both, pos), (neg - both + a, n - both, neg))
+    return sum((F.when(seen > 0, 2 * seen * F.log(seen * n / (held * of))).otherwise(0.0) for seen, held, of in cells), F.lit(0.0))
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", counterfactual: float = COUNTERFACTUAL) -> Model:
+    """Spark counts features and swaps; the driver gets the chosen features alone, of 2 * SAMPLE texts at most."""
     few, counts = sample(docs, labels, label)
+    n1, n0 = counts.get(1, 0), counts.get(0, 0)
+    prior = np.log(max(n1, 1e-6) / max(n0, 1e-6)) if n1 + n0 else -40.0
+    model = Model(float(np.clip(prior, -40, 40)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = Buckets()
@@ -129,45 +139,42 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
                 [b.column(1), pa.array(rows, pa.list_(pa.int32())), pa.array(pairs, pa.list_(pa.string()))], ["y", "features", "swaps"]
             )
 
-    got = few.select("text", "y").mapInArrow(run, "y int, features array<int>, swaps array<string>").toPandas()
-    n1, n0 = counts.get(1, 0), counts.get(0, 0)
-    prior = np.log(max(n1, 1e-6) / max(n0, 1e-6)) if n1 + n0 else -40.0
-    model = Model(float(np.clip(prior, -40, 40)))
+    with temporary(docs.sparkSession):
+        learned = written(few.select("text", "y").mapInArrow(run, "y int, features array<int>, swaps array<string>"), "toxicity-features")
+        texts = {r["y"]: r["count"] for r in learned.groupBy("y").count().collect()}
+        if len(texts) < 2:
+            return model
+        held = learned.select("y", F.explode("features").alias("f")).groupBy("f").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("both"))
+        held = held.filter((F.col("both") >= LEAST_TEXTS) & (likelihood_ratio(F.col("a"), F.col("both"), texts[1], texts[0]) >= LEAST_G))
+        used = np.array(sorted(r["f"] for r in held.select("f").collect()), int)  # BUCKETS at most
+        swapped = learned.select(F.explode("swaps").alias("s")).select(F.split("s", " ").alias("s")).groupBy(F.col("s")[0].alias("t"), F.col("s")[1].alias("o")).agg(F.sum(F.col("s")[2].cast("long")).alias("n")).collect()  # pairs of IDENTITY
+
+        def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = [[int(f) for f in np.intersect1d(np.array(r, int), used)] for r in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int32()))], ["y", "features"])
+
+        got = learned.select("y", "features").mapInArrow(chosen, "y int, features array<int>").toPandas()
     y = got["y"].to_numpy(float)
-    if not len(y) or y.min() == y.max():
-        return model
     flat = np.concatenate([np.zeros(0, np.int32), *got["features"]]).astype(np.int32)
     row = np.repeat(np.arange(len(got), dtype=np.int32), [len(f) for f in got["features"]])
-    # features worth a weight: frequent enough, and held by one class more often than chance explains
-    pos, neg = y.sum(), len(y) - y.sum()
-    a = np.bincount(flat, weights=y[row], minlength=BUCKETS)
-    both = np.bincount(flat, minlength=BUCKETS)
-    g = np.zeros(BUCKETS)
-    for seen, held, n in ((a, both, pos), (both - a, both, neg), (pos - a, len(y) - both, pos), (neg - both + a, len(y) - both, neg)):
-        expected = held * n / len(y)
-        g += 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0)
     pairs: Counter = Counter()
-    for s in got["swaps"]:
-        for p in s:
-            t, o, n = p.split(" ")
-            pairs[Buckets()[t][0], Buckets()[o][0]] += int(n)
-    used = np.flatnonzero((both >= LEAST_TEXTS) & (g >= LEAST_G))
+    for t, o, n in swapped:
+        pairs[Buckets()[t][0], Buckets()[o][0]] += n
     at = np.full(BUCKETS, -1)
     at[used] = np.arange(len(used))
-    keep = at[flat] >= 0
-    col, row = at[flat[keep]], row[keep]
     ia = np.array([at[i] for i, _ in pairs], int)
     ib = np.array([at[j] for _, j in pairs], int)
     weight = np.array(list(pairs.values()), float)
-    weight = COUNTERFACTUAL * weight / max(weight.sum(), 1.0) * len(y) / 100
-    w, bias = _descend(row, col, y, len(used), ia, ib, weight)
+    weight = counterfactual * weight / max(weight.sum(), 1.0) * len(y) / 100
+    w, bias = _descend(row, at[flat], y, len(used), ia, ib, weight)
     # the sample holds the classes in other shares than the labels do
-    model.bias = bias + prior - np.log(pos / neg)
+    model.bias = bias + prior - np.log(texts[1] / texts[0])
     model.weights = {int(f): float(v) for f, v in zip(used, w, strict=True)}
     return model
 
 
-def _descend(row, col, y, d, ia, ib, weight, rounds: int = 300) -> tuple[np.ndarray, float]:
+def _descend(row, col, y, d, ia, ib, weight, rounds: int = 2000) -> tuple[np.ndarray, float]:
     """Accelerated proximal descent on logistic loss + L2 + counterfactual penalty; all full sums."""
     w, bias = np.zeros(d), 0.0
     v, vb, t = w.copy(), 0.0, 1.0
