@@ -9,8 +9,9 @@
 * Isotonic calibration: raw scores of the labelled rows, counted in ``GRID`` steps, give the
   non-decreasing step means (pool adjacent violators); between steps the score is interpolated.
 
-All labelled rows outside the held-out quarter are used. Statistics are computed once and written
-to the shared folder; text is never shuffled.
+Learns from at most ``LABELLED`` labelled rows outside the held-out quarter (smallest hashes of the id; a
+documented, fixed bound, so that their ids can be broadcast and no text is shuffled). Statistics are computed
+once and written to the shared folder.
 
 Cases: null or empty text has defined statistics (zeros) and gets a score like any other; labels
 that are null are not learned from; a document labelled twice counts twice; an empty table gives no
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoforge.llm.common import WORDS, held_out, written
+from chronoforge.llm.common import WORDS, held_out, temporary, written
 
 STATS = 20
 FEATURES = 127
@@ -38,6 +39,8 @@ GAMMA = 0.05
 RIDGE = 1e-2
 GRID = 2048
 THRESHOLD = 0.7
+#: Rows to learn from, at most.
+LABELLED = 100_000
 
 _word, _letters, _odd = re.compile(WORDS), re.compile(r"[^\W\d_]"), re.compile(r"[^\w\s.,;:'\"?()-]")
 
@@ -97,7 +100,7 @@ def all_statistics(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "stats"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text"))
-    return written(rows.mapInArrow(run, "doc_id long, stats array<double>"), "quality-stats")
+    return written(rows.mapInArrow(run, "doc_id long, stats array<double>"), "quality-stats", outlive=True)
 
 
 class Model:
@@ -139,10 +142,19 @@ def _matrix(pdf: pd.DataFrame) -> np.ndarray:
     return np.stack(pdf["stats"].to_numpy()).astype(float) if len(pdf) else np.zeros((0, STATS))
 
 
+def labelled(labels: DataFrame, label: str = "quality") -> DataFrame:
+    """doc_id, y: the rows to learn from."""
+    named = labels.filter(~held_out()).select(F.col("doc_id").cast("long"), F.col(label).cast("double").alias("y")).dropna()
+    return F.broadcast(named.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(LABELLED))
+
+
 def fit(stats: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
-    """Learns from all labelled rows that are not held out."""
-    named = labels.filter(~held_out()).select(F.col("doc_id").cast("long"), F.col(label).cast("double").alias("y"))
-    rows = written(stats.join(named.dropna(), "doc_id"), "quality-labelled")
+    """Learns from the statistics of labelled rows that are not held out."""
+    with temporary(stats.sparkSession):
+        return _fit(written(stats.join(labelled(labels, label), "doc_id"), "quality-labelled"))
+
+
+def _fit(rows: DataFrame) -> Model:
     model = Model()
     cols = [F.col("stats")[i] for i in range(STATS)]
     got = rows.agg(F.count(F.lit(1)), *[F.avg(c) for c in cols], *[F.stddev_pop(c) for c in cols]).first()
@@ -188,8 +200,10 @@ def scored(stats: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents whose score reaches the threshold, with all their columns; text is not shuffled."""
-    model = fit(all_statistics(docs), labels)
+    """The documents whose score reaches the threshold, with all their columns; the fit reads labelled texts alone."""
+    with temporary(docs.sparkSession):
+        named = labelled(labels).select(F.col("doc_id").alias("id"))
+        model = fit(all_statistics(docs.join(F.broadcast(named), F.col("doc_id").cast("long") == F.col("id"), "left_semi")), labels)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
