@@ -4,12 +4,14 @@
 blocks, cues. ``demux`` reads any Matroska bytes: variable-length element ids and sizes (unknown
 sizes too), clusters, simple blocks and block groups, all four lacings (none, Xiph, fixed, EBML)
 and cues, and yields one packet row per frame: track, timestamp, byte range. ``packet_table`` is that
-as a DataFrame. The payload is what the frames of the track say when they are read back, and the features
+as a DataFrame. The frames of a lace follow each other by the block's duration, else by the track's default
+duration, else, for PCM, by the samples before them; where the file says none of these, they share the block's time. The payload is what the frames of the track say when they are read back, and the features
 are computed from those bytes.
 
 Cases: null or empty text is a payload of 64 zero bytes; texts of any length are cut into frames;
 equal texts give equal bytes; repeated rows are repeated; an empty table gives no rows; bytes that
-end within an element raise ValueError, and null media give no packets; other columns are ignored.
+are cut off or malformed raise ValueError in ``demux`` and are one row with an error in ``packet_table``; null media
+give no packets; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ TRACK, TRACK_NUMBER, TRACK_TYPE, CODEC = 0xAE, 0xD7, 0x83, 0x86
 AUDIO, RATE, CHANNELS, BITS = 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, CLUSTER_TIME, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
 CUES, CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
-MASTERS = {SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_POSITIONS, EBML}
+DEFAULT_DURATION, BLOCK_DURATION = 0x23E383, 0x9B
 #: Elements that end a cluster, or a segment's other part, of unknown size.
 TOP = {CLUSTER, CUES, TRACKS, INFO}
 
@@ -173,12 +175,50 @@ def _uint(data: bytes, a: int, b: int) -> int:
 
 
 def demux(data: bytes) -> tuple[list[tuple], list[tuple], dict]:
-    """(packets, cues, info).
+    """(packets, cues, info); ValueError for malformed bytes.
 
     packets: (cluster, block, frame, track, timestamp in ns, first byte, size, lacing, key frame);
     cues: (time in ns, track, first byte of the cluster element).
     """
-    packets, cues, info = [], [], {"scale": 1_000_000, "codec": "", "rate": 0.0}
+    try:
+        return _demux(data)
+    except (IndexError, struct.error, UnicodeDecodeError) as e:
+        raise ValueError(f"cut off or malformed: {e}") from e
+
+
+def _track(data: bytes, at: int, end: int) -> tuple[int, dict]:
+    """Number of a track, and what times its frames."""
+    track, out = 0, {"codec": "", "rate": 0.0, "frame_ns": 0, "sample_bytes": 1}
+    for e, p, q in elements(data, at, end):
+        if e == TRACK_NUMBER:
+            track = _uint(data, p, q)
+        elif e == CODEC:
+            out["codec"] = data[p:q].decode()
+        elif e == DEFAULT_DURATION:
+            out["frame_ns"] = _uint(data, p, q)
+        elif e == AUDIO:
+            inner = {k: (r, s) for k, r, s in elements(data, p, q)}
+            if RATE in inner:
+                r, s = inner[RATE]
+                out["rate"] = struct.unpack(">d" if s - r == 8 else ">f", data[r:s])[0]
+            channels, bits = (_uint(data, *inner[k]) if k in inner else n for k, n in ((CHANNELS, 1), (BITS, 8)))
+            out["sample_bytes"] = max(1, channels * bits // 8)
+    return track, out
+
+
+def _late(frames: list[tuple[int, int]], k: int, track: dict, duration_ns: int) -> int:
+    """Nanoseconds from a block's time to its k-th frame."""
+    if duration_ns:
+        return duration_ns * k // len(frames)
+    if track.get("frame_ns"):
+        return track["frame_ns"] * k
+    if track.get("codec", "").startswith("A_PCM") and track["rate"]:
+        return int(sum(size for _, size in frames[:k]) // track["sample_bytes"] * 1_000_000_000 / track["rate"])
+    return 0
+
+
+def _demux(data: bytes) -> tuple[list[tuple], list[tuple], dict]:
+    packets, cues, info, tracks = [], [], {"scale": 1_000_000, "codec": "", "rate": 0.0}, {}
     n_cluster = n_block = -1
     for top, a, b in elements(data, 0, len(data)):
         if top != SEGMENT:
@@ -187,12 +227,8 @@ def demux(data: bytes) -> tuple[list[tuple], list[tuple], dict]:
             if id_ == INFO:
                 info |= {"scale": _uint(data, x, y) for e, x, y in elements(data, c, d) if e == SCALE}
             elif id_ == TRACKS:
-                for t, x, y in elements(data, c, d):
-                    for e, p, q in elements(data, x, y) if t == TRACK else ():
-                        if e == CODEC:
-                            info["codec"] = data[p:q].decode()
-                        elif e == AUDIO:
-                            info |= {"rate": struct.unpack(">d" if s - r == 8 else ">f", data[r:s])[0] for k, r, s in elements(data, p, q) if k == RATE}
+                tracks |= dict(_track(data, x, y) for t, x, y in elements(data, c, d) if t == TRACK)
+                info |= {k: next(iter(tracks.values()), info)[k] for k in ("codec", "rate")}
             elif id_ == CUES:
                 for e, x, y in elements(data, c, d):
                     time, track, where = 0, 0, 0
@@ -208,16 +244,18 @@ def demux(data: bytes) -> tuple[list[tuple], list[tuple], dict]:
                 for e, x, y in elements(data, c, d):
                     if e == CLUSTER_TIME:
                         base = _uint(data, x, y)
-                    inner = [(x, y)] if e == SIMPLE_BLOCK else [(p, q) for k, p, q in elements(data, x, y) if k == BLOCK] if e == BLOCK_GROUP else []
+                    group = list(elements(data, x, y)) if e == BLOCK_GROUP else []
+                    lasts = sum(_uint(data, p, q) for k, p, q in group if k == BLOCK_DURATION) * info["scale"]
+                    inner = [(x, y)] if e == SIMPLE_BLOCK else [(p, q) for k, p, q in group if k == BLOCK]
                     for p, q in inner:
                         n_block += 1
                         track, at = read_vint(data, p)
                         time, flags = struct.unpack(">hB", data[at : at + 3])
                         kind = flags >> 1 & 3
                         stamp = (base + time) * info["scale"]
-                        for k, (start, size) in enumerate(lace(data, at + 3, q, kind)):
-                            late = int(k * FRAME * 1_000_000_000 / info["rate"]) if info["rate"] else 0
-                            packets.append((n_cluster, n_block, k, track, stamp + late, start, size, kind, bool(flags & 0x80) or e == BLOCK_GROUP))
+                        frames = lace(data, at + 3, q, kind)
+                        for k, (start, size) in enumerate(frames):
+                            packets.append((n_cluster, n_block, k, track, stamp + _late(frames, k, tracks.get(track, {}), lasts), start, size, kind, bool(flags & 0x80) or e == BLOCK_GROUP))
     return packets, cues, info
 
 
@@ -267,17 +305,21 @@ def media_columns(docs: DataFrame, with_media: bool = False) -> DataFrame:
 
 
 def packet_table(media: DataFrame, id_column: str = "doc_id", column: str = "media") -> DataFrame:
-    """One row per packet of the Matroska bytes in a column."""
-    names = ["cluster", "block", "frame", "track", "timestamp_ns", "byte_start", "byte_size", "lacing", "key_frame"]
+    """One row per packet of the Matroska bytes in a column; malformed bytes give one row, with error and no packet."""
+    names = ["cluster", "block", "frame", "track", "timestamp_ns", "byte_start", "byte_size", "lacing", "key_frame", "error"]
+    kinds = [pa.int64()] * 8 + [pa.bool_(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for id_, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if data is not None and (packets := demux(data)[0]):
+                try:
+                    packets = [(*p, None) for p in demux(data)[0]] if data is not None else []
+                except ValueError as e:
+                    packets = [(*[None] * 9, str(e))]
+                if packets:
                     cols = list(zip(*packets, strict=True))
-                    kinds = [pa.int64()] * 8 + [pa.bool_()]
                     yield pa.RecordBatch.from_arrays([pa.array([id_] * len(packets), b.schema.field(0).type), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["id", *names])
 
     id_type = media.schema[id_column].dataType.simpleString()
-    schema = f"id {id_type}, " + ", ".join(f"{n} {'boolean' if n == 'key_frame' else 'long'}" for n in names)
+    schema = f"id {id_type}, " + ", ".join(f"{n} { {'key_frame': 'boolean', 'error': 'string'}.get(n, 'long')}" for n in names)
     return media.select(id_column, column).mapInArrow(run, schema).withColumnRenamed("id", id_column)
