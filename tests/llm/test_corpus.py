@@ -701,3 +701,16 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, SF).count() == len(packed)
     for s in steps[1:]:
         s.unpersist()
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, docs, none, tmp_path, monkeypatch):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(1, 19)], "doc_id long, quality int, toxic int")
+    for name, table in (("odd", docs), ("empty", none)):
+        table.coalesce(2).write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+    monkeypatch.setattr(quality, "keep_good", lambda d, _: d)  # all rows go on, odd ones too
+    packed = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    assert {r.doc_id for r in packed} <= {i for i, _ in ROWS} and len(packed) > 5
+    assert Counter((r.doc_id, r.piece) for r in packed if r.doc_id == 2 or r.doc_id == 3) == {}  # copies of 1
