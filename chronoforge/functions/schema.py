@@ -19,7 +19,7 @@ EXPORT_COLUMNS = [
 ]
 # Where a keyword is looked for.
 SEARCH_COLUMNS = ["desc", "filename", "source", "sourcetype", "type", "user", "host", "extra", "tag", "URL", "source_name", "computer_name", "format", "notes"]
-#: Whose values are counted as metadata.
+# Whose values are counted as metadata.
 FREQUENCY_COLUMNS = ["sourcetype", "source", "user", "host", "MACB", "color", "type", "record_number"]
 EVENT_SCHEMA = "id long, " + ", ".join(f"`{c}` {'long' if c in INT_COLUMNS else 'string'}" for c in EVENT_COLUMNS)
 _BY_LOWER = {c.lower(): c for c in EVENT_COLUMNS}

@@ -14,8 +14,13 @@ FORMAT = "yyyy-MM-dd HH:mm:ss"
 FILETIME_EPOCH, COCOA_EPOCH = 11_644_473_600_000_000, 978_307_200
 
 
+#: First and last microsecond of the years 1 to 9999: the text holds no others.
+FIRST_MICRO, LAST_MICRO = -62_135_596_800_000_000, 253_402_300_799_999_999
+
+
 def micros_text(us: Column) -> Column:
-    return F.date_format(F.timestamp_micros(us), FORMAT)
+    """Null for times that the text form can't hold."""
+    return F.when(us.between(FIRST_MICRO, LAST_MICRO), F.date_format(F.timestamp_micros(us), FORMAT))
 
 
 def seconds_text(s: Column) -> Column:
@@ -52,7 +57,7 @@ def date_time_object(class_name: Column, is_number: Column, n: Column, fraction:
         .when(kind == "PosixTimeInMicroseconds", micros_text(n))
         .when(kind.isin("PosixTime", "FATDateTime"), seconds_text(n))
         .when(kind == "WebKitTime", filetime_text(F.try_multiply(n, F.lit(10))))
-        .when(kind == "CocoaTime", seconds_text(n + COCOA_EPOCH))
+        .when(kind == "CocoaTime", seconds_text(F.try_add(n, F.lit(COCOA_EPOCH))))
         .when(kind == "JavaTime", micros_text(F.try_multiply(n, F.lit(1000))))
         .when(fraction > 1e11, filetime_text(n))
         .when(fraction > 0, seconds_text(n))
@@ -97,6 +102,15 @@ def expand_date(value: str, end: bool = False) -> str:
     return f"{year}-{month}-{day} 23:59:59"
 
 
+def bucket_bounds(bucket: Column) -> tuple[Column, Column]:
+    """bucket_range of a column of buckets."""
+    last_day = F.date_format(F.last_day(F.concat(F.substring(bucket, 1, 7), F.lit("-01"))), "yyyy-MM-dd")
+    hour, day = F.length(bucket) > 10, F.length(bucket) == 10
+    first = F.when(hour, F.concat(F.substring(bucket, 1, 13), F.lit(":00:00"))).when(day, F.concat(bucket, F.lit(" 00:00:00"))).otherwise(F.concat(F.substring(bucket, 1, 7), F.lit("-01 00:00:00")))
+    last = F.when(hour, F.concat(F.substring(bucket, 1, 13), F.lit(":59:59"))).when(day, F.concat(bucket, F.lit(" 23:59:59"))).otherwise(F.concat(last_day, F.lit(" 23:59:59")))
+    return first, last
+
+
 def bucket_range(bucket: str) -> tuple[str, str]:
     """First and last second of a histogram bucket: a month, a day or an hour."""
     if len(bucket) > 10:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoforge.functions.schema import FREQUENCY_COLUMNS, column_name
 from chronoforge.functions.times import FORMAT
-from chronoforge.operators.predicates import Request, predicate, real_dates
+from chronoforge.operators.predicates import REAL_DATES, Request, date_span, predicate, real_dates, within_days
 
 #: Conditions counted in one pass; more would outgrow a compiled method.
 CONDITIONS_A_PASS = 50
@@ -56,19 +56,21 @@ def summary(events: DataFrame) -> DataFrame:
 def histogram(events: DataFrame, request: Request | None = None) -> DataFrame:
     """bucket, cnt: hours within a day, days within a month or a year, else months.
 
-    One scan counts hours; the range and the buckets come from those few rows.
+    One scan counts hours, of a store's days in range alone; the range and the buckets come from those few rows (hours of 130 years at most).
     """
     condition = predicate(request) if request else None
+    low, high = date_span(request) if request else ("", "")
+    events = within_days(events, max(low, REAL_DATES[0]), min(high or REAL_DATES[1], REAL_DATES[1]))
     rows = events.filter(real_dates() if condition is None else real_dates() & condition)
     ts = F.try_to_timestamp("datetime", F.lit(FORMAT))
     hours = rows.select(F.date_format(ts, "yyyy-MM-dd HH").alias("hour")).filter("hour IS NOT NULL").groupBy("hour").agg(F.count(F.lit(1)).alias("n"))
-    ends = hours.agg(F.min("hour").alias("lo"), F.max("hour").alias("hi"))
+    hours = hours.select("hour", "n", F.min("hour").over(Window.partitionBy()).alias("lo"), F.max("hour").over(Window.partitionBy()).alias("hi"))
 
     def same(n: int) -> Column:
         return F.substring("lo", 1, n) == F.substring("hi", 1, n)
 
     bucket = F.when(same(10), F.concat("hour", F.lit(":00:00"))).when(same(4), F.substring("hour", 1, 10)).otherwise(F.substring("hour", 1, 7))
-    return hours.join(F.broadcast(ends)).groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("cnt")).orderBy("bucket")  # ends: one row
+    return hours.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("cnt")).orderBy("bucket")
 
 
 def saved_query_counts(events: DataFrame, conditions: dict[str, Column | None]) -> DataFrame:

@@ -34,9 +34,16 @@ def set_bookmark(events: DataFrame, notes: DataFrame, ids: DataFrame, value: boo
 
 
 def toggle_bookmark(events: DataFrame, ids: DataFrame) -> DataFrame:
+    """1 to 0 and all else to 1, on the rows that ids names."""
     return _change(events, ids, "bookmark", F.when(F.col("bookmark") == 1, 0).otherwise(1).cast("long"))
 
 
+def toggle_bookmarks(events: DataFrame, notes: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same for events and notes: negative ids name notes."""
+    e, n = split_ids(ids)
+    return toggle_bookmark(events, e), toggle_bookmark(notes, n)
+
+
 def add_tag(events: DataFrame, ids: DataFrame, tag: str) -> DataFrame:
     """Events with one more tag on those named; ValueError if one of them is unknown."""
     named = split_ids(ids)[0]

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoforge.functions.schema import EVENT_COLUMNS, as_events, column_name
-from chronoforge.operators.predicates import Request, predicate
+from chronoforge.functions.schema import EVENT_COLUMNS, INT_COLUMNS, as_events, column_name
+from chronoforge.operators.predicates import Request, asks_for_notes, date_span, predicate, raw_where, saved, within_days
+
+#: A page that ends behind so many rows is found by counting first.
+DEEP = 100_000
 
 
 def notes_as_events(notes: DataFrame) -> DataFrame:
@@ -25,6 +28,11 @@ def matching(events: DataFrame, condition: Column | None, notes: DataFrame | Non
     return found.unionByName(more if rule == "all" or condition is None else more.filter(condition))
 
 
+def found(events: DataFrame, request: Request, notes: DataFrame | None = None, rule: str = "filtered") -> DataFrame:
+    """What matches a request; of a store only the days in its dates are read."""
+    return matching(within_days(events, *date_span(request)), predicate(request), notes, rule)
+
+
 def ordered(rows: DataFrame, order_by: str = "datetime") -> DataFrame:
     """Sorted by one event column, ids breaking ties; ValueError for an unknown one."""
     if column_name(order_by) is None:
@@ -32,10 +40,56 @@ def ordered(rows: DataFrame, order_by: str = "datetime") -> DataFrame:
     return rows.orderBy(column_name(order_by), "id")
 
 
-def page(rows: DataFrame, number: int = 1, size: int = 1000, order_by: str = "datetime") -> DataFrame:
-    """One page; the first pages need no full sort (the best rows of each task suffice)."""
-    out = ordered(rows, order_by)
-    return out.offset(size * (max(number, 1) - 1)).limit(size) if size > 0 else out
+def between(events: DataFrame, first: str, last: str) -> DataFrame:
+    """Events from one time to another; a store's other days are not read."""
+    return within_days(events, first, last).filter(F.col("datetime").between(first, last))
+
+
+def _sort_text(c: Column, is_number: bool) -> Column:
+    """A text that sorts like the column."""
+    return F.lpad((c.cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0") if is_number else c
+
+
+def _skip(rows: DataFrame, names: list[str], k: int, deep: int) -> tuple[DataFrame, int]:
+    """rows without most of the first k in the order of the columns, and how many of these k are left.
+
+    Counts the rows by the first characters of their sort text, then those of the characters at which the k-th row stands
+    by the next ones, until few rows are left before it: a scan and a short list of counts a step. Ties go on to the next column.
+    """
+    is_number = names[0] in ("id", *INT_COLUMNS)
+    text, prefix = _sort_text(F.col(names[0]), is_number), ""
+    step = 4 if is_number or names[0] == "datetime" else 1
+    while k > deep:
+        counts = rows.filter(text.startswith(prefix)).groupBy(F.substring(text, len(prefix) + 1, step).alias("part")).count().collect()
+        before = 0
+        for part, n in sorted(counts):
+            if before + n > k:
+                break
+            before += n
+        else:
+            return rows.limit(0), 0  # behind the last row
+        prefix, k = prefix + part, k - before
+        rows = rows.filter(text >= prefix)
+        if len(part) < step:  # rows of this very value
+            if not names[1:]:
+                break
+            tied, k = _skip(rows.filter(text == prefix), names[1:], k, deep)
+            return tied.unionByName(rows.filter(text > prefix)), k
+    return rows, k
+
+
+def page(rows: DataFrame, number: int = 1, size: int = 1000, order_by: str = "datetime", deep: int = DEEP) -> DataFrame:
+    """One page; the first pages need no full sort (the best rows of each task suffice), later ones skip most rows by counts."""
+    if size <= 0:
+        return ordered(rows, order_by)
+    k = size * (max(number, 1) - 1)
+    if k > deep and column_name(order_by):
+        rows, k = _skip(rows, [column_name(order_by), "id"], k, deep)
+    return ordered(rows, order_by).offset(k).limit(size)
+
+
+def last_page(rows: DataFrame, size: int = 1000, order_by: str = "datetime", deep: int = DEEP) -> DataFrame:
+    return page(rows, max(1, -(-rows.count() // size)), size, order_by, deep)
 
 
 def page_after(rows: DataFrame, last_value: str, last_id: int, size: int = 1000, order_by: str = "datetime") -> DataFrame:
@@ -45,11 +99,35 @@ def page_after(rows: DataFrame, last_value: str, last_id: int, size: int = 1000,
 
 
 def query(events: DataFrame, request: Request, notes: DataFrame | None = None, rule: str = "filtered") -> DataFrame:
-    return page(matching(events, predicate(request), notes, rule), request.page, request.page_size, request.order_by)
+    return page(found(events, request, notes, rule), request.page, request.page_size, request.order_by)
 
 
 def total(events: DataFrame, request: Request, notes: DataFrame | None = None, rule: str = "filtered") -> DataFrame:
     """total, pages: one row."""
-    n = matching(events, predicate(request), notes, rule).agg(F.count(F.lit(1)).alias("total"))
-    size = request.page_size if request.page_size > 0 else 1000
+    return _total(found(events, request, notes, rule), request.page_size)
+
+
+def _total(rows: DataFrame, size: int) -> DataFrame:
+    n = rows.agg(F.count(F.lit(1)).alias("total"))
+    size = size if size > 0 else 1000
     return n.select("total", F.greatest(F.lit(1), F.ceil(F.col("total") / size)).cast("long").alias("pages"))
+
+
+def raw_matching(events: DataFrame, where: str, notes: DataFrame | None = None, bookmarked: bool = False) -> DataFrame:
+    """Events that match a raw condition; all notes too, unless the condition names a source that isn't theirs."""
+    return matching(events, raw_where(where, bookmarked), notes, "all" if asks_for_notes(where) else "none")
+
+
+def raw_query(events: DataFrame, where: str, notes: DataFrame | None = None, number: int = 1, size: int = 1000, bookmarked: bool = False, order_by: str = "datetime") -> DataFrame:
+    """A page of a raw search."""
+    return page(raw_matching(events, where, notes, bookmarked), number, size, order_by)
+
+
+def raw_total(events: DataFrame, where: str, notes: DataFrame | None = None, size: int = 1000, bookmarked: bool = False) -> DataFrame:
+    """total, pages of a raw search: one row."""
+    return _total(raw_matching(events, where, notes, bookmarked), size)
+
+
+def saved_query(events: DataFrame, text: str, notes: DataFrame | None = None, number: int = 1, size: int = 1000) -> DataFrame:
+    """A page of a saved query."""
+    return page(matching(events, saved(text), notes), number, size)

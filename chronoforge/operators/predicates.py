@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass, field
+from datetime import date
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoforge.functions.schema import INT_COLUMNS, SEARCH_COLUMNS, column_name
@@ -88,9 +89,45 @@ def predicate(request: Request) -> Column | None:
     return combine([*user, *scopes], request.logic)
 
 
+def date_span(request: Request) -> tuple[str, str]:
+    """The least and greatest time text that a request's result can hold; '' for no bound."""
+    lows, highs = [], []
+    if request.logic != "OR":
+        for name, operator, value in request.filters:
+            if name.lower() == "datetime" and value:
+                lows += [expand_date(value)] if operator in (">=", "=") else []
+                highs += [expand_date(value, operator == "<=")] if operator in ("<=", "=") else []
+    if (request.logic != "OR" or request.and_scopes) and request.date_from and request.date_to:
+        lows.append(expand_date(request.date_from))
+        highs.append(expand_date(request.date_to, True))
+    return max(lows, default=""), min(highs, default="")
+
+
+def _day(text: str) -> date | None:
+    try:
+        return date.fromisoformat(text[:10]) if re.match(r"\d{4}-\d{2}-\d{2}", text) else None
+    except ValueError:  # no such day
+        return None
+
+
+def within_days(events: DataFrame, low: str = "", high: str = "") -> DataFrame:
+    """A store's events without the days (partitions) that hold no time text from low to high; rows without a day stay.
+
+    A time's first ten characters are its day, so bounds of texts bound the days. Tables without event_date pass as they are.
+    """
+    days = [F.col("event_date") >= F.lit(d) for d in [_day(low)] if d] + [F.col("event_date") <= F.lit(d) for d in [_day(high)] if d]
+    if not days or "event_date" not in events.columns:
+        return events
+    return events.filter(F.col("event_date").isNull() | reduce(and_, days))
+
+
+#: What real_dates lets through lies between.
+REAL_DATES = ("1970-01-01", "2100-01-01")
+
+
 def real_dates() -> Column:
     """Times within 1970 to 2099, compared as texts: unset and broken ones are out."""
-    return (F.col("datetime") > "1970-01-01") & (F.col("datetime") < "2100-01-01")
+    return (F.col("datetime") > REAL_DATES[0]) & (F.col("datetime") < REAL_DATES[1])
 
 
 _quoted = re.compile(r"('(?:[^']|'')*')")

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoforge.functions.data_types import SOURCES, source_of
 from chronoforge.functions.schema import EVENT_COLUMNS, EXPORT_COLUMNS, FREQUENCY_COLUMNS, SEARCH_COLUMNS
 from chronoforge.functions.text import MACB_JSON, MACB_OTHER, highlight, macb
-from chronoforge.functions.times import drop_offset, filetime_text, iso_to_utc, l2t_date, l2t_time
+from chronoforge.functions.times import bucket_bounds, drop_offset, filetime_text, iso_to_utc, l2t_date, l2t_time
 from chronoforge.operators import aggregates, edits, pages, predicates
 from chronoforge.operators.predicates import Request, predicate
 from chronoforge.plans.timeline_view import NOTES_SQL, TIMELINE_SQL, notes, timeline
-from chronoforge.sources import dynamic, jsonl, l2t, store, tln
+from chronoforge.sources import dynamic, imports, jsonl, l2t, store, tln
+from chronoforge.streaming.imports import live_histogram as stream_histogram
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -43,7 +46,23 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _found(spark: SparkSession, sf: str, request: Request) -> DataFrame:
-    return pages.matching(timeline(spark, sf), predicate(request))
+    return pages.found(timeline(spark, sf), request)
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder in the one that driver and executors share; a local session may do without one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-shared-")
+    return f"{base}/timelines-{uuid.uuid4().hex}"
+
+
+def _stored(spark: SparkSession, sf: str) -> str:
+    path = f"{_folder(spark)}/store"
+    store.append(timeline(spark, sf), path)
+    return path
 
 
 # -- filters
@@ -130,7 +149,7 @@ def notes_union_page(spark, sf):
     return pages.query(timeline(spark, sf), Request([("source", "=", "LOG")], page_size=200), notes(spark, sf), "all")
 
 
-@query(f"SELECT {COLUMNS} FROM (SELECT * FROM tl UNION ALL {NOTES_SQL}) WHERE \"desc\" ILIKE '%purchase%' ORDER BY datetime DESC, id LIMIT 1000000")
+@query(f"SELECT {COLUMNS} FROM (SELECT * FROM tl UNION ALL {NOTES_SQL}) WHERE \"desc\" ILIKE '%purchase%'")
 def notes_filtered(spark, sf):
     return pages.matching(timeline(spark, sf), predicate(Request([("desc", "LIKE", "purchase")])), notes(spark, sf))
 
@@ -150,6 +169,37 @@ def count_events(spark, sf):
     return aggregates.count(timeline(spark, sf), F.col("source") == "EVT")
 
 
+@query(f"SELECT {COLUMNS} FROM tl ORDER BY datetime, id LIMIT 50 OFFSET 700")
+def page_by_number(spark, sf):
+    return pages.page(timeline(spark, sf), 15, 50, deep=100)
+
+
+@query(f"SELECT {COLUMNS} FROM tl ORDER BY host, id LIMIT 50 OFFSET 700")
+def page_by_number_of_ties(spark, sf):
+    return pages.page(timeline(spark, sf), 15, 50, "host", deep=100)
+
+
+@query(f"SELECT {COLUMNS} FROM tl ORDER BY datetime, id LIMIT 64 OFFSET (SELECT (count(*) - 1) // 64 * 64 FROM tl)")
+def last_page(spark, sf):
+    return pages.last_page(timeline(spark, sf), 64, deep=100)
+
+
+@query(f"SELECT {COLUMNS} FROM (SELECT * FROM tl WHERE \"desc\" ILIKE 'view%' AND bookmark = 1 UNION ALL {NOTES_SQL}) ORDER BY datetime, id LIMIT 100 OFFSET 100")
+def raw_search_page(spark, sf):
+    return pages.raw_query(timeline(spark, sf), "desc LIKE 'view%'", notes(spark, sf), 2, 100, bookmarked=True)
+
+
+@query("SELECT (SELECT count(*) FROM tl WHERE source = 'REG') AS total, greatest(1, CAST(ceil((SELECT count(*) FROM tl WHERE source = 'REG') / 100.0) AS BIGINT)) AS pages")
+def raw_search_total(spark, sf):
+    return pages.raw_total(timeline(spark, sf), "source = 'REG'", notes(spark, sf), 100)
+
+
+@query(f"SELECT {COLUMNS} FROM (SELECT * FROM tl UNION ALL {NOTES_SQL}) WHERE host = 'HOST1' OR tag ILIKE '%reviewed%' ORDER BY datetime, id LIMIT 30 OFFSET 30")
+def saved_query_page(spark, sf):
+    text = '{"filters": [{"field": "host", "operator": "=", "value": "HOST1"}, {"field": "tag", "operator": "LIKE", "value": "reviewed"}], "logic": "OR"}'
+    return pages.saved_query(timeline(spark, sf), text, notes(spark, sf), 2, 30)
+
+
 # -- aggregates
 
 
@@ -199,6 +249,29 @@ def histogram_month(spark, sf):
     return aggregates.histogram(orders.select(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("datetime")))
 
 
+@query(
+    "SELECT DISTINCT b AS bucket, b || CASE length(b) WHEN 7 THEN '-01 00:00:00' WHEN 10 THEN ' 00:00:00' ELSE '' END AS first,"
+    " CASE length(b) WHEN 7 THEN strftime(last_day(CAST(b || '-01' AS DATE)), '%Y-%m-%d') || ' 23:59:59' WHEN 10 THEN b || ' 23:59:59' ELSE b[:13] || ':59:59' END AS last"
+    " FROM (SELECT unnest([strftime(o_orderdate, '%Y-%m'), strftime(o_orderdate, '%Y-%m-%d'), strftime(o_orderdate, '%Y-%m-%d 07:00:00')]) AS b FROM orders)",
+    timeline_sql=False,
+)
+def bucket_ranges(spark, sf):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    buckets = spark.read.parquet(f"{sf}/orders.parquet").select(F.explode(F.array(F.substring(day, 1, 7), day, F.concat(day, F.lit(" 07:00:00")))).alias("bucket")).distinct()
+    first, last = bucket_bounds(F.col("bucket"))
+    return buckets.select("bucket", first.alias("first"), last.alias("last"))
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS bucket, count(*) AS cnt FROM events GROUP BY 1", timeline_sql=False)
+def live_histogram(spark, sf):
+    path, name = f"{sf}/events.parquet", f"live_{uuid.uuid4().hex}"
+    glob = f"{sf}/events.parque[t]"  # a stream takes a folder or a pattern, not a file
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(glob).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime"))
+    running = stream_histogram(stream).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{_folder(spark)}/live").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.table(name).select(F.date_format("bucket", "yyyy-MM-dd HH:mm:ss").alias("bucket"), "cnt")
+
+
 @query(
     "SELECT 'reg' AS name, CAST(count_if(source = 'REG') AS BIGINT) AS events FROM tl UNION ALL SELECT 'either', CAST(count_if(host = 'HOST1' OR tag ILIKE '%malware%') AS BIGINT) FROM tl"
     " UNION ALL SELECT 'raw', CAST(count_if(\"desc\" ILIKE 'click%') AS BIGINT) FROM tl UNION ALL SELECT 'all', count(*) FROM tl"
@@ -243,6 +316,12 @@ def toggle_bookmark(spark, sf):
     return edits.toggle_bookmark(timeline(spark, sf), timeline(spark, sf).filter("id % 7 = 0").select("id")).select("id", "bookmark")
 
 
+@query("SELECT id, CASE WHEN id % 7 != 0 THEN bookmark WHEN bookmark = 1 THEN 0 ELSE 1 END AS bookmark FROM tl UNION ALL SELECT -id, CASE WHEN id % 2 != 0 THEN bookmark WHEN bookmark = 1 THEN 0 ELSE 1 END FROM nt")
+def toggle_bookmarks(spark, sf):
+    e, n = edits.toggle_bookmarks(timeline(spark, sf), notes(spark, sf), _ids(spark, sf))
+    return e.select("id", "bookmark").unionByName(n.select((-F.col("id")).alias("id"), "bookmark"))
+
+
 @query("SELECT id, CASE WHEN id % 5 = 0 THEN 'note ' || id ELSE notes END AS notes, CASE WHEN id % 5 = 0 THEN 'LATER' ELSE color END AS color, \"desc\" FROM tl")
 def update_fields(spark, sf):
     named = timeline(spark, sf).filter("id % 5 = 0").select("id")
@@ -282,6 +361,95 @@ def push_sanitised(spark, sf):
     return store.sanitised(rows).select("id", "datetime", "desc")
 
 
+# -- stores: the timeline is appended to a store, which numbers its rows anew; record_number tells them
+
+
+EVENT_SQL = ", ".join(f'"{c}"' for c in EVENT_COLUMNS)
+
+
+@query(f"SELECT {EVENT_SQL} FROM tl WHERE source = 'WEBHIST' AND {IN_DAYS}")
+def stored_date_range(spark, sf):
+    request = Request([("source", "=", "WEBHIST")], date_from=DAY[0], date_to=DAY[1])
+    return pages.found(store.open_parquet(spark, _stored(spark, sf)), request).select(*EVENT_COLUMNS)
+
+
+@query(f"SELECT datetime[:10] AS bucket, count(*) AS cnt FROM tl WHERE {REAL} AND {IN_DAYS} GROUP BY 1")
+def stored_histogram(spark, sf):
+    return aggregates.histogram(store.open_parquet(spark, _stored(spark, sf)), Request(date_from=DAY[0], date_to=DAY[1]))
+
+
+@query(
+    "SELECT record_number, CASE WHEN id % 50 = 3 THEN 'EDITED' ELSE color END AS color, CASE WHEN id % 100 = 3 THEN '2024-03-03 00:00:00' ELSE datetime END AS datetime, \"desc\" FROM tl"
+)
+def stored_edits(spark, sf):
+    path = _stored(spark, sf)
+    named = store.open_parquet(spark, path).withColumn("n", F.col("record_number").cast("long") + 1)
+    colors = named.filter("n % 50 = 3").select("id", F.lit("color").alias("field"), F.lit("EDITED").alias("value"), F.lit(1).alias("seq"))
+    times = named.filter("n % 100 = 3").select("id", F.lit("datetime").alias("field"), F.lit("2024-03-03 00:00:00").alias("value"), F.lit(1).alias("seq"))
+    store.apply_edits(spark, path, colors.unionByName(times))
+    return store.open_parquet(spark, path).select("record_number", "color", "datetime", "desc")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS field, \"{c}\" AS value, 2 * count(*) AS frequency FROM tl WHERE \"{c}\" != '' GROUP BY \"{c}\"" for c in FREQUENCY_COLUMNS))
+def stored_metadata(spark, sf):
+    path = _stored(spark, sf)
+    store.append(timeline(spark, sf), path)
+    store.refresh_metadata(spark, path)
+    return store.metadata(spark, path)[0]
+
+
+def _rendered(spark, sf) -> str:
+    """The timeline as files: a third each as TLN, JSON lines and CSV with line breaks in it."""
+    rows, path = _with_epoch(spark, sf).withColumn("iso", F.date_format(F.timestamp_seconds("epoch"), "yyyy-MM-dd'T'HH:mm:ss")), _folder(spark)
+    line = F.concat_ws("|", F.when(F.col("id") % 13 == 0, F.lit("abc")).otherwise(F.col("epoch").cast("string")), "source", "host", "user", "desc")
+    rows.filter("id % 3 = 0").select(line.alias("value")).write.text(f"{path}/tln")
+    rows.filter("id % 3 = 1").select(F.col("iso").alias("datetime"), F.col("source").alias("source_short"), F.col("host").alias("hostname"), F.col("desc").alias("message")).write.json(f"{path}/jsonl")
+    broken = F.concat("desc", F.when(F.col("id") % 2 == 0, F.lit('\n"second", line')).otherwise(""))
+    rows.filter("id % 3 = 2").select(F.col("iso").alias("datetime"), "source", "host", broken.alias("message")).write.option("header", True).option("escape", '"').csv(f"{path}/csv")
+    return path
+
+
+_WHEN = "strftime(ts, '%Y-%m-%d %H:%M:%S') AS datetime"
+
+
+@query(
+    f"SELECT {_WHEN}, source, host, \"desc\" || CASE WHEN id % 6 = 2 THEN chr(10) || '\"second\", line' ELSE '' END AS \"desc\" FROM (SELECT tl.*, ts FROM tl JOIN events ON id = event_id + 1)"
+    " WHERE NOT (id % 3 = 0 AND id % 13 = 0)"
+)
+def import_files(spark, sf):
+    path = _rendered(spark, sf)
+    store.import_files(spark, [f"{path}/{kind}" for kind in ("tln", "jsonl", "csv")], f"{path}/store")
+    return store.open_parquet(spark, f"{path}/store").select("datetime", "source", "host", "desc")
+
+
+@query(
+    "SELECT CASE id % 3 WHEN 0 THEN 'tln' WHEN 1 THEN 'jsonl' ELSE 'dynamic' END AS import_format, CAST(count_if(NOT (id % 3 = 0 AND id % 13 = 0)) AS BIGINT) AS events,"
+    " CAST(count_if(id % 3 = 0 AND id % 13 = 0) AS BIGINT) AS excluded FROM tl GROUP BY 1"
+)
+def detect_formats(spark, sf):
+    path = _rendered(spark, sf)
+    found = imports.summary(imports.read_all(spark, [f"{path}/{kind}" for kind in ("tln", "jsonl", "csv")]))
+    return found.groupBy("import_format").agg(F.sum("events").alias("events"), F.sum("excluded").alias("excluded"))
+
+
+@query("SELECT id, CASE WHEN host = 'HOST1' THEN 'WHITE' ELSE 'OF ' || host END AS color FROM tl")
+def color_template_csv(spark, sf):
+    path = f"{_folder(spark)}/colors"
+    hosts = timeline(spark, sf).select("host").distinct()
+    hosts.select("host", F.when(F.col("host") != "HOST1", F.concat(F.lit("OF "), F.col("host"))).alias("colorcode")).write.option("header", True).csv(path)
+    return edits.apply_color_template(timeline(spark, sf), store.read_color_template(spark, path), "host").select("id", "color")
+
+
+@query("SELECT s.source AS name, (SELECT count(*) FROM tl WHERE tl.source = s.source OR bookmark = 1) AS events FROM (SELECT DISTINCT source FROM tl) AS s")
+def saved_queries_csv(spark, sf):
+    path = f"{_folder(spark)}/queries"
+    sources = timeline(spark, sf).select(F.col("source").alias("Name")).distinct()
+    sql = F.concat(F.lit("source = '"), F.col("Name"), F.lit("'\nOR bookmark = 1"))
+    sources.select("Name", sql.alias("SQL"), *[F.lit("").alias(c) for c in store.SAVED_COLUMNS[2:]]).coalesce(1).write.option("header", True).csv(path)
+    saved = {r.Name: predicates.raw_where(r.SQL) for r in store.read_saved_queries(spark, path).collect()}  # a row a saved query
+    return aggregates.saved_query_counts(timeline(spark, sf), saved)
+
+
 # -- sources: lines are rendered from the timeline, then parsed; the SQL never parses
 
 
@@ -290,15 +458,19 @@ _SECONDS = "CAST(floor(epoch(ts)) AS BIGINT)"
 
 
 def _with_epoch(spark, sf):
-    ts = spark.read.parquet(f"{sf}/events.parquet").select((F.col("event_id") + 1).alias("id"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("epoch"))
-    return timeline(spark, sf).join(ts, "id")
+    return timeline(spark, sf, ("epoch",))
+
+
+def _lines(rows: DataFrame, line: Column) -> DataFrame:
+    """Rendered lines, dealt to all tasks as large files would be."""
+    return rows.select(line.alias("value")).repartition(rows.sparkSession.sparkContext.defaultParallelism)
 
 
 @query(f"SELECT strftime(to_timestamp(e) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS datetime, source, host, \"user\", type, {_M2} AS \"MACB\", \"desc\" || ' | ' || id AS \"desc\", 'UTC' AS timezone FROM (SELECT tl.*, {_SECONDS} AS e FROM tl JOIN events ON id = event_id + 1) WHERE id % 13 != 0")
 def read_tln(spark, sf):
     bad = F.when(F.col("id") % 13 == 0, F.lit("abc")).otherwise(F.col("epoch").cast("string"))
     line = F.concat_ws("|", bad, "source", "host", "user", F.concat_ws("; ", "datetime", "type", F.concat("desc", F.lit(" | "), F.col("id"))))
-    out = tln.lines_to_events(_with_epoch(spark, sf).select(line.alias("value")), 5)
+    out = tln.lines_to_events(_lines(_with_epoch(spark, sf), line), 5)
     return out.filter("ok").select("datetime", "source", "host", "user", "type", "MACB", "desc", "timezone")
 
 
@@ -307,7 +479,7 @@ def read_l2ttln(spark, sf):
     n = F.col("id")
     note = F.when(n % 3 == 0, F.lit("-")).otherwise(F.concat(F.lit("File: "), F.col("filename"), F.when(n % 3 == 1, F.concat(F.lit(" inode: "), n)).otherwise("")))
     line = F.concat_ws("|", F.lit("0"), "source", "host", "user", "desc", F.when(n % 2 == 0, "-").otherwise("America/New_York"), note)
-    out = tln.lines_to_events(timeline(spark, sf).select(line.alias("value")), 7)
+    out = tln.lines_to_events(_lines(timeline(spark, sf), line), 7)
     return out.select("timezone", "notes", "filename", "inode", "desc", "datetime")
 
 
@@ -328,6 +500,12 @@ def l2t_window(spark, sf):
     return l2t.in_window(timeline(spark, sf), "2024-01-05", "2024-01-09").select("datetime", "source", "desc")
 
 
+@query("SELECT host AS file, CAST(count_if(datetime[:10] > '2024-01-05' AND datetime[:10] < '2024-01-09') AS BIGINT) AS events, CAST(count_if(NOT (datetime[:10] > '2024-01-05' AND datetime[:10] < '2024-01-09')) AS BIGINT) AS excluded FROM tl GROUP BY host")
+def l2t_window_summary(spark, sf):
+    marked = l2t.mark_window(timeline(spark, sf), "2024-01-05", "2024-01-09")
+    return imports.summary(marked.withColumn("file", F.col("host")).withColumn("import_format", F.lit("l2t"))).drop("import_format")
+
+
 @query(
     "SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS datetime, 'UTC' AS timezone, CASE WHEN id % 2 = 0 THEN 'FILE' ELSE 'CUSTOM' END AS source, CASE WHEN id % 2 = 0 THEN 'NTFS File stat' ELSE 'custom:thing:x' END AS sourcetype,"
     " type, CASE id % 5 WHEN 1 THEN 'M...' WHEN 2 THEN '.A..' WHEN 3 THEN '..C.' WHEN 4 THEN '...B' ELSE '' END AS \"MACB\", \"user\", filename, 'a, b' AS tag, 'alpha: ' || id || '; zeta: true' AS extra, id AS store_number, CAST(id AS VARCHAR) AS event_identifier FROM (SELECT tl.*, ts FROM tl JOIN events ON id = event_id + 1)"
@@ -343,7 +521,7 @@ def read_jsonl_raw(spark, sf):
             F.lit(True).alias("zeta"), n.alias("alpha"), F.struct(n.alias("x")).alias("nested"), n.cast("string").alias("store_number"), n.alias("event_identifier"), F.lit("T").alias("__type__"),
         )
     )
-    out = jsonl.lines_to_events(_with_epoch(spark, sf).select(line.alias("value")))
+    out = jsonl.lines_to_events(_lines(_with_epoch(spark, sf), line))
     return out.select("datetime", "timezone", "source", "sourcetype", "type", "MACB", "user", "filename", "tag", "extra", "store_number", "event_identifier")
 
 
@@ -358,7 +536,7 @@ def read_jsonl_psort(spark, sf):
             F.col("desc").alias("message"), F.col("host").alias("computer_name"), "tag", F.when(n % 11 == 0, "x").otherwise(n.cast("string")).alias("offset"), F.col("URL").alias("url"),
         )
     )
-    lines = _with_epoch(spark, sf).select(F.when(n % 17 == 0, F.lit("{broken")).otherwise(line).alias("value"))
+    lines = _lines(_with_epoch(spark, sf), F.when(n % 17 == 0, F.lit("{broken")).otherwise(line))
     return jsonl.lines_to_events(lines).filter("ok").select("datetime", "source", "sourcetype", "desc", "host", "tag", "offset", "URL")
 
 
@@ -402,7 +580,7 @@ def macb_tln(spark, sf):
     return _described(spark, sf).select("id", macb(F.col("d"), MACB_OTHER).alias("macb"))
 
 
-_TYPES = [*list(SOURCES)[::9], "fs:stat:odd", "new:thing:x", "single", ""]
+_TYPES = [*SOURCES, "fs:stat:odd", "new:thing:x", "single", ""]
 
 
 @query(

@@ -12,8 +12,8 @@ TAGS = ["malware", "suspicious, lateral_movement", "Malware"]
 COLORS = ["RED", "BLUE"]
 
 
-def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id and the event columns."""
+def timeline(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id and the event columns; keep may add epoch, the real time in seconds."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     n, kind = F.col("event_id"), F.col("event_type")
     date = F.when(n % 97 == 0, "0000-00-00 00:00:00").when(n % 101 == 0, "Not a time").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
@@ -28,7 +28,7 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
         "extra": F.col("props"), "URL": F.when(web, F.concat(F.lit("http://site/"), n % 50)), "tag": pick(TAGS, n % 11), "color": pick(COLORS, n % 13),
         "bookmark": (n % 10 == 0).cast("long"), "record_number": n.cast("string"),
     }
-    return as_events(e.withColumn("id", n + 1), values, ("id",))
+    return as_events(e.withColumn("id", n + 1).withColumn("epoch", F.unix_timestamp(F.col("ts").cast("timestamp"))), values, ("id", *keep))
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:

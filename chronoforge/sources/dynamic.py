@@ -1,4 +1,7 @@
-"""CSV whose header says what its columns are."""
+"""CSV whose header says what its columns are.
+
+Quotes are read leniently and rows may be ragged, so that no row is malformed: every row is an event.
+"""
 
 from __future__ import annotations
 
@@ -12,32 +15,31 @@ from chronoforge.functions.schema import as_events, column_name
 from chronoforge.functions.text import MACB_OTHER, macb
 from chronoforge.functions.times import drop_offset
 
-# Header names (lower case) of each event column.
-ALIASES = {
-    "datetime": ["datetime", "date"],
-    "type": ["timestamp_desc", "type"],
-    "source": ["source", "source_short"],
-    "sourcetype": ["sourcetype", "source_long"],
-    "desc": ["message", "desc", "short", "description"],
-    "format": ["parser", "format"],
-    "filename": ["display_name", "filename"],
-    "host": ["host", "hostname"],
-    "user": ["user", "username"],
-    "macb": ["macb"],
-    "tag": ["tag"],
-    "inode": ["inode"],
-    "timezone": ["timezone", "zone", "tz"],
-    "notes": ["notes"],
-    "extra": ["extra"],
-    "url": ["url"],
-    "record_number": ["record_number"],
-    "event_identifier": ["event_identifier"],
-    "event_type": ["event_type"],
-    "source_name": ["source_name"],
-    "user_sid": ["user_sid"],
-    "computer_name": ["computer_name"],
-}
-TARGET = {name: column for column, names in ALIASES.items() for name in names}
+# Event column (lower case) of each header name (lower case).
+TARGET = {
+    "datetime": "datetime", "date": "datetime",
+    "timestamp_desc": "type", "type": "type",
+    "source": "source", "source_short": "source",
+    "sourcetype": "sourcetype", "source_long": "sourcetype",
+    "message": "desc", "desc": "desc", "short": "desc", "description": "desc",
+    "parser": "format", "format": "format",
+    "display_name": "filename", "filename": "filename",
+    "host": "host", "hostname": "host",
+    "user": "user", "username": "user",
+    "macb": "macb",
+    "tag": "tag",
+    "inode": "inode",
+    "timezone": "timezone", "zone": "timezone", "tz": "timezone",
+    "notes": "notes",
+    "extra": "extra",
+    "url": "url",
+    "record_number": "record_number",
+    "event_identifier": "event_identifier",
+    "event_type": "event_type",
+    "source_name": "source_name",
+    "user_sid": "user_sid",
+    "computer_name": "computer_name",
+}
 BLANKS = " \t\r\n"
 #: Cells of a row that Spark's parser makes room for; it fails on a row with more.
 MOST_CELLS = 1_000_000

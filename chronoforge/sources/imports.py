@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,15 +35,47 @@ def detect(path: str, first_line: str) -> str | None:
     return kind or ("dynamic" if any(h.strip().lower() in dynamic.TARGET for h in header) else None)
 
 
+#: Files up to this size are read whole, many a task, to find their first lines.
+SMALL_FILE = 1 << 20
+
+
 def first_lines(spark: SparkSession, paths: list[str]) -> dict[str, str]:
-    """First line that isn't blank of each file (a row a file reaches the driver)."""
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
-    lines = lines.filter((F.col("block") == 0) & (F.trim("value") != ""))
-    return {r["file"]: r["first"] for r in lines.groupBy("file").agg(F.min_by("value", "at").alias("first")).collect()}
+    """First line that isn't blank of each file (a row a file reaches the driver). Of a large file only the head is read."""
+    sizes = spark.read.format("binaryFile").load(paths).select("path", "length").collect()  # lists the files without reading them
+    filled = lambda df: df.filter(F.trim("value") != "")
+    out: dict[str, str] = {}
+    if small := [r.path for r in sizes if r.length <= SMALL_FILE]:
+        lines = spark.read.text(small).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), "value")
+        found = {r["file"]: r["first"] for r in filled(lines).groupBy("file").agg(F.min_by("value", "at").alias("first")).collect()}
+        by_name = {_plain(k): v for k, v in found.items()}
+        out = {p: by_name[_plain(p)] for p in small if _plain(p) in by_name}
+    with ThreadPoolExecutor(8) as pool:  # a small job a large file, which ends at the first line
+        heads = pool.map(lambda r: (r.path, filled(spark.read.text(r.path)).first()), [r for r in sizes if r.length > SMALL_FILE])
+        out |= {path: row.value for path, row in heads if row}
+    return out
+
+
+def _plain(path: str) -> str:
+    """A path without its encoding and the doubled slashes that the two ways to name a file differ in."""
+    return re.sub("^(\\w+):/*", "\\1:/", unquote(path))
+
+
+#: A CSV line that holds whole records: cells without quotes in front, or quoted ones that are closed.
+_CELL = '[ \t]*+(?:"[^"]*+(?:""[^"]*+)*+"[^,"]*+|[^",][^,]*+|)'
+WHOLE_LINE = f"^{_CELL}(?:,{_CELL})*+\r?$"
+
+
+def breaks_lines(spark: SparkSession, paths: list[str]) -> bool:
+    """Whether a CSV file may hold line breaks within quotes; files without can be split. One pass over the lines, which any task can do."""
+    lines = spark.read.text(paths)
+    return not lines.filter(F.contains("value", F.lit('"')) & ~F.col("value").rlike(WHOLE_LINE)).isEmpty()
+
 
+def read_all(spark: SparkSession, paths: list[str], multiline: bool | str = "auto", date_from: str = "", date_to: str = "") -> DataFrame:
+    """Events of all files, with ok (false: excluded), file and import_format; ValueError for a file of no known format.
 
-def read_all(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Events of all files, with ok (false: excluded), file and import_format; ValueError for a file of no known format."""
+    multiline: whether CSV may hold line breaks within quotes; "auto" looks. date_from, date_to: the window of L2T files (see l2t.mark_window).
+    """
     groups: dict[tuple, list[str]] = {}
     for file, line in sorted(first_lines(spark, paths).items()):
         kind = detect(file, line)
@@ -50,12 +84,13 @@ def read_all(spark: SparkSession, paths: list[str]) -> DataFrame:
         groups.setdefault((kind, tuple(dynamic.header_of(line)) if kind == "dynamic" else ()), []).append(file)
     out = None
     for (kind, header), files in groups.items():
+        breaks = kind in ("l2t", "dynamic") and (breaks_lines(spark, files) if multiline == "auto" else multiline)
         if kind == "jsonl":
             df = jsonl.read(spark, files)
         elif kind == "l2t":
-            df = l2t.read(spark, files).withColumn("ok", F.lit(True))
+            df = l2t.mark_window(l2t.read(spark, files, breaks), date_from, date_to)
         elif kind == "dynamic":
-            df = dynamic.read(spark, files, list(header)).withColumn("ok", F.lit(True))
+            df = dynamic.read(spark, files, list(header), breaks).withColumn("ok", F.lit(True))
         else:
             df = tln.read(spark, files, 5 if kind == "tln" else 7)
         df = df.withColumn("import_format", F.lit(kind))

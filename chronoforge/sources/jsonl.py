@@ -1,4 +1,8 @@
-"""JSON lines, raw storage rows and formatted rows; which is decided row by row. A line is parsed once, to VARIANT."""
+"""JSON lines, raw storage rows and formatted rows; which is decided row by row.
+
+A line is parsed once, to VARIANT: the parsed value passes through a generator, which Spark neither repeats
+in later expressions nor filters ahead of.
+"""
 
 from __future__ import annotations
 
@@ -11,9 +15,12 @@ from chronoforge.functions.text import MACB_JSON, macb
 from chronoforge.functions.times import date_time_object, iso_to_utc, micros_text
 
 # Keys that have a place of their own, or none at all.
-NOT_EXTRA = """timestamp datetime timestamp_desc date_time source_short source_long source data_type message display_name filename
-inode parser hostname username computer_name event_identifier event_type source_name user_sid record_number store_number
-store_index vss_store_number offset url zone inode_number path_separator tag tag_list __container_type__ __type__ pathspec""".split()
+NOT_EXTRA = [
+    "timestamp", "datetime", "timestamp_desc", "date_time", "source_short", "source_long", "source", "data_type", "message", "display_name",
+    "filename", "inode", "parser", "hostname", "username", "computer_name", "event_identifier", "event_type", "source_name", "user_sid",
+    "record_number", "store_number", "store_index", "vss_store_number", "offset", "url", "zone", "inode_number", "path_separator", "tag", "tag_list",
+    "__container_type__", "__type__", "pathspec",
+]
 
 
 def _kind(v: Column) -> Column:
@@ -43,17 +50,26 @@ def as_long(v: Column) -> Column:
     return F.coalesce(_whole(v), text, F.lit(0))
 
 
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with one more column, whose expression Spark evaluates once a row."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def lines_to_events(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Events of a column ``value``; a column ``ok`` says which lines are objects (others are excluded)."""
     rows = lines.filter(F.trim(F.col("value"), F.lit(" \t\r\n")) != "")
-    rows = rows.withColumn("_v", F.try_parse_json("value"))
+    parsed = F.try_parse_json("value")
     # a key that stands twice makes no VARIANT; the map reader takes it, and the last value counts
     pairs = F.map_entries(F.expr("from_json(value, 'map<string, variant>', map('mode', 'PERMISSIVE'))"))
-    keys = F.array_distinct(F.transform(pairs, lambda e: e["key"]))
-    last = F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda e: e["key"] == k), -1)["value"]))
-    twice = F.when(F.col("_v").isNull() & F.col("value").rlike(r"^\s*\{.*\}\s*$"), last)
-    rows = rows.withColumn("_m", F.coalesce(F.expr("try_cast(_v AS map<string, variant>)"), twice)).withColumn("ok", F.col("_m").isNotNull())
-    rows = rows.withColumn("_t", F.transform_values("_m", lambda _, v: as_text(v)))  # each value's text is made once
+
+    def last_of_each(p: Column) -> Column:
+        keys = F.array_distinct(F.transform(p, lambda e: e["key"]))
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(p, lambda e: e["key"] == k), -1)["value"]))
+
+    rows = _once(rows, "_v", parsed)
+    twice = F.when(F.col("_v").isNull() & F.col("value").rlike(r"^\s*\{.*\}\s*$"), F.element_at(F.transform(F.array(pairs), last_of_each), 1))
+    rows = _once(rows, "_m", F.coalesce(F.expr("try_cast(_v AS map<string, variant>)"), twice)).withColumn("ok", F.col("_m").isNotNull())
+    rows = _once(rows, "_t", F.transform_values("_m", lambda _, v: as_text(v)))  # each value's text is made once
 
     def get(key: str) -> Column:
         return F.try_element_at(F.col("_m"), F.lit(key))

@@ -22,6 +22,12 @@ def cells_to_events(cells: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return as_events(cells, out | {"datetime": F.concat(l2t_date(c["date"]), F.lit(" "), l2t_time(c["time"]))}, keep)
 
 
+def mark_window(events: DataFrame, date_from: str = "", date_to: str = "") -> DataFrame:
+    """Events with ok: whether they lie between two dates, both excluded, if both are given."""
+    day = F.substring("datetime", 1, 10)
+    return events.withColumn("ok", (day > date_from) & (day < date_to) if date_from and date_to else F.lit(True))
+
+
 def in_window(events: DataFrame, date_from: str = "", date_to: str = "", limit: int = 0) -> DataFrame:
     """Events between two dates, both excluded, if both are given; at most limit of them, if it is given."""
     if date_from and date_to:

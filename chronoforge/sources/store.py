@@ -2,42 +2,117 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoforge.functions.schema import EVENT_COLUMNS, EXPORT_COLUMNS, INT_COLUMNS, no_nulls
+from chronoforge.functions.schema import EVENT_COLUMNS, EVENT_SCHEMA, EXPORT_COLUMNS, FREQUENCY_COLUMNS, INT_COLUMNS, no_nulls
 from chronoforge.functions.text import strip_nul
 from chronoforge.functions.times import store_time
-from chronoforge.sources.imports import with_ids
+from chronoforge.operators import aggregates, edits
+from chronoforge.sources import imports
+
+STORE_SCHEMA = EVENT_SCHEMA + ", ts timestamp_ntz, import_batch string, event_date date"
+
+
+def _dated(events: DataFrame) -> DataFrame:
+    return events.withColumn("ts", store_time(F.col("datetime"))).withColumn("event_date", F.to_date("ts"))
 
 
-def append(events: DataFrame, path: str, files_a_day: int = 8) -> None:
-    """Adds events to a Parquet store by day. Ids go on from the store's; a busy day is dealt to several tasks.
+def _write(rows: DataFrame, path: str, files_a_day: int, mode: str) -> None:
+    rows = rows.select("id", *EVENT_COLUMNS, "ts", "import_batch", "event_date").repartition("event_date", F.pmod("id", F.lit(files_a_day)))
+    writer = rows.write.mode(mode).partitionBy("event_date").option("maxRecordsPerFile", 5_000_000)
+    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
 
-    One job writes all or nothing (the commit protocol of Spark's writers).
+
+def append(events: DataFrame, path: str, files_a_day: int = 8, batch: str = "") -> None:
+    """Adds events to a Parquet store by day. Ids go on from the store's, so one append runs at a time; a busy day is dealt to several tasks.
+
+    One job writes all or nothing (the commit protocol of Spark's writers). batch: a name by which has_batch knows the rows.
     """
-    spark = events.sparkSession
-    last = next_id(spark, path)
-    rows = with_ids(events.drop("id"), last).withColumn("ts", store_time(F.col("datetime"))).withColumn("event_date", F.to_date("ts"))
-    rows = rows.repartition("event_date", F.pmod("id", F.lit(files_a_day)))
-    rows.write.mode("append").partitionBy("event_date").option("maxRecordsPerFile", 5_000_000).parquet(path)
+    last = next_id(events.sparkSession, path)
+    rows = imports.with_ids(no_nulls(events.select(*EVENT_COLUMNS)), last).withColumn("import_batch", F.lit(batch))
+    _write(_dated(rows), path, files_a_day, "append")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)  # PySpark has no call of its own to look at files
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+
+
+def _whole(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(STORE_SCHEMA).parquet(path)
 
 
 def next_id(spark: SparkSession, path: str) -> int:
     """Largest id of a store; 0 for none."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
-        return 0
-    return spark.read.parquet(path).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    return _whole(spark, path).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if _exists(spark, path) else 0
+
+
+def has_batch(spark: SparkSession, path: str, batch: str) -> bool:
+    """Whether rows of that batch are in the store (files tell by their statistics)."""
+    return _exists(spark, path) and not _whole(spark, path).filter(F.col("import_batch") == batch).isEmpty()
 
 
 def open_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return no_nulls(spark.read.parquet(path).select("id", *EVENT_COLUMNS, "event_date"))
+    """A store's events, with event_date. Stores hold no nulls, so conditions on bare columns reach the files."""
+    return _whole(spark, path).select("id", *EVENT_COLUMNS, "event_date")
+
+
+def refresh_metadata(spark: SparkSession, path: str) -> None:
+    """Counts the store's values and tags anew, into folders that its readers skip."""
+    events = open_parquet(spark, path)
+    aggregates.frequencies(events).write.mode("overwrite").parquet(f"{path}/_counts/frequencies")
+    aggregates.distinct_tags(events).write.mode("overwrite").parquet(f"{path}/_counts/tags")
+
+
+def metadata(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(field, value, frequency), (tag) as of the last refresh."""
+    return spark.read.parquet(f"{path}/_counts/frequencies"), spark.read.parquet(f"{path}/_counts/tags")
+
+
+def import_files(spark: SparkSession, paths: list[str], path: str, date_from: str = "", date_to: str = "") -> DataFrame:
+    """Imports files of any known formats into a store and refreshes its metadata; returns what was kept and left out of each file."""
+    read = imports.read_all(spark, paths, date_from=date_from, date_to=date_to)
+    append(imports.kept(read), path)
+    refresh_metadata(spark, path)
+    return imports.summary(read)
+
+
+def _on(days: list) -> Column:
+    some = F.col("event_date").isin([d for d in days if d])
+    return some | F.col("event_date").isNull() if None in days else some
+
+
+def apply_edits(spark: SparkSession, path: str, changes: DataFrame) -> None:
+    """Applies changes(id, field, value, seq) to a store (see edits.update_fields); only the days of the events named are rewritten.
+
+    The changed days are first written beside the store, so that a run that fails can be run again. A day that loses its last event
+    is removed at the end.
+    """
+    old = _whole(spark, path)
+    named = changes.select("id").distinct()
+    days = [r[0] for r in old.join(named, "id", "left_semi").select("event_date").distinct().collect()]
+    if not days:
+        return
+    staging = f"{path}/_edits-{uuid.uuid4().hex}"
+    changed = _dated(edits.update_fields(old.filter(_on(days)), changes))
+    changed.write.parquet(f"{staging}/changed")
+    rows = spark.read.schema(changed.schema).parquet(f"{staging}/changed")
+    now = [r[0] for r in rows.select("event_date").distinct().collect()]
+    if more := [d for d in now if d not in days]:  # events that moved to other days join those that are there
+        old.filter(_on(more)).select(*rows.columns).write.parquet(f"{staging}/there")
+        rows = rows.unionByName(spark.read.schema(changed.schema).parquet(f"{staging}/there"))
+    _write(rows, path, 8, "overwrite")
+    for folder in [staging, *(f"{path}/event_date={d or '__HIVE_DEFAULT_PARTITION__'}" for d in days if d not in now)]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def open_jdbc(spark: SparkSession, url: str, table: str = "log2timeline", id_column: str = "id", partitions: int = 16, **options: str) -> DataFrame:
     """A store's events, read by ranges of ids in parallel."""
-    bounds = spark.read.format("jdbc").options(url=url, query=f"SELECT min({id_column}) AS lo, max({id_column}) AS hi FROM {table}", **options).load().first()
+    bounds = spark.read.format("jdbc").options(url=url, query=f'SELECT min("{id_column}") AS lo, max("{id_column}") AS hi FROM {table}', **options).load().first()
     lo, hi = int(bounds[0] or 0), int(bounds[1] or 0)
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=id_column, lowerBound=str(lo), upperBound=str(hi + 1), numPartitions=str(partitions), **options)
     return no_nulls(reader.load())
@@ -61,11 +136,22 @@ def sanitised(events: DataFrame) -> DataFrame:
 
 
 def push_jdbc(events: DataFrame, notes: DataFrame, url: str, table: str = "log2timeline", notes_table: str = "examiner_notes", **options: str) -> None:
-    """Appends events, then notes, each once; ValueError if there is no event. Partitions commit one by one: use a staging table."""
+    """Appends events, then notes, each once, then counts values and tags anew; ValueError if there is no event.
+
+    Partitions commit one by one: use a staging table. The counts go to a table for each field and one for tags.
+    """
     if events.isEmpty():
         raise ValueError("the timeline is empty")
+    spark = events.sparkSession
     sanitised(events.drop("id", "event_date")).write.mode("append").option("batchsize", 5000).options(**options).jdbc(url, table)
-    notes.drop("id").write.mode("append").options(**options).jdbc(url, notes_table)
+    texts = [strip_nul(F.col(c)).alias(c) if c in ("description", "tag", "color") else F.col(c) for c in notes.columns if c != "id"]
+    notes.select(*texts).withColumn("datetime", store_time(F.col("datetime"))).write.mode("append").options(**options).jdbc(url, notes_table)
+    there = no_nulls(spark.read.format("jdbc").options(url=url, dbtable=table, **options).load().select(*FREQUENCY_COLUMNS, "tag"))
+    counts = aggregates.frequencies(there).persist()
+    for field in FREQUENCY_COLUMNS:  # a small table each
+        counts.filter(F.col("field") == field).select(F.col("value").alias(field), "frequency").write.mode("overwrite").options(**options).jdbc(url, f"l2t_{field}s")
+    counts.unpersist()
+    aggregates.distinct_tags(there).write.mode("overwrite").options(**options).jdbc(url, "l2t_tags")
 
 
 def read_color_template(spark: SparkSession, path: str) -> DataFrame:
@@ -84,7 +170,7 @@ SAVED_COLUMNS = ["Name", "SQL", "Description", "EID", "OS", "IP"]
 
 def read_saved_queries(spark: SparkSession, path: str) -> DataFrame:
     """Saved queries; short rows are filled with ''."""
-    raw = spark.read.option("header", True).option("escape", '"').csv(path)
+    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)  # SQL may go over several lines
     if raw.columns != SAVED_COLUMNS:
         raise ValueError(f"the header must be {', '.join(SAVED_COLUMNS)}")
     return raw.na.fill("")

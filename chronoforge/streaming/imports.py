@@ -15,12 +15,17 @@ def lines(spark: SparkSession, folder: str, files_a_batch: int = 1000) -> DataFr
 
 
 def import_lines(spark: SparkSession, folder: str, kind: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Imports all new files of a folder (jsonl, tln or l2ttln), once each, then ends."""
+    """Imports all new files of a folder (jsonl, tln or l2ttln), once each, then ends.
+
+    A batch that is run again after a failure is told by its name, of checkpoint and number, and not added twice.
+    """
     raw = lines(spark, folder)
     events = jsonl.lines_to_events(raw) if kind == "jsonl" else tln.lines_to_events(raw, 5 if kind == "tln" else 7)
 
-    def add(batch: DataFrame, _: int) -> None:
-        store.append(batch.filter("ok").drop("ok"), out)
+    def add(batch: DataFrame, number: int) -> None:
+        name = f"{checkpoint}#{number}"
+        if not store.has_batch(batch.sparkSession, out, name):
+            store.append(batch.filter("ok").drop("ok"), out, batch=name)
 
     return events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

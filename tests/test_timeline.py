@@ -207,3 +207,169 @@ def test_edits_guard_their_input(spark):
 def test_blank_events(spark):
     r = as_events(spark.range(1), {}).first()
     assert r.datetime == "" and r.offset == 0 and list(r.asDict()) == EVENT_COLUMNS
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_stores_are_pruned_by_day_and_filtered_in_the_scan(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = [{"datetime": f"2024-01-{d:02d} 0{h}:00:00", "source": "S"} for d in range(1, 21) for h in range(3)] + [{"datetime": t} for t in ("Not a time", "", "0000-00-00 00:00:00", "2024-01-99 00:00:00")]
+    store.append(events(spark, *rows), path)
+    all_rows = store.open_parquet(spark, path)
+    plain = all_rows.drop("event_date")
+    for request in (
+        Request(date_from="2024-01-05", date_to="2024-01-07"), Request([("datetime", ">=", "2024-01-18")]), Request([("datetime", "<=", "2024-01-02"), ("source", "=", "S")]),
+        Request([("datetime", "=", "2024-01-03")]), Request([("datetime", ">=", "2024-01-19")], "OR", date_from="2024-01-05", date_to="2024-01-06"),
+        Request([("source", "=", "S")], "OR", date_from="2024-01-05", date_to="2024-01-06", and_scopes=True), Request([("datetime", ">=", "2024-02-31 00:00:00")]), Request(),
+    ):
+        pruned = pages.found(all_rows, request)
+        assert sorted(pruned.collect()) == sorted(pages.found(plain, request).collect())
+        assert total_of(aggregates.histogram(all_rows, request)) == total_of(aggregates.histogram(plain, request))
+    text = plan_of(pages.found(all_rows, Request(date_from="2024-01-05", date_to="2024-01-07")))
+    assert "PartitionFilters: [(isnull(event_date" in text and "2024-01-05" in text.split("PartitionFilters: ")[1].split("]")[0]
+    assert "GreaterThanOrEqual(datetime,2024-01-05" in text
+    assert plan_of(aggregates.histogram(all_rows, Request())).split("== Physical Plan ==")[1].count("FileScan parquet") == 1
+    assert pages.between(all_rows, "2024-01-05 01:00:00", "2024-01-06 00:00:00").count() == 3
+
+
+def total_of(histogram):
+    return sorted(map(tuple, histogram.collect()))
+
+
+def test_json_lines_are_parsed_once(spark):
+    rows = jsonl.lines_to_events(lines(spark, "{}").filter("value != 'x'")).filter("ok").select("datetime", "source", "extra", "offset")
+    assert plan_of(rows).split("== Physical Plan ==")[1].count("parseJson") + plan_of(rows).split("== Physical Plan ==")[1].count("try_parse_json") == 1
+
+
+@pytest.mark.parametrize("kind", ["Filetime", "PosixTimeInMicroseconds", "PosixTime", "FATDateTime", "WebKitTime", "CocoaTime", "JavaTime", "Odd"])
+def test_hostile_times_are_blank_or_text(spark, kind):
+    numbers = [9223372036854775807, -9223372036854775808, 10**30, -(10**30), 1e300, -1e300, 253402300800, 0.5]
+    made = [f'{{"data_type": "x:y", "date_time": {{"__class_name__": "{kind}", "timestamp": {n}}}}}' for n in numbers] + [f'{{"timestamp": {n}, "message": "m"}}' for n in numbers]
+    got = [r.datetime for r in jsonl.lines_to_events(lines(spark, *made)).collect()]
+    import re
+
+    assert len(got) == len(made) and all(g in ("", "Not a time") or re.fullmatch(r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}", g) for g in got)
+    tln_rows = tln.lines_to_events(lines(spark, "9223372036854775807|S|H|U|d", "253402300800|S|H|U|d"), 5).collect()
+    assert [r.datetime for r in tln_rows] == ["", ""]
+
+
+def test_keys_that_stand_twice_take_their_last_value(spark):
+    got = jsonl.lines_to_events(lines(spark, '{"a": 1, "message": "x", "a": {"n": 1}, "b": 2, "a": "z", "message": "y"}')).first()
+    assert (got.desc, got.extra) == ("y", "a: z; b: 2")
+
+
+def test_first_lines_of_small_and_large_files(spark, tmp_path, monkeypatch):
+    (tmp_path / "a b.tln").write_text("\n \n1|S|H|U|d\n2|S|H|U|e\n")
+    (tmp_path / "large.tln").write_text("\n3|S|H|U|d\n" + "4|S|H|U|e\n" * 200)
+    (tmp_path / "empty.tln").write_text("")
+    monkeypatch.setattr(imports, "SMALL_FILE", 1000)
+    got = imports.first_lines(spark, [str(tmp_path)])
+    assert sorted((k.rsplit("/", 1)[1], v) for k, v in got.items()) == [("a b.tln", "1|S|H|U|d"), ("large.tln", "3|S|H|U|d")]
+    assert imports.read_all(spark, [str(tmp_path)]).count() == 203
+
+
+@pytest.mark.parametrize(
+    ("text", "breaks"),
+    [("a,b\n1,2\n", False), ('a,"b, c"\n"x ""y""",2\n', False), ('a,"b\nc"\n', True), ('a b"c,d\n', False), ('a "b",c\n', False), ('x"y,"abc\nd",e\n', True), ('"",""\r\n', False), ('"' + "a" * 50000 + '",b\n', False)],
+)
+def test_line_breaks_within_quotes(spark, tmp_path, text, breaks):
+    (tmp_path / "f.csv").write_bytes(text.encode())
+    assert imports.breaks_lines(spark, [str(tmp_path / "f.csv")]) == breaks
+
+
+def test_csv_with_and_without_line_breaks_reads_alike(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('datetime,message,source\n2020-01-02T03:04:05Z,"x\ny",LOG\n2020-01-02T03:04:06Z,z,LOG\n')
+    (tmp_path / "b.csv").write_text('datetime,message,source,host\n2020-01-02T03:04:05Z,"x, y",LOG,h\n')
+    got = imports.read_all(spark, [str(tmp_path / n) for n in ("a.csv", "b.csv")])
+    assert sorted(r.desc for r in got.collect()) == ["x\ny", "x, y", "z"]
+
+
+def test_rows_out_of_an_l2t_window_are_counted(spark, tmp_path):
+    header = "date,time,timezone,MACB,source,sourcetype,type,user,host,short,desc,version,filename,inode,notes,format,extra"
+    days = "".join(f"01/{d:02d}/2025,10:30:00,UTC,M...,EVT,st,ty,us,ho,sh,de,2,fi,in,no,fo,ex\n" for d in range(1, 11))
+    (tmp_path / "d.csv").write_text(f"{header}\n{days}")
+    r = store.import_files(spark, [str(tmp_path / "d.csv")], str(tmp_path / "store"), "2025-01-03", "2025-01-07").first()
+    assert (r.import_format, r.events, r.excluded) == ("l2t", 3, 7) and store.open_parquet(spark, str(tmp_path / "store")).count() == 3
+
+
+def test_a_batch_run_again_is_not_added_twice(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.tln").write_text("1539100800|FILE|H|U|one\n")
+    run = lambda: live.import_lines(spark, str(tmp_path / "in"), "tln", str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
+    run()
+    for f in (tmp_path / "ck" / "commits").iterdir():  # as if the driver was lost before the commit
+        f.unlink()
+    run()
+    assert store.open_parquet(spark, str(tmp_path / "out")).count() == 1
+    (tmp_path / "in" / "b.tln").write_text("1539100801|FILE|H|U|two\n")
+    run()
+    assert store.open_parquet(spark, str(tmp_path / "out")).count() == 2
+
+
+@pytest.mark.parametrize("order_by", ["datetime", "host", "offset", "desc"])
+def test_deep_pages_equal_plain_ones(spark, order_by):
+    values = ["", "a", "ab", "abc", "b\u00e9", "日本", "\U0001f600", "Z"]
+    rows = events(spark, *({"datetime": ["Not a time", "", "0000-00-00 00:00:00"][k % 3] if k % 9 == 0 else f"2024-0{k % 3 + 1}-1{k % 7} 00:00:{k % 50:02d}", "host": values[k * k % 8], "offset": k % 5 - 2, "desc": "d" * (k % 6)} for k in range(300))).cache()
+    for number in (1, 2, 7, 15, 30, 31, 99):
+        assert pages.page(rows, number, 10, order_by, deep=13).collect() == pages.page(rows, number, 10, order_by).collect()
+    assert pages.last_page(rows, 70, order_by, deep=13).collect() == pages.page(rows, 5, 70, order_by).collect()
+    assert pages.last_page(rows.limit(0), 70, order_by).count() == 0
+    rows.unpersist()
+
+
+def test_raw_searches_take_or_leave_notes(spark):
+    rows = events(spark, {"source": "FILE", "desc": "x"}, {"source": "LOG", "desc": "x"})
+    notes = spark.createDataFrame([(1, "2024-01-01 00:00:00", "n", "", "", 0)], "id long, datetime string, description string, tag string, color string, bookmark long")
+    ids = lambda where: sorted(r.id for r in pages.raw_query(rows, where, notes).collect())
+    assert ids("source = 'FILE'") == [1] and ids("desc = 'x'") == [-1, 1, 2] and ids("source = 'Examiner' OR source = 'LOG'") == [-1, 2]
+    assert one(pages.raw_total(rows, "desc = 'x'", notes, 2), "total", "pages") == (3, 2)
+
+
+def test_edits_of_a_store_rewrite_its_days(spark, tmp_path):
+    path = str(tmp_path / "store")
+    store.append(events(spark, {"datetime": "2024-01-01 00:00:00", "desc": "a"}, {"datetime": "2024-01-02 00:00:00", "desc": "b"}, {"datetime": "2024-01-03 00:00:00", "desc": "c"}, {"desc": "none"}, {"datetime": "2024-01-05 00:00:00", "desc": "e"}), path)
+    untouched = {p.name for p in (tmp_path / "store" / "event_date=2024-01-05").iterdir()}
+    ids = {r.desc: r.id for r in store.open_parquet(spark, path).collect()}
+    changes = [(ids["a"], "datetime", "2024-01-02 05:00:00", 1), (ids["none"], "datetime", "2024-01-09 00:00:00", 1), (ids["c"], "datetime", "Not a time", 1), (ids["b"], "color", "RED", 1), (10**9, "color", "X", 1)]
+    store.apply_edits(spark, path, spark.createDataFrame(changes, "id long, field string, value string, seq long"))
+    got = {r.desc: (r.datetime, r.color, str(r.event_date)) for r in store.open_parquet(spark, path).collect()}
+    assert got == {"a": ("2024-01-02 05:00:00", "", "2024-01-02"), "b": ("2024-01-02 00:00:00", "RED", "2024-01-02"), "c": ("Not a time", "", "None"), "none": ("2024-01-09 00:00:00", "", "2024-01-09"), "e": ("2024-01-05 00:00:00", "", "2024-01-05")}
+    assert {p.name for p in (tmp_path / "store").iterdir() if p.is_dir()} == {f"event_date={d}" for d in ("2024-01-02", "2024-01-05", "2024-01-09", "__HIVE_DEFAULT_PARTITION__")}
+    assert {p.name for p in (tmp_path / "store" / "event_date=2024-01-05").iterdir()} == untouched
+    store.apply_edits(spark, path, spark.createDataFrame([], "id long, field string, value string, seq long"))
+
+
+def test_pushes_clean_notes_and_count_values(spark):
+    url, driver = "jdbc:derby:memory:p;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    rows = events(spark, {"datetime": "2024-01-01 00:00:00", "source": "FILE", "tag": "a, b"}, {"source": "FILE"}, {"source": "LOG"})
+    notes = spark.createDataFrame([(1, "2024-01-01 00:00:00", "n\0ote", "t\0", "", 0), (2, "soon", "x", "", "", 0)], "id long, datetime string, description string, tag string, color string, bookmark long")
+    store.push_jdbc(rows, notes, url, driver=driver)
+    table = lambda name: spark.read.format("jdbc").options(url=url, dbtable=name, driver=driver).load()
+    assert sorted((r["description"], r["tag"], r["datetime"] is None) for r in table("examiner_notes").collect()) == [("note", "t", False), ("x", "", True)]
+    assert {(r["source"], r["frequency"]) for r in table("l2t_sources").collect()} == {("FILE", 2), ("LOG", 1)}
+    assert {r["tag"] for r in table("l2t_tags").collect()} == {"a", "b"}
+
+
+def test_a_store_on_a_sql_server_is_opened(spark):
+    url, driver = "jdbc:derby:memory:o;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    rows = events(spark, *({"datetime": "2024-01-01 00:00:00", "desc": f"d{k}", "offset": k} for k in range(40)))
+    rows.withColumn("host", F.lit(None).cast("string")).withColumn("offset", F.when(F.col("offset") > 0, F.col("offset"))).write.jdbc(url, "log2timeline", properties={"driver": driver})
+    back = store.open_jdbc(spark, url, partitions=4, driver=driver)
+    assert back.rdd.getNumPartitions() == 4
+    assert {(r["id"], r["desc"], r["host"], r["offset"]) for r in back.collect()} == {(k + 1, f"d{k}", "", k) for k in range(40)}
+
+
+def test_saved_queries_over_several_lines(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('Name,SQL,Description,EID,OS,IP\nn,"source = \'X\'\nOR host = ""H""",d,,,\n')
+    assert store.read_saved_queries(spark, str(tmp_path / "q.csv")).first().SQL == "source = 'X'\nOR host = \"H\""
+
+
+def test_bucket_bounds_equal_bucket_ranges(spark):
+    from chronoforge.functions.times import bucket_bounds
+
+    buckets = ["2023-02", "2024-02", "2024-12", "2023-02-03", "2023-02-03 04:00:00"]
+    first, last = bucket_bounds(F.col("b"))
+    got = spark.createDataFrame([(b,) for b in buckets], "b string").select("b", first, last).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == {b: bucket_range(b) for b in buckets}
