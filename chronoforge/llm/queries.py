@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoforge.llm import chat, exact_dedup, media, minhash_dedup, mixing, packing, quality, substring_dedup, token_counts, toxicity
+from chronoforge.llm import chat, exact_dedup, hard_negatives, media, minhash_dedup, mixing, packing, quality, spelling, substring_dedup, token_counts, toxicity, url_filter
 from chronoforge.llm.common import read_table
 
 
@@ -59,8 +59,28 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "copy")
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    rules, default = url_filter.mine(url_filter.labelled_pages(pages, read_table(spark, sf_dir, "labels")))
+    return url_filter.judged(pages, url_filter.RULES, rules, default)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_best_fit_packing, op2_toxicity, op3_matroska, op4_chat_format, op5_minhash_dedup, op6_substring_dedup, op7_quality, op8_token_counts, op9_exact_dedup, op10_mixing,
+    op11_url_filter, op12_hard_negatives, op13_spelling_variants,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_matroska, op4_chat_format, op5_minhash_dedup, op6_substring_dedup, op7_quality, op8_token_counts, op9_exact_dedup, op10_mixing)}
+    return {f.__name__: f for f in _ALL}
 
 
 _OP6 = r"""
@@ -85,4 +105,7 @@ FROM d LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_substring_dedup": _OP6, "op9_exact_dedup": exact_dedup.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
+    return {
+        "op6_substring_dedup": _OP6, "op9_exact_dedup": exact_dedup.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL,
+        "op11_url_filter": url_filter.ORACLE_SQL, "op12_hard_negatives": hard_negatives.ORACLE_SQL, "op13_spelling_variants": spelling.ORACLE_SQL,
+    }
