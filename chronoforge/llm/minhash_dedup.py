@@ -22,11 +22,12 @@
   at most 174 of 256 coordinates). All causes together miss such a pair with at most 6.7e-9.
 
 Classes are numbered when they are written; the numbers are the nodes of all links, so that ids that
-name several texts are no trouble. The least (doc_id, row hash) of a component leads it.
+name several texts are no trouble, and texts without an id are nodes like all others. The least (doc_id, row hash) of a
+component leads it, rows with an id before those without.
 
 Cases: null text, empty text and text of blanks have no set, link with nothing and are kept; with
 fewer than five words the whole sequence is the one shingle; a null doc_id has a null component and is
-kept; repeated rows are reported each; rows of one id with different texts are documents of their own, each reported
+kept, yet its text links others; repeated rows are reported each; rows of one id with different texts are documents of their own, each reported
 by the component of its text; an empty table gives no rows; other columns are
 ignored here and carried through by ``deduplicate``.
 """
@@ -183,7 +184,8 @@ def full_sets(docs: DataFrame, leads: DataFrame, repeated: bool) -> DataFrame:
                 short = [short_sketch(sketch(s)) if len(s) else b"" for s in sets]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(short, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "sketch", "grams"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), row_hash().alias("h"), F.col("text")).join(leads, ["doc_id", "h"])
+    rows = docs.select(F.col("doc_id").cast("long"), row_hash().alias("h"), F.col("text"))
+    rows = rows.join(leads, (rows["h"] == leads["h"]) & rows["doc_id"].eqNullSafe(leads["doc_id"])).select(leads["node"], rows["doc_id"], rows["h"], rows["text"])
     if repeated:
         rows = rows.dropDuplicates(["doc_id", "h"])
     return written(rows.select("node", "text").mapInArrow(run, "node long, sketch binary, grams binary"), "near-sets")
@@ -334,14 +336,15 @@ def by_two_bands(members: DataFrame, nodes: DataFrame, large: DataFrame) -> Data
 
 
 def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(signatures, classes: set_id and lead, the least (doc_id, h) of its component), for the sets of rows with an id."""
+    """(signatures, classes: set_id and lead, the least (no_id, doc_id, h) of its component)."""
     with temporary(docs.sparkSession):
         rows = signatures(docs)
-        named = rows.filter("doc_id IS NOT NULL AND n_shingles > 0")
-        classes = named.groupBy("set_id").agg(F.min(F.struct("doc_id", "h")).alias("lead"))
+        full = rows.filter("n_shingles > 0").withColumn("no_id", F.col("doc_id").isNull())
+        classes = full.groupBy("set_id").agg(F.min(F.struct("no_id", "doc_id", "h")).alias("lead"))
         classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
-        leads = classes.select("node", "set_id", "lead.doc_id", "lead.h")
-        nodes = named.join(leads, ["doc_id", "h", "set_id"]).groupBy("node", "doc_id", "h", "set_id").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("times"))
+        leads = classes.select("node", F.col("set_id").alias("of"), F.col("lead.doc_id").alias("id"), F.col("lead.h").alias("led"))
+        led = full.join(leads, (F.col("set_id") == F.col("of")) & (F.col("h") == F.col("led")) & F.col("doc_id").eqNullSafe(F.col("id")))
+        nodes = led.groupBy("node", "doc_id", "h", "set_id").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("times"))
         nodes = written(nodes, "near-nodes")
         thrown = nodes.select("node", "n", F.explode("bands").alias("key"))
         # written: beside a plain shuffle, a hot key's members can be split
