@@ -202,8 +202,8 @@ def scored(stats: DataFrame, model: Model) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score reaches the threshold, with all their columns; the fit reads labelled texts alone."""
     with temporary(docs.sparkSession):
-        named = labelled(labels).select(F.col("doc_id").alias("id"))
-        model = fit(all_statistics(docs.join(F.broadcast(named), F.col("doc_id").cast("long") == F.col("id"), "left_semi")), labels)
+        texts = docs.select(F.col("doc_id").cast("long"), F.col("text"))  # no other column may clash
+        model = fit(all_statistics(texts.join(F.broadcast(labelled(labels).select("doc_id")), "doc_id", "left_semi")), labels)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
