@@ -171,9 +171,17 @@ def lace(data: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]]:
 
 
 def _uint(data: bytes, a: int, b: int) -> int:
+    if b - a > 8:
+        raise ValueError(f"a number of {b - a} bytes at byte {a}")
     return int.from_bytes(data[a:b], "big")
 
 
+def _held(*numbers: int) -> None:
+    """ValueError unless a table can hold the numbers."""
+    if not all(-(1 << 63) <= n < 1 << 63 for n in numbers):
+        raise ValueError("a number that 64 bits don't hold")
+
+
 def demux(data: bytes) -> tuple[list[tuple], list[tuple], dict]:
     """(packets, cues, info); ValueError for malformed bytes.
 
@@ -182,7 +190,7 @@ def demux(data: bytes) -> tuple[list[tuple], list[tuple], dict]:
     """
     try:
         return _demux(data)
-    except (IndexError, struct.error, UnicodeDecodeError) as e:
+    except (IndexError, struct.error, UnicodeDecodeError, ArithmeticError) as e:
         raise ValueError(f"cut off or malformed: {e}") from e
 
 
@@ -239,6 +247,7 @@ def _demux(data: bytes) -> tuple[list[tuple], list[tuple], dict]:
                             inner = {m: _uint(data, r, s) for m, r, s in elements(data, p, q)}
                             track, where = inner.get(CUE_TRACK, 0), inner.get(CUE_CLUSTER, 0)
                     cues.append((time * info["scale"], track, a + where))
+                    _held(*cues[-1])
             elif id_ == CLUSTER:
                 n_cluster, base = n_cluster + 1, 0
                 for e, x, y in elements(data, c, d):
@@ -254,8 +263,12 @@ def _demux(data: bytes) -> tuple[list[tuple], list[tuple], dict]:
                         kind = flags >> 1 & 3
                         stamp = (base + time) * info["scale"]
                         frames = lace(data, at + 3, q, kind)
+                        if track is None:
+                            raise ValueError(f"a block of no track at byte {p}")
                         for k, (start, size) in enumerate(frames):
-                            packets.append((n_cluster, n_block, k, track, stamp + _late(frames, k, tracks.get(track, {}), lasts), start, size, kind, bool(flags & 0x80) or e == BLOCK_GROUP))
+                            late = stamp + _late(frames, k, tracks.get(track, {}), lasts)
+                            _held(track, late)
+                            packets.append((n_cluster, n_block, k, track, late, start, size, kind, bool(flags & 0x80) or e == BLOCK_GROUP))
     return packets, cues, info
 
 
