@@ -6,8 +6,9 @@
   labelled text that names an identity term, the term is swapped for another term of its group,
   and the squared change of the sentence's logit is added to the loss. Texts where a neutral
   mention is all that differs thus score alike.
-* The classifier learns from at most ``SAMPLE`` labelled texts of each class (smallest hashes of
-  the id; a documented, fixed bound); the class prior is that of all labelled rows. Every whole
+* The classifier learns from at most ``SAMPLE`` labelled ids of each class (smallest hashes of
+  the id; a documented, fixed bound); where ids stand in so many rows that more texts come of them, from about
+  ``SAMPLE`` of these texts (smallest hashes). The class prior is that of all labelled rows. Every whole
   text is scored.
 
 Cases: null or empty text scores by the prior alone; null labels are not learned from; a document
@@ -136,12 +137,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", counterfactual
             rows = [sorted(features(t, buckets)) for t in texts]
             pairs = [[f"{a} {c} {n}" for (a, c), n in swaps(t).items()] for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [b.column(1), pa.array(rows, pa.list_(pa.int32())), pa.array(pairs, pa.list_(pa.string()))], ["y", "features", "swaps"]
+                [b.column(1), b.column(2), pa.array(rows, pa.list_(pa.int32())), pa.array(pairs, pa.list_(pa.string()))], ["y", "h", "features", "swaps"]
             )
 
     with temporary(docs.sparkSession):
-        learned = written(few.select("text", "y").mapInArrow(run, "y int, features array<int>, swaps array<string>"), "toxicity-features")
+        hashed = few.select("text", "y", F.xxhash64("doc_id", "text").alias("h"))
+        learned = written(hashed.mapInArrow(run, "y int, h long, features array<int>, swaps array<string>"), "toxicity-features")
         texts = {r["y"]: r["count"] for r in learned.groupBy("y").count().collect()}
+        if max(texts.values(), default=0) > SAMPLE:  # ids of many rows; equal texts of one id stay or go together
+            least = F.when(F.col("y") == 1, SAMPLE / texts.get(1, 1)).otherwise(SAMPLE / texts.get(0, 1))
+            learned = written(learned.filter(F.pmod(F.xxhash64("h"), F.lit(1 << 32)) < least * (1 << 32)), "toxicity-features")
+            texts = {r["y"]: r["count"] for r in learned.groupBy("y").count().collect()}
         if len(texts) < 2:
             return model
         held = learned.select("y", F.explode("features").alias("f")).groupBy("f").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("both"))
