@@ -29,10 +29,10 @@ def distinct_values(events: DataFrame, name: str, notes: DataFrame | None = None
     return values.filter("value != ''").groupBy("value").agg(F.count(F.lit(1)).alias("frequency")).orderBy("value")
 
 
-def frequencies(events: DataFrame) -> DataFrame:
+def frequencies(events: DataFrame, columns: list[str] = FREQUENCY_COLUMNS) -> DataFrame:
     """field, value, frequency of all metadata columns, in one scan; blanks don't count."""
-    pairs = ", ".join(f"'{c}', `{c}`" for c in FREQUENCY_COLUMNS)
-    long = events.select(F.expr(f"stack({len(FREQUENCY_COLUMNS)}, {pairs}) AS (field, value)")).filter("value != ''")
+    pairs = ", ".join(f"'{c}', `{c}`" for c in columns)
+    long = events.select(F.expr(f"stack({len(columns)}, {pairs}) AS (field, value)")).filter("value != ''")
     return long.groupBy("field", "value").agg(F.count(F.lit(1)).alias("frequency"))
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
 from collections.abc import Callable
 
@@ -16,7 +17,7 @@ from chronoforge.functions.times import bucket_bounds, drop_offset, filetime_tex
 from chronoforge.operators import aggregates, edits, pages, predicates
 from chronoforge.operators.predicates import Request, predicate
 from chronoforge.plans.timeline_view import NOTES_SQL, TIMELINE_SQL, notes, timeline
-from chronoforge.sources import dynamic, imports, jsonl, l2t, store, tln
+from chronoforge.sources import dynamic, files, imports, jsonl, l2t, store, tln
 from chronoforge.streaming.imports import live_histogram as stream_histogram
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,13 +51,21 @@ def _found(spark: SparkSession, sf: str, request: Request) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder in the one that driver and executors share; a local session may do without one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{base}/timelines-{uuid.uuid4().hex}"
+    """A folder of its own for what a query writes; it goes when the session's Python ends, as results are read from it until then."""
+    path = f"{files.shared_dir(spark)}/timelines-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_clear, spark)
+    _made.append(path)
+    return path
+
+
+_made: list[str] = []
+
+
+def _clear(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended first
+        for path in _made:
+            files.delete(spark, path)
 
 
 def _stored(spark: SparkSession, sf: str) -> str:
@@ -378,18 +387,45 @@ def stored_histogram(spark, sf):
     return aggregates.histogram(store.open_parquet(spark, _stored(spark, sf)), Request(date_from=DAY[0], date_to=DAY[1]))
 
 
-@query(
-    "SELECT record_number, CASE WHEN id % 50 = 3 THEN 'EDITED' ELSE color END AS color, CASE WHEN id % 100 = 3 THEN '2024-03-03 00:00:00' ELSE datetime END AS datetime, \"desc\" FROM tl"
-)
-def stored_edits(spark, sf):
-    path = _stored(spark, sf)
+_EDITED = "SELECT record_number, CASE WHEN id % 50 = 3 THEN 'EDITED' ELSE color END AS color, CASE WHEN id % 100 = 3 THEN '2024-03-03 00:00:00' ELSE datetime END AS datetime, \"desc\" FROM tl"
+
+
+def _store_changes(spark: SparkSession, path: str) -> DataFrame:
+    """Colors and days of some events."""
     named = store.open_parquet(spark, path).withColumn("n", F.col("record_number").cast("long") + 1)
     colors = named.filter("n % 50 = 3").select("id", F.lit("color").alias("field"), F.lit("EDITED").alias("value"), F.lit(1).alias("seq"))
     times = named.filter("n % 100 = 3").select("id", F.lit("datetime").alias("field"), F.lit("2024-03-03 00:00:00").alias("value"), F.lit(1).alias("seq"))
-    store.apply_edits(spark, path, colors.unionByName(times))
+    return colors.unionByName(times)
+
+
+@query(_EDITED)
+def stored_edits(spark, sf):
+    path = _stored(spark, sf)
+    store.apply_edits(spark, path, _store_changes(spark, path))
     return store.open_parquet(spark, path).select("record_number", "color", "datetime", "desc")
 
 
+@query(_EDITED)
+def stored_edits_rerun(spark, sf):
+    """Edits whose job ends right after their commit, and the same edits once more."""
+    path = _stored(spark, sf)
+    store.prepare_edits(spark, path, _store_changes(spark, path))
+    store.apply_edits(spark, path, _store_changes(spark, path))
+    return store.open_parquet(spark, path).select("record_number", "color", "datetime", "desc")
+
+
+def _edited(column: str) -> str:
+    return "CASE WHEN id % 50 = 3 THEN 'EDITED' ELSE color END" if column == "color" else f'"{column}"'
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS field, {_edited(c)} AS value, count(*) AS frequency FROM tl WHERE {_edited(c)} != '' GROUP BY {_edited(c)}" for c in FREQUENCY_COLUMNS))
+def stored_counts(spark, sf):
+    """Counts of values as a store's changes keep them, without a full count."""
+    path = _stored(spark, sf)
+    store.apply_edits(spark, path, _store_changes(spark, path))
+    return store.metadata(spark, path)[0]
+
+
 @query(" UNION ALL ".join(f"SELECT '{c}' AS field, \"{c}\" AS value, 2 * count(*) AS frequency FROM tl WHERE \"{c}\" != '' GROUP BY \"{c}\"" for c in FREQUENCY_COLUMNS))
 def stored_metadata(spark, sf):
     path = _stored(spark, sf)
@@ -412,16 +448,28 @@ def _rendered(spark, sf) -> str:
 _WHEN = "strftime(ts, '%Y-%m-%d %H:%M:%S') AS datetime"
 
 
-@query(
+_IMPORTED = (
     f"SELECT {_WHEN}, source, host, \"desc\" || CASE WHEN id % 6 = 2 THEN chr(10) || '\"second\", line' ELSE '' END AS \"desc\" FROM (SELECT tl.*, ts FROM tl JOIN events ON id = event_id + 1)"
     " WHERE NOT (id % 3 = 0 AND id % 13 = 0)"
 )
+
+
+@query(_IMPORTED)
 def import_files(spark, sf):
     path = _rendered(spark, sf)
     store.import_files(spark, [f"{path}/{kind}" for kind in ("tln", "jsonl", "csv")], f"{path}/store")
     return store.open_parquet(spark, f"{path}/store").select("datetime", "source", "host", "desc")
 
 
+@query(_IMPORTED)
+def import_files_again(spark, sf):
+    """An import of two kinds of files, then one of all of them: nothing stands twice."""
+    path = _rendered(spark, sf)
+    store.import_files(spark, [f"{path}/{kind}" for kind in ("tln", "csv")], f"{path}/store")
+    store.import_files(spark, [f"{path}/{kind}" for kind in ("tln", "jsonl", "csv")], f"{path}/store")
+    return store.open_parquet(spark, f"{path}/store").select("datetime", "source", "host", "desc")
+
+
 @query(
     "SELECT CASE id % 3 WHEN 0 THEN 'tln' WHEN 1 THEN 'jsonl' ELSE 'dynamic' END AS import_format, CAST(count_if(NOT (id % 3 = 0 AND id % 13 = 0)) AS BIGINT) AS events,"
     " CAST(count_if(id % 3 = 0 AND id % 13 = 0) AS BIGINT) AS excluded FROM tl GROUP BY 1"

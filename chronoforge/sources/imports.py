@@ -7,7 +7,7 @@ import re
 from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoforge.sources import dynamic, jsonl, l2t, tln
@@ -47,19 +47,24 @@ def first_lines(spark: SparkSession, paths: list[str]) -> dict[str, str]:
     if small := [r.path for r in sizes if r.length <= SMALL_FILE]:
         lines = spark.read.text(small).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), "value")
         found = {r["file"]: r["first"] for r in filled(lines).groupBy("file").agg(F.min_by("value", "at").alias("first")).collect()}
-        by_name = {_plain(k): v for k, v in found.items()}
-        out = {p: by_name[_plain(p)] for p in small if _plain(p) in by_name}
+        by_name = {plain(k): v for k, v in found.items()}
+        out = {p: by_name[plain(p)] for p in small if plain(p) in by_name}
     with ThreadPoolExecutor(8) as pool:  # a small job a large file, which ends at the first line
         heads = pool.map(lambda r: (r.path, filled(spark.read.text(r.path)).first()), [r for r in sizes if r.length > SMALL_FILE])
         out |= {path: row.value for path, row in heads if row}
     return out
 
 
-def _plain(path: str) -> str:
+def plain(path: str) -> str:
     """A path without its encoding and the doubled slashes that the two ways to name a file differ in."""
     return re.sub("^(\\w+):/*", "\\1:/", unquote(path))
 
 
+def plain_path(c: Column) -> Column:
+    """The same of a column; a plus sign is itself."""
+    return F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), "^(\\w+):/*", "$1:/")
+
+
 #: A CSV line that holds whole records: cells without quotes in front, or quoted ones that are closed.
 _CELL = '[ \t]*+(?:"[^"]*+(?:""[^"]*+)*+"[^,"]*+|[^",][^,]*+|)'
 WHOLE_LINE = f"^{_CELL}(?:,{_CELL})*+\r?$"

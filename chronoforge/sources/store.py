@@ -2,57 +2,202 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from itertools import accumulate
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoforge.functions.schema import EVENT_COLUMNS, EVENT_SCHEMA, EXPORT_COLUMNS, FREQUENCY_COLUMNS, INT_COLUMNS, no_nulls
 from chronoforge.functions.text import strip_nul
 from chronoforge.functions.times import store_time
 from chronoforge.operators import aggregates, edits
-from chronoforge.sources import imports
+from chronoforge.sources import files, imports
 
 STORE_SCHEMA = EVENT_SCHEMA + ", ts timestamp_ntz, import_batch string, event_date date"
+LEDGER_SCHEMA = "batch string, path string, length long, modified timestamp, file string, import_format string, events long, excluded long"
+COUNTS_SCHEMA = "field string, value string, frequency long"
+#: Ids are given out in blocks of so many.
+BLOCK = 1 << 32
+#: What is counted: the metadata columns, and lists of tags.
+COUNTED = [*FREQUENCY_COLUMNS, "tag"]
+#: More files of counts than these are summed into few.
+COUNT_FILES = 1000
+
+# A store is a folder of Parquet files by day. Beside it lies its journal, ``<store>.journal``:
+#   pending/<change>/  what a change adds, written there first, and COMMIT, which lists the files to move in and those to remove
+#   ids/               a file for each block of ids that is given out
+#   counts/            counts of values, a difference for each change
+#   ledger/            what was imported
+# A change takes effect with COMMIT. Whoever next opens the store finishes it: files are moved to names of their own and removed by
+# name, so that it does no harm to do so twice, or two at a time. A change that ended before its COMMIT has no effect.
+
+
+def _journal(path: str) -> str:
+    return f"{path.rstrip('/')}.journal"
 
 
 def _dated(events: DataFrame) -> DataFrame:
     return events.withColumn("ts", store_time(F.col("datetime"))).withColumn("event_date", F.to_date("ts"))
 
 
-def _write(rows: DataFrame, path: str, files_a_day: int, mode: str) -> None:
+def _write(rows: DataFrame, folder: str, files_a_day: int) -> None:
     rows = rows.select("id", *EVENT_COLUMNS, "ts", "import_batch", "event_date").repartition("event_date", F.pmod("id", F.lit(files_a_day)))
-    writer = rows.write.mode(mode).partitionBy("event_date").option("maxRecordsPerFile", 5_000_000)
-    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+    rows.write.partitionBy("event_date").option("maxRecordsPerFile", 5_000_000).parquet(folder)
 
 
-def append(events: DataFrame, path: str, files_a_day: int = 8, batch: str = "") -> None:
-    """Adds events to a Parquet store by day. Ids go on from the store's, so one append runs at a time; a busy day is dealt to several tasks.
+def _change(path: str) -> str:
+    """The folder of a new change."""
+    return f"{_journal(path)}/pending/{uuid.uuid4().hex}"
 
-    One job writes all or nothing (the commit protocol of Spark's writers). batch: a name by which has_batch knows the rows.
-    """
-    last = next_id(events.sparkSession, path)
-    rows = imports.with_ids(no_nulls(events.select(*EVENT_COLUMNS)), last).withColumn("import_batch", F.lit(batch))
-    _write(_dated(rows), path, files_a_day, "append")
 
+def _commit(spark: SparkSession, path: str, change: str, remove: list[str] = (), counts: list[str] = ()) -> None:
+    """From now on the change holds. remove: files of the store; counts: files of counts."""
+    add = [[f"data/{f}", f"{path}/{f}"] for f in files.tables(spark, f"{change}/data", 1)]
+    add += [[f"{kind}/{f}", f"{_journal(path)}/{kind}/{f}"] for kind in ("counts", "ledger") for f in files.tables(spark, f"{change}/{kind}")]
+    gone = [f for f in remove if not files.exists(spark, f"{path}/{f}")]
+    if gone:
+        raise RuntimeError(f"another change came first: {gone[0]} is no longer there")
+    files.write_text(spark, f"{change}/COMMIT", json.dumps({"add": add, "remove": [f"{path}/{f}" for f in remove] + [f"{_journal(path)}/counts/{f}" for f in counts]}))
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)  # PySpark has no call of its own to look at files
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+
+def finish(spark: SparkSession, path: str) -> None:
+    """Carries out the changes that were committed but not carried out to the end."""
+    pending = f"{_journal(path)}/pending"
+    for name in files.names(spark, pending):
+        if files.exists(spark, f"{pending}/{name}/COMMIT"):
+            todo = json.loads(files.read_text(spark, f"{pending}/{name}/COMMIT"))
+            for source, target in todo["add"]:
+                files.move(spark, f"{pending}/{name}/{source}", target)
+            for old in todo["remove"]:
+                files.delete(spark, old)
+            for day in {old.rsplit("/", 1)[0] for old in todo["remove"]}:
+                files.delete_if_empty(spark, day)
+            files.delete(spark, f"{pending}/{name}/COMMIT")
+            files.delete(spark, f"{pending}/{name}")
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes what changes that never came to their COMMIT left behind. No change may be under way."""
+    finish(spark, path)
+    files.delete(spark, f"{_journal(path)}/pending")
 
 
 def _whole(spark: SparkSession, path: str) -> DataFrame:
+    finish(spark, path)
     return spark.read.schema(STORE_SCHEMA).parquet(path)
 
 
-def next_id(spark: SparkSession, path: str) -> int:
-    """Largest id of a store; 0 for none."""
-    return _whole(spark, path).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if _exists(spark, path) else 0
+def _beside(spark: SparkSession, path: str, kind: str, schema: str) -> DataFrame:
+    folder = f"{_journal(path)}/{kind}"
+    return spark.read.schema(schema).parquet(folder) if files.tables(spark, folder) else spark.createDataFrame([], schema)
+
+
+def ledger(spark: SparkSession, path: str) -> DataFrame:
+    """What was imported: a row a file (batch, path, length, modified, file, import_format, events, excluded) or a named batch."""
+    finish(spark, path)
+    return _beside(spark, path, "ledger", LEDGER_SCHEMA)
 
 
 def has_batch(spark: SparkSession, path: str, batch: str) -> bool:
-    """Whether rows of that batch are in the store (files tell by their statistics)."""
-    return _exists(spark, path) and not _whole(spark, path).filter(F.col("import_batch") == batch).isEmpty()
+    """Whether that batch is in the store."""
+    return not ledger(spark, path).filter(F.col("batch") == batch).isEmpty()
+
+
+def last_id(spark: SparkSession, path: str) -> int:
+    """Largest id of a store; 0 for none."""
+    return _whole(spark, path).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if files.exists(spark, path) else 0
+
+
+def _blocks(spark: SparkSession, path: str, n: int) -> list[int]:
+    """n blocks of ids that nobody else gets."""
+    folder = f"{_journal(path)}/ids"
+    taken = [int(k) for k in files.names(spark, folder)]
+    k = max(taken) + 1 if taken else -(-last_id(spark, path) // BLOCK)
+    out: list[int] = []
+    while len(out) < n:
+        if files.create(spark, f"{folder}/{k:010d}"):
+            out.append(k)
+        k += 1
+    return out
+
+
+def _numbered(spark: SparkSession, path: str, staged: str, schema: str) -> DataFrame:
+    """The staged rows with ids: their places in the staged files, counted on from file to file, in blocks of their own."""
+    rows = spark.read.schema(schema).parquet(staged)
+    sizes = sorted(tuple(r) for r in rows.groupBy(F.col("_metadata.file_name")).count().collect())  # a row for each task that wrote
+    starts = list(accumulate((n for _, n in sizes), initial=1))
+    blocks = F.array(*[F.lit(b) for b in _blocks(spark, path, starts[-1] // BLOCK + 1)])
+    begin = F.broadcast(spark.createDataFrame([(f, s) for (f, _), s in zip(sizes, starts, strict=False)], "_file string, _start long"))
+    placed = rows.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")).join(begin, "_file")
+    at = F.col("_start") + F.col("_row")
+    return placed.withColumn("id", F.element_at(blocks, (F.floor(at / BLOCK) + 1).cast("int")) * BLOCK + at % BLOCK).drop("_file", "_start", "_row")
+
+
+def _counts(plus: DataFrame, minus: DataFrame | None = None) -> DataFrame:
+    out = aggregates.frequencies(plus, COUNTED)
+    if minus is None:
+        return out
+    both = out.unionByName(aggregates.frequencies(minus, COUNTED).withColumn("frequency", -F.col("frequency")))
+    return both.groupBy("field", "value").agg(F.sum("frequency").alias("frequency")).filter("frequency != 0")
+
+
+def _add(spark: SparkSession, path: str, change: str, schema: str, entries: DataFrame | None, files_a_day: int, batch: str) -> None:
+    """Adds the rows staged in a change to the store, with their counts and ledger entries."""
+    rows = _numbered(spark, path, f"{change}/rows", schema)
+    rows = rows.filter("ok") if "ok" in rows.columns else rows
+    _write(_dated(rows.withColumn("import_batch", F.lit(batch))), f"{change}/data", files_a_day)
+    added = spark.read.schema(STORE_SCHEMA).parquet(f"{change}/data")
+    _counts(added).write.parquet(f"{change}/counts")
+    if entries is not None:
+        entries.write.parquet(f"{change}/ledger")
+    files.make_folder(spark, path)  # a store without rows is one too
+    _commit(spark, path, change)
+    finish(spark, path)
+    if len(files.tables(spark, f"{_journal(path)}/counts")) > COUNT_FILES:
+        compact_metadata(spark, path)
+
+
+_STAGED = EVENT_SCHEMA.removeprefix("id long, ")
+
+
+def append(events: DataFrame, path: str, files_a_day: int = 8, batch: str = "") -> None:
+    """Adds events to a Parquet store by day, all or none; a busy day is dealt to several tasks. Appends may run side by side.
+
+    batch: a name; a batch whose name is in the store is not added again. The rows are computed once and written twice.
+    """
+    spark, change = events.sparkSession, _change(path)
+    if batch and has_batch(spark, path, batch):
+        return
+    no_nulls(events.select(*EVENT_COLUMNS)).write.parquet(f"{change}/rows")
+    one = spark.range(1).select(F.lit(batch).alias("batch"), *[F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in LEDGER_SCHEMA.split(", ")[1:])])
+    _add(spark, path, change, _STAGED, one if batch else None, files_a_day, batch)
+
+
+def import_files(spark: SparkSession, paths: list[str], path: str, date_from: str = "", date_to: str = "") -> DataFrame:
+    """Imports files of any known formats into a store; returns (file, import_format, events, excluded) of each file that was read.
+
+    A file that is in the store already, with the same path, length and time of change, is left out, so an import that failed, or
+    that ended without a word, can be run again. Two imports at once get ids of their own; the same files should not be in both.
+    """
+    there = ledger(spark, path).select("path", "length", "modified")
+    found = spark.read.format("binaryFile").load(paths).select("path", "length", F.col("modificationTime").alias("modified"))
+    new = found.join(there, ["path", "length", "modified"], "left_anti").collect()  # a row a file
+    if not new:
+        return _beside(spark, path, "ledger", LEDGER_SCHEMA).select("file", "import_format", "events", "excluded").limit(0)
+    change = _change(path)
+    batch = change.rsplit("/", 1)[1]
+    read = imports.read_all(spark, [r.path for r in new], date_from=date_from, date_to=date_to)
+    no_nulls(read.select(*EVENT_COLUMNS, "ok", "file", "import_format")).write.parquet(f"{change}/rows")
+    schema = f"{_STAGED}, ok boolean, file string, import_format string"
+    counted = imports.summary(spark.read.schema(schema).parquet(f"{change}/rows")).withColumn("key", imports.plain_path(F.col("file")))
+    listed = spark.createDataFrame([(*r, imports.plain(r.path)) for r in new], "path string, length long, modified timestamp, key string")
+    names = [c.split()[0] for c in LEDGER_SCHEMA.split(", ")]
+    entries = listed.join(counted, "key", "left").withColumn("batch", F.lit(batch)).select(*names)  # files without a line too
+    _add(spark, path, change, schema, entries, 8, batch)
+    return ledger(spark, path).filter((F.col("batch") == batch) & F.col("file").isNotNull()).select("file", "import_format", "events", "excluded")
 
 
 def open_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -60,54 +205,54 @@ def open_parquet(spark: SparkSession, path: str) -> DataFrame:
     return _whole(spark, path).select("id", *EVENT_COLUMNS, "event_date")
 
 
-def refresh_metadata(spark: SparkSession, path: str) -> None:
-    """Counts the store's values and tags anew, into folders that its readers skip."""
-    events = open_parquet(spark, path)
-    aggregates.frequencies(events).write.mode("overwrite").parquet(f"{path}/_counts/frequencies")
-    aggregates.distinct_tags(events).write.mode("overwrite").parquet(f"{path}/_counts/tags")
-
-
 def metadata(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(field, value, frequency), (tag) as of the last refresh."""
-    return spark.read.parquet(f"{path}/_counts/frequencies"), spark.read.parquet(f"{path}/_counts/tags")
+    """(field, value, frequency), (tag): sums of what each change counted."""
+    finish(spark, path)
+    counts = _beside(spark, path, "counts", COUNTS_SCHEMA).groupBy("field", "value").agg(F.sum("frequency").alias("frequency")).filter("frequency > 0")
+    tags = aggregates.distinct_tags(counts.filter("field = 'tag'").select(F.col("value").alias("tag")))
+    return counts.filter("field != 'tag'"), tags
 
 
-def import_files(spark: SparkSession, paths: list[str], path: str, date_from: str = "", date_to: str = "") -> DataFrame:
-    """Imports files of any known formats into a store and refreshes its metadata; returns what was kept and left out of each file."""
-    read = imports.read_all(spark, paths, date_from=date_from, date_to=date_to)
-    append(imports.kept(read), path)
-    refresh_metadata(spark, path)
-    return imports.summary(read)
+def compact_metadata(spark: SparkSession, path: str) -> None:
+    """Sums the counts of all changes so far into few files."""
+    finish(spark, path)
+    _replace_counts(spark, path, _beside(spark, path, "counts", COUNTS_SCHEMA).groupBy("field", "value").agg(F.sum("frequency").alias("frequency")).filter("frequency != 0"))
 
 
-def _on(days: list) -> Column:
-    some = F.col("event_date").isin([d for d in days if d])
-    return some | F.col("event_date").isNull() if None in days else some
+def refresh_metadata(spark: SparkSession, path: str) -> None:
+    """Counts the whole store anew. Changes keep the counts by themselves; this is for stores written by other means."""
+    _replace_counts(spark, path, _counts(_whole(spark, path)))
 
 
-def apply_edits(spark: SparkSession, path: str, changes: DataFrame) -> None:
-    """Applies changes(id, field, value, seq) to a store (see edits.update_fields); only the days of the events named are rewritten.
+def _replace_counts(spark: SparkSession, path: str, counts: DataFrame) -> None:
+    old, change = files.tables(spark, f"{_journal(path)}/counts"), _change(path)
+    counts.write.parquet(f"{change}/counts")
+    _commit(spark, path, change, counts=old)
+    finish(spark, path)
 
-    The changed days are first written beside the store, so that a run that fails can be run again. A day that loses its last event
-    is removed at the end.
-    """
+
+def prepare_edits(spark: SparkSession, path: str, changes: DataFrame) -> None:
+    """apply_edits up to its commit: whoever opens the store next carries it out."""
     old = _whole(spark, path)
     named = changes.select("id").distinct()
-    days = [r[0] for r in old.join(named, "id", "left_semi").select("event_date").distinct().collect()]
-    if not days:
+    at = old.select("id", F.col("_metadata.file_path").alias("file")).join(named, "id", "left_semi").select("file").distinct()
+    touched = ["/".join(unquote(r.file).rsplit("/", 2)[1:]) for r in at.collect()]  # files of the store
+    if not touched:
         return
-    staging = f"{path}/_edits-{uuid.uuid4().hex}"
-    changed = _dated(edits.update_fields(old.filter(_on(days)), changes))
-    changed.write.parquet(f"{staging}/changed")
-    rows = spark.read.schema(changed.schema).parquet(f"{staging}/changed")
-    now = [r[0] for r in rows.select("event_date").distinct().collect()]
-    if more := [d for d in now if d not in days]:  # events that moved to other days join those that are there
-        old.filter(_on(more)).select(*rows.columns).write.parquet(f"{staging}/there")
-        rows = rows.unionByName(spark.read.schema(changed.schema).parquet(f"{staging}/there"))
-    _write(rows, path, 8, "overwrite")
-    for folder in [staging, *(f"{path}/event_date={d or '__HIVE_DEFAULT_PARTITION__'}" for d in days if d not in now)]:
-        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    change = _change(path)
+    before = spark.read.schema(STORE_SCHEMA).option("basePath", path).parquet(*[f"{path}/{f}" for f in touched])
+    _write(_dated(edits.update_fields(before, changes)), f"{change}/data", 8)
+    _counts(spark.read.schema(STORE_SCHEMA).parquet(f"{change}/data"), before).write.parquet(f"{change}/counts")
+    _commit(spark, path, change, touched)
+
+
+def apply_edits(spark: SparkSession, path: str, changes: DataFrame) -> None:
+    """Applies changes(id, field, value, seq) to a store (see edits.update_fields); only the files that hold the events named are rewritten.
+
+    All or nothing, and a run that fails can be run again. Of two edits of one file at a time, the later one fails and can be run again.
+    """
+    prepare_edits(spark, path, changes)
+    finish(spark, path)
 
 
 def open_jdbc(spark: SparkSession, url: str, table: str = "log2timeline", id_column: str = "id", partitions: int = 16, **options: str) -> DataFrame:

@@ -23,9 +23,7 @@ def import_lines(spark: SparkSession, folder: str, kind: str, out: str, checkpoi
     events = jsonl.lines_to_events(raw) if kind == "jsonl" else tln.lines_to_events(raw, 5 if kind == "tln" else 7)
 
     def add(batch: DataFrame, number: int) -> None:
-        name = f"{checkpoint}#{number}"
-        if not store.has_batch(batch.sparkSession, out, name):
-            store.append(batch.filter("ok").drop("ok"), out, batch=name)
+        store.append(batch.filter("ok").drop("ok"), out, batch=f"{checkpoint}#{number}")
 
     return events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
