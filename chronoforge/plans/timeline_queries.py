@@ -597,6 +597,48 @@ def read_dynamic_csv(spark, sf):
     return dynamic.cells_to_events(cells, header).select("datetime", "type", "MACB", "source", "user", "desc", "timezone", "extra")
 
 
+def _files(rows: DataFrame, header: str, line: Column, path: str) -> str:
+    """Text files of lines, each with the header in front."""
+    dealt = rows.select(line.alias("line")).repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    dealt.select(F.concat(F.when(first, header + "\n").otherwise(""), "line").alias("value")).write.text(path)
+    return path
+
+
+_SPARE = "CASE WHEN id % 2000 = 7 THEN 20000 WHEN id % 200 = 9 THEN 200 WHEN id % 20 = 11 THEN 9 ELSE 0 END"
+
+
+@query(
+    "SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS datetime, source, \"desc\" || CASE WHEN id % 3 = 0 THEN chr(10) || 'more \"of it\", and on' ELSE '' END AS \"desc\","
+    f" array_to_string(list_transform(range({_SPARE}), lambda k: 'unknown: ' || (id + k % 7)), '; ') AS extra FROM (SELECT tl.*, ts FROM tl JOIN events ON id = event_id + 1)"
+)
+def ragged_csv_files(spark, sf):
+    """CSV files with line breaks in quotes and up to 20,000 cells beyond the header."""
+    iso = F.date_format(F.timestamp_seconds("epoch"), "yyyy-MM-dd'T'HH:mm:ss")
+    text = F.concat(F.lit('"'), "desc", F.when(F.col("id") % 3 == 0, '\nmore ""of it"", and on').otherwise(""), F.lit('"'))
+    n = F.when(F.col("id") % 2000 == 7, 20000).when(F.col("id") % 200 == 9, 200).when(F.col("id") % 20 == 11, 9).otherwise(0)
+    spare = F.transform(F.slice(F.sequence(F.lit(0), F.lit(19_999)), F.lit(1), n), lambda k: F.concat(F.lit(", "), (F.col("id") + k % 7).cast("string")))
+    line = F.concat_ws(",", iso, "source", F.concat(text, F.array_join(spare, "")))
+    path = _files(_with_epoch(spark, sf), "datetime,source,message", line, f"{_folder(spark)}/csv")
+    return imports.read_all(spark, [path]).select("datetime", "source", "desc", "extra")
+
+
+@query(
+    "SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS datetime, source, \"user\", \"desc\" || CASE WHEN id % 4 = 0 THEN chr(10) || 'second' ELSE '' END AS \"desc\", 'a, \"b\"' AS notes, CAST(-1 AS BIGINT) AS store_number"
+    " FROM (SELECT tl.*, ts FROM tl JOIN events ON id = event_id + 1) WHERE strftime(ts, '%Y-%m-%d') > '2024-01-05' AND strftime(ts, '%Y-%m-%d') < '2024-01-20'"
+)
+def import_l2t_files(spark, sf):
+    """L2T files with line breaks in quotes, imported into a store within a window of dates."""
+    t = F.timestamp_seconds("epoch")
+    desc = F.concat(F.lit('"'), "desc", F.when(F.col("id") % 4 == 0, "\nsecond").otherwise(""), F.lit('"'))
+    own = {"date": F.date_format(t, "MM/dd/yyyy"), "time": F.date_format(t, "HH:mm:ss"), "desc": desc, "notes": F.lit('"a, ""b"""'), "short": F.lit("x"), "version": F.lit("2"), "extra": F.lit("")}
+    line = F.concat_ws(",", *[own[c] if c in own else F.col(c) for c in l2t.COLUMNS])
+    path = _folder(spark)
+    _files(_with_epoch(spark, sf), ",".join(l2t.COLUMNS), line, f"{path}/csv")
+    store.import_files(spark, [f"{path}/csv"], f"{path}/store", "2024-01-05", "2024-01-20")
+    return store.open_parquet(spark, f"{path}/store").select("datetime", "source", "user", "desc", "notes", "store_number")
+
+
 @query("SELECT host AS file, CAST(count_if(id % 13 != 0) AS BIGINT) AS events, CAST(count_if(id % 13 = 0) AS BIGINT) AS excluded FROM tl GROUP BY host")
 def import_summary(spark, sf):
     from chronoforge.sources.imports import summary

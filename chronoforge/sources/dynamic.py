@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from chronoforge.functions.schema import as_events, column_name
 from chronoforge.functions.text import MACB_OTHER, macb
 from chronoforge.functions.times import drop_offset
+from chronoforge.sources import delimited
 
 # Event column (lower case) of each header name (lower case).
 TARGET = {
@@ -41,8 +42,6 @@ TARGET = {
     "computer_name": "computer_name",
 }
 BLANKS = " \t\r\n"
-#: Cells of a row that Spark's parser makes room for; it fails on a row with more.
-MOST_CELLS = 1_000_000
 
 
 def cell_names(header: list[str], surplus: int) -> list[str]:
@@ -86,37 +85,10 @@ def header_of(line: str) -> list[str]:
     return next(csv.reader([line.lstrip("﻿")], skipinitialspace=True), [])
 
 
-OPTIONS = {"escape": '"', "ignoreLeadingWhiteSpace": True, "maxColumns": MOST_CELLS}
-
-
-def _schema(names: list[str]) -> str:
-    return ", ".join(f"`{n}` string" for n in names)
-
-
-def _beyond(header: list[str], most: int) -> Column:
-    """The cells of _ragged beyond the header. A row is parsed for a width of its own size, so that a wide one costs the others nothing."""
-    out, width, widths = F.array().cast("array<string>"), 8, []
-    while not widths or widths[-1] < most:
-        widths.append(width)
-        width *= 4
-    for w in reversed(widths):
-        parsed = F.from_csv("_ragged", _schema(cell_names(header, w)), {k: str(v).lower() for k, v in OPTIONS.items()})
-        cells = F.transform(F.array(parsed), lambda row: F.array(*[row[f"_o{k}"] for k in range(w)]))  # noqa: B023  (called at once; it parses a row once)
-        out = F.when(F.col("_room") <= w, F.element_at(cells, 1)).otherwise(out)
-    return F.when(F.col("_room") > 0, out).otherwise(F.array().cast("array<string>"))
-
-
 def read(spark: SparkSession, paths: list[str], header: list[str], multiline: bool = True) -> DataFrame:
-    """Events with file, of files that have this header. A first pass finds the room that surplus cells need."""
-    raw = (
-        spark.read.schema(_schema([*cell_names(header, 0), "_ragged"])).options(**OPTIONS)
-        .option("header", True).option("enforceSchema", True).option("multiLine", multiline).option("columnNameOfCorruptRecord", "_ragged").option("columnPruning", False)
-        .csv(paths)
-    )
-    # no row has more cells beyond the header than its commas allow, those within quotes included; _ragged is null where the cells fit the header
-    commas = F.length("_ragged") - F.length(F.replace("_ragged", F.lit(","), F.lit("")))
-    raw = raw.withColumn("_room", F.coalesce(commas + 1 - len(header), F.lit(0)))
-    most = raw.agg(F.max("_room"), F.count("_c0")).first()[0] or 0  # Spark refuses to read _ragged alone
-    if most > 0:
-        raw = raw.withColumn("_beyond", _beyond(header, most))
-    return cells_to_events(raw.select("*", F.col("_metadata.file_path").alias("file")), header, ("file",))
+    """Events with file, of files that have this header. multiline False: no line break stands within quotes."""
+    rows = delimited.records(spark, paths, multiline, trim=True).select("file", delimited.cells(F.col("record"), trim=True).alias("_cells"))
+    n = len(header)
+    own = [F.try_element_at("_cells", F.lit(k + 1)).alias(c) for k, c in enumerate(cell_names(header, 0))]
+    beyond = F.slice("_cells", F.lit(n + 1), F.greatest(F.lit(0), F.size("_cells") - n)).alias("_beyond")
+    return cells_to_events(rows.select("file", *own, beyond), header, ("file",))

@@ -10,7 +10,7 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoforge.sources import dynamic, jsonl, l2t, tln
+from chronoforge.sources import delimited, dynamic, jsonl, l2t, tln
 
 
 def detect(path: str, first_line: str) -> str | None:
@@ -65,15 +65,9 @@ def plain_path(c: Column) -> Column:
     return F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), "^(\\w+):/*", "$1:/")
 
 
-#: A CSV line that holds whole records: cells without quotes in front, or quoted ones that are closed.
-_CELL = '[ \t]*+(?:"[^"]*+(?:""[^"]*+)*+"[^,"]*+|[^",][^,]*+|)'
-WHOLE_LINE = f"^{_CELL}(?:,{_CELL})*+\r?$"
-
-
 def breaks_lines(spark: SparkSession, paths: list[str]) -> bool:
-    """Whether a CSV file may hold line breaks within quotes; files without can be split. One pass over the lines, which any task can do."""
-    lines = spark.read.text(paths)
-    return not lines.filter(F.contains("value", F.lit('"')) & ~F.col("value").rlike(WHOLE_LINE)).isEmpty()
+    """Whether a CSV file may hold line breaks within quotes; a file without needs no look at the order of its blocks."""
+    return delimited.breaks_lines(spark, paths)
 
 
 def read_all(spark: SparkSession, paths: list[str], multiline: bool | str = "auto", date_from: str = "", date_to: str = "") -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from chronoforge.functions.schema import as_events
 from chronoforge.functions.text import strip_nul
 from chronoforge.functions.times import l2t_date, l2t_time
+from chronoforge.sources import delimited
 
 # The header.
 COLUMNS = ["date", "time", "timezone", "MACB", "source", "sourcetype", "type", "user", "host", "short", "desc", "version", "filename", "inode", "notes", "format", "extra"]
-SCHEMA = ", ".join(f"`{c}` string" for c in COLUMNS)
 _SAME = ["timezone", "MACB", "source", "sourcetype", "type", "user", "host", "desc", "filename", "inode", "notes", "format", "extra"]
 
 
@@ -37,6 +37,6 @@ def in_window(events: DataFrame, date_from: str = "", date_to: str = "", limit:
 
 
 def read(spark: SparkSession, paths: list[str], multiline: bool = True) -> DataFrame:
-    """Events with file. multiline=False lets Spark split files that hold no line breaks within quotes."""
-    raw = spark.read.schema(SCHEMA).option("header", True).option("enforceSchema", True).option("multiLine", multiline).option("escape", '"').csv(paths)
-    return cells_to_events(raw.select("*", F.col("_metadata.file_path").alias("file")), ("file",))
+    """Events with file. multiline False: no line break stands within quotes."""
+    rows = delimited.records(spark, paths, multiline).select("file", delimited.cells(F.col("record")).alias("_cells"))
+    return cells_to_events(rows.select("file", *[F.try_element_at("_cells", F.lit(k + 1)).alias(c) for k, c in enumerate(COLUMNS)]), ("file",))
