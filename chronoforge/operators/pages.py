@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoforge.functions.schema import EVENT_COLUMNS, INT_COLUMNS, as_events, column_name
+from chronoforge.functions.schema import EVENT_COLUMNS, as_events, column_name
 from chronoforge.operators.predicates import Request, asks_for_notes, date_span, predicate, raw_where, saved, within_days
 
 #: A page that ends behind so many rows is found by counting first.
@@ -45,46 +45,70 @@ def between(events: DataFrame, first: str, last: str) -> DataFrame:
     return within_days(events, first, last).filter(F.col("datetime").between(first, last))
 
 
-def _sort_text(c: Column, is_number: bool) -> Column:
-    """A text that sorts like the column."""
-    return F.lpad((c.cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0") if is_number else c
+#: Rows that a sample holds, at most, and characters of a text in it.
+SAMPLED, SAMPLED_CHARS = 4096, 4096
 
 
-def _skip(rows: DataFrame, names: list[str], k: int, deep: int) -> tuple[DataFrame, int]:
-    """rows without most of the first k in the order of the columns, and how many of these k are left.
+def _before(name: str, place: tuple | None, kind: str) -> Column:
+    """Whether a row comes before a place (value, id) in the order."""
+    if place is None:
+        return F.lit(False)
+    return F.struct(F.col(name).alias("v"), F.col("id").alias("i")) < F.struct(F.lit(place[0]).cast(kind).alias("v"), F.lit(place[1]).cast("long").alias("i"))
 
-    Counts the rows by the first characters of their sort text, then those of the characters at which the k-th row stands
-    by the next ones, until few rows are left before it: a scan and a short list of counts a step. Ties go on to the next column.
+
+def _from_to(rows: DataFrame, name: str, low: tuple | None, high: tuple | None) -> DataFrame:
+    kind = rows.schema[name].dataType.simpleString()
+    if low is not None:
+        rows = rows.filter(~_before(name, low, kind))
+        if low[0] is not None:
+            rows = rows.filter(F.col(name) >= F.lit(low[0]))  # reaches the scan, and leaves out nulls, which come first
+    if high is not None:
+        rows = rows.filter(_before(name, high, kind))
+        if high[0] is not None:
+            rows = rows.filter(F.col(name).isNull() | (F.col(name) <= F.lit(high[0])))
+    return rows
+
+
+def _near(rows: DataFrame, name: str, k: int, size: int, deep: int) -> tuple[DataFrame, int]:
+    """rows without most of those outside the k-th to the k + size-th in the order of (name, id), and how many of the first k are left.
+
+    One scan counts the rows and draws a row from each of SAMPLED groups by a hash of the id. The sample says between which two of its
+    rows the page lies, give or take four standard errors; a second scan counts exactly, and a third one reads what lies between.
+    The width of the values doesn't matter. Where more than deep rows are still to be skipped, the same is done within that part.
     """
-    is_number = names[0] in ("id", *INT_COLUMNS)
-    text, prefix = _sort_text(F.col(names[0]), is_number), ""
-    step = 4 if is_number or names[0] == "datetime" else 1
+    kind = rows.schema[name].dataType.simpleString()
+    value = F.substring(name, 1, SAMPLED_CHARS) if kind == "string" else F.col(name)  # the beginning of a text is a place in the order too
     while k > deep:
-        counts = rows.filter(text.startswith(prefix)).groupBy(F.substring(text, len(prefix) + 1, step).alias("part")).count().collect()
-        before = 0
-        for part, n in sorted(counts):
-            if before + n > k:
-                break
-            before += n
-        else:
+        drawn = F.min(F.struct(F.xxhash64(F.lit("drawn"), "id").alias("by"), value.alias("v"), F.col("id").alias("i"))).alias("row")
+        got = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)).alias("g")).agg(drawn, F.count(F.lit(1)).alias("n")).select("row.v", "row.i", "n").collect()
+        n = sum(r.n for r in got)
+        if n <= k:
             return rows.limit(0), 0  # behind the last row
-        prefix, k = prefix + part, k - before
-        rows = rows.filter(text >= prefix)
-        if len(part) < step:  # rows of this very value
-            if not names[1:]:
+        places = sorted(((r.v, r.i) for r in got), key=lambda p: (p[0] is not None, p[0].encode() if isinstance(p[0], str) else p[0] or 0, p[1]))
+        m = len(places)
+        wide = 4 * (m * (k / n) * (1 - k / n)) ** 0.5 + 2
+        while True:
+            lo, hi = int(k / n * m - wide), int((k + size) / n * m + wide) + 1
+            low, high = places[lo] if lo >= 0 else None, places[hi] if hi < m else None
+            if low is None and high is None:
+                return rows, k
+            before, within = rows.agg(F.count_if(_before(name, low, kind)), F.count_if(_before(name, high, kind)) if high else F.count(F.lit(1))).first()
+            if before <= k and (k + size <= within or high is None):
                 break
-            tied, k = _skip(rows.filter(text == prefix), names[1:], k, deep)
-            return tied.unionByName(rows.filter(text > prefix)), k
+            wide *= 2
+        rows, k = _from_to(rows, name, low, high), k - before
+        if within - before > n // 2:  # the sample can't tell the rows apart, or there are few
+            break
     return rows, k
 
 
 def page(rows: DataFrame, number: int = 1, size: int = 1000, order_by: str = "datetime", deep: int = DEEP) -> DataFrame:
-    """One page; the first pages need no full sort (the best rows of each task suffice), later ones skip most rows by counts."""
+    """One page; the first pages need no full sort (the best rows of each task suffice), later ones skip most rows by a sample and counts."""
     if size <= 0:
         return ordered(rows, order_by)
     k = size * (max(number, 1) - 1)
     if k > deep and column_name(order_by):
-        rows, k = _skip(rows, [column_name(order_by), "id"], k, deep)
+        rows, k = _near(rows, column_name(order_by), k, size, deep)
     return ordered(rows, order_by).offset(k).limit(size)
 
 

@@ -188,6 +188,13 @@ def page_by_number_of_ties(spark, sf):
     return pages.page(timeline(spark, sf), 15, 50, "host", deep=100)
 
 
+@query(f"SELECT * REPLACE (repeat('SOFTWARE', 20) || \"desc\" AS \"desc\") FROM tl ORDER BY \"desc\", id LIMIT 50 OFFSET (SELECT count(*) // 100 * 50 FROM tl)")
+def page_by_number_of_text(spark, sf):
+    """The middle page by texts that begin alike."""
+    rows = timeline(spark, sf).withColumn("desc", F.concat(F.repeat(F.lit("SOFTWARE"), F.lit(20)), "desc"))
+    return pages.page(rows, rows.count() // 100 + 1, 50, "desc", deep=100)
+
+
 @query(f"SELECT {COLUMNS} FROM tl ORDER BY datetime, id LIMIT 64 OFFSET (SELECT (count(*) - 1) // 64 * 64 FROM tl)")
 def last_page(spark, sf):
     return pages.last_page(timeline(spark, sf), 64, deep=100)

@@ -319,6 +319,29 @@ def test_deep_pages_equal_plain_ones(spark, order_by):
     rows.unpersist()
 
 
+@pytest.mark.parametrize("order_by", ["desc", "host", "offset"])
+def test_deep_pages_take_few_scans_whatever_the_texts(spark, monkeypatch, order_by):
+    monkeypatch.setattr(pages, "SAMPLED", 512)
+    prefix = "HKEY_LOCAL_MACHINE\\" * 8
+    rows = events(spark, *({"desc": f"{prefix}{k * 7919 % 3000:05d}", "host": f"{prefix[:147]}{k % 2}", "offset": k % 3} for k in range(3000))).repartition(3).cache()
+    plain = [r.id for r in pages.ordered(rows, order_by).collect()]
+    for number in (4, 30, 59, 60):
+        spark.sparkContext.setJobGroup(f"page-{order_by}-{number}", "")
+        near, k = pages._near(rows, order_by, 50 * (number - 1), 50, 100)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"page-{order_by}-{number}")) <= 10  # two rounds of two scans at most
+        spark.sparkContext.setJobGroup("rest", "")
+        assert near.count() < 1500 and k < 1000
+        assert [r.id for r in pages.page(rows, number, 50, order_by, deep=100).collect()] == plain[50 * (number - 1) : 50 * number]
+    rows.unpersist()
+
+
+def test_deep_pages_of_nulls(spark):
+    rows = spark.createDataFrame([(k, None if k % 3 else f"v{k}") for k in range(600)], "id long, host string")
+    plain = [r.id for r in rows.orderBy("host", "id").collect()]
+    for number in (2, 15, 40, 60):
+        assert [r.id for r in pages.page(rows, number, 10, "host", deep=5).collect()] == plain[10 * (number - 1) : 10 * number]
+
+
 def test_raw_searches_take_or_leave_notes(spark):
     rows = events(spark, {"source": "FILE", "desc": "x"}, {"source": "LOG", "desc": "x"})
     notes = spark.createDataFrame([(1, "2024-01-01 00:00:00", "n", "", "", 0)], "id long, datetime string, description string, tag string, color string, bookmark long")
