@@ -13,7 +13,9 @@
      links found give components;
   2. what is left are pairs of one bucket in different components. A bucket of more than LARGE members,
      as a template shared by dissimilar documents makes it, is first dealt anew by a second band: its pairs
-     meet where they share two bands. The largest component's members meet
+     meet where they share two bands. What is still larger than that is dealt by rare shingles: if all sets are sorted in
+     one order, two that are similar enough share a shingle among the first 15 % of each (and one more), whatever the order. Shingles
+     that a sample of these sets holds often come last, so that a template brings nobody together. The largest component's members meet
      the others in blocks of fixed size, spread over tasks. A block compares sketches; the
      members of pairs whose estimate is within reach (over seven standard errors below the threshold) meet
      once more, with their full sets.
@@ -57,6 +59,8 @@ REACH = 0.68
 BLOCK = 512
 #: Buckets with more members are dealt by a second band.
 LARGE = 8 * BLOCK
+#: Sets that tell which shingles are common, about, and the common ones that are kept, at most. Both affect the work alone.
+ASKED, COMMON = 2000, 1 << 20
 CACHE_WORDS = 1_000_000
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -240,11 +244,11 @@ def equal_bytes(rows: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def bands_of(keys: np.ndarray, bucket: int) -> tuple[int, int]:
-    """The band that makes a bucket and -1, or the two bands that do; keys: one member's."""
+    """The band that makes a bucket and -1, or the two bands that do; -1 and -1 if a shingle makes it. keys: one member's."""
     if len(one := np.flatnonzero(keys == bucket)):
         return int(one[0]), -1
     both = np.argwhere(np.triu(keys[:, None] ^ (keys[None, :] << 1) == bucket, 1))
-    return int(both[0][0]), int(both[0][1])
+    return (int(both[0][0]), int(both[0][1])) if len(both) else (-1, -1)
 
 
 def near_pairs(a: list[tuple], b: list[tuple], bucket: int) -> list[tuple[int, int]]:
@@ -262,14 +266,14 @@ def near_pairs(a: list[tuple], b: list[tuple], bucket: int) -> list[tuple[int, i
     out = []
     for k, row in enumerate(a):
         hits = np.flatnonzero((equal_bytes(two, one[k]) >= least) & (labels != row[LABEL]))
-        if len(hits):
+        if len(hits) and first >= 0:
             shared = keys_b[hits] == keys_a[k]
             met = shared.argmax(axis=1) == first
             if second >= 0:
                 shared[:, first] = False
                 met &= (shared.argmax(axis=1) == second) & shared.any(axis=1)
             hits = hits[met]
-            out += [(k, h) for h in hits.tolist()]
+        out += [(k, h) for h in hits.tolist()]
     return out
 
 
@@ -335,6 +339,41 @@ def by_two_bands(members: DataFrame, nodes: DataFrame, large: DataFrame) -> Data
     return dealt.join(shared, "key")
 
 
+def rarest_first(grams: np.ndarray, common: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The shingles of a set in the one order: by how often the sample holds them, then by themselves; common is sorted."""
+    at = np.minimum(np.searchsorted(common, grams), max(len(common) - 1, 0))
+    often = np.where(common[at] == grams, times[at], 0) if len(common) else np.zeros(len(grams), np.int64)
+    return grams[np.lexsort((grams, often))]
+
+
+def by_rare_shingles(hot: DataFrame, sets: DataFrame) -> DataFrame:
+    """key, node: the nodes of hot(node) by each of the first shingles of their sets, where these meet another one."""
+    some = sets.join(hot, "node", "left_semi")
+    rate = min(1.0, ASKED / max(1, hot.count()))
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for g in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(g, np.int64))], ["gram"])
+
+    asked = some.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 32)) < rate * (1 << 32)).select("grams").mapInArrow(every, "gram long")
+    counted = asked.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy(F.desc("n"), "gram").limit(COMMON).toPandas()
+    common, times = counted["gram"].to_numpy(np.int64).view(np.uint64), counted["n"].to_numpy(np.int64)
+    order = np.argsort(common)
+    common, times = common[order], times[order]
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                grams = np.frombuffer(g, np.uint64)
+                keys = rarest_first(grams, common, times)[: len(grams) - -(-PERCENT * len(grams) // 100) + 1]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), node))], ["key", "node"])
+
+    dealt = written(some.select("node", "grams").mapInArrow(first, "key long, node long"), "near-rare")
+    shared = written(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key"), "near-met")
+    return dealt.join(shared, "key")
+
+
 def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(signatures, classes: set_id and lead, the least (no_id, doc_id, h) of its component)."""
     with temporary(docs.sparkSession):
@@ -359,7 +398,12 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         dealt = members.filter("NOT is_large").select("key", "node")
         large = buckets.filter(F.col("size") > LARGE).select("key")
         if not large.isEmpty():
-            dealt = dealt.unionByName(by_two_bands(members, nodes, large))
+            two = written(by_two_bands(members, nodes, large), "near-two-bands")
+            still = written(two.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > LARGE).select("key"), "near-still")
+            dealt = dealt.unionByName(two.join(still, "key", "left_anti"))
+            if not still.isEmpty():
+                hot = written(two.join(still, "key", "left_semi").select("node").distinct(), "near-hot")
+                dealt = dealt.unionByName(by_rare_shingles(hot, sets))
         more = written(remaining_links(dealt, labels, sets), "near-links")
         if not more.isEmpty():
             labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))

@@ -159,6 +159,42 @@ def test_a_hot_band_is_dealt_by_a_second_one(spark, monkeypatch):
     assert met
 
 
+def test_a_template_that_two_bands_do_not_split_is_dealt_by_rare_shingles(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    template = rng.choice(VOCAB, 300)
+    base = [rng.choice(VOCAB, 60) for _ in range(60)]
+    rows = []
+    for k in range(180):
+        words = base[k % 60].copy()
+        at = rng.integers(0, 60, rng.integers(0, 5))
+        words[at] = rng.choice(VOCAB, len(at))
+        rows.append((k, " ".join([*template, *words])))
+    want = near_brute_force(rows)
+    assert 20 < len(set(want.values()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    met = []
+    rare = minhash_dedup.by_rare_shingles
+    monkeypatch.setattr(minhash_dedup, "LARGE", 6)
+    monkeypatch.setattr(minhash_dedup, "by_rare_shingles", lambda *a: met.append(rare(*a)) or met[-1])
+    assert {r.doc_id: r.component_id for r in minhash_dedup.mark_near_copies(docs).collect()} == want
+    assert met
+
+
+def test_similar_sets_share_one_of_their_first_shingles():
+    rng = np.random.default_rng(1)
+    pool = np.sort(rng.choice(1 << 40, 400, replace=False).astype(np.uint64))
+    common, times = pool[::3], rng.integers(2, 9, len(pool[::3]))
+    first = lambda s: set(minhash_dedup.rarest_first(s, common, times)[: len(s) - -(-85 * len(s) // 100) + 1].tolist())
+    near = 0
+    for _ in range(4000):
+        a = np.sort(rng.choice(pool, rng.integers(1, 60), replace=False))
+        b = np.unique(np.concatenate([rng.choice(a, max(1, int(len(a) * rng.uniform(0.8, 1))), replace=False), rng.choice(pool, rng.integers(0, 6))]))
+        if minhash_dedup.linked(a, b):
+            near += 1
+            assert first(a) & first(b)
+    assert near > 500
+
+
 def test_two_bands_are_found_by_their_bucket():
     keys = mix_numbers(7)
     assert minhash_dedup.bands_of(keys, int(keys[3])) == (3, -1)
