@@ -6,22 +6,22 @@
   least value of its earliest round. After T rounds, round T + j throws every shingle into bin j, so
   each coordinate fills, even for one shingle; mostly two or three rounds do. The share of equal
   coordinates estimates the Jaccard similarity with the concentration of T independent samples.
-* Banding: BANDS bands of ROWS coordinates. At the least similarity asked for, 0.85, a pair shares less
-  than two bands with a probability of 6.6e-9 (no band at all: 2.1e-10).
+* Banding: BANDS bands of ROWS coordinates. At the least similarity asked for, 0.85, a pair shares no
+  band with a probability of 2.1e-10.
 * Verification on full sets, in two steps, that never lists all pairs of a bucket:
   1. each member of a bucket is compared with the bucket's smallest node (a star); the
      links found give components;
-  2. what is left are pairs of one bucket in different components. A bucket of more than LARGE members,
-     as a template shared by dissimilar documents makes it, is first dealt anew by a second band: its pairs
-     meet where they share two bands. What is still larger than that is dealt by rare shingles: if all sets are sorted in
-     one order, two that are similar enough share a shingle among the first 15 % of each (and one more), whatever the order. Shingles
-     that a sample of these sets holds often come last, so that a template brings nobody together. The largest component's members meet
+  2. what is left are pairs of one bucket in different components. The members of buckets of more than LARGE,
+     as a template shared by dissimilar documents makes them, are first dealt anew by their rarest shingles: if all
+     sets are sorted in one order, two that are similar enough share a shingle among the first 15 % of each (and one more),
+     whatever the order. Shingles that a sample of these members holds often come last, so that templates bring
+     nobody together. The largest component's members meet
      the others in blocks of fixed size, spread over tasks. A block compares sketches; the
      members of pairs whose estimate is within reach (over seven standard errors below the threshold) meet
      once more, with their full sets.
-  A pair that shares two bands thus ends up linked, in one component anyway, or refuted, unless its
+  A pair that shares a band thus ends up linked, in one component anyway, or refuted, unless its
   estimate is out of reach; at a similarity of 0.85 that has a probability of 5e-12 (binomial tail of
-  at most 174 of 256 coordinates). All causes together miss such a pair with at most 6.7e-9.
+  at most 174 of 256 coordinates). All causes together miss such a pair with at most 2.2e-10.
 
 Classes are numbered when they are written; the numbers are the nodes of all links, so that ids that
 name several texts are no trouble, and texts without an id are nodes like all others. The least (doc_id, row hash) of a
@@ -57,8 +57,8 @@ T, BANDS, ROWS = 256, 38, 5
 #: Pairs whose estimated similarity is lower are out of reach of the threshold.
 REACH = 0.68
 BLOCK = 512
-#: Buckets with more members are dealt by a second band.
-LARGE = 8 * BLOCK
+#: Buckets with more members are dealt by rare shingles.
+LARGE = 2 * BLOCK
 #: Sets that tell which shingles are common, about, and the common ones that are kept, at most. Both affect the work alone.
 ASKED, COMMON = 2000, 1 << 20
 CACHE_WORDS = 1_000_000
@@ -243,18 +243,16 @@ def equal_bytes(rows: np.ndarray, row: np.ndarray) -> np.ndarray:
     return (rows == row).view(np.uint64).sum(axis=1).view(np.uint8).reshape(-1, 8).sum(axis=1)
 
 
-def bands_of(keys: np.ndarray, bucket: int) -> tuple[int, int]:
-    """The band that makes a bucket and -1, or the two bands that do; -1 and -1 if a shingle makes it. keys: one member's."""
-    if len(one := np.flatnonzero(keys == bucket)):
-        return int(one[0]), -1
-    both = np.argwhere(np.triu(keys[:, None] ^ (keys[None, :] << 1) == bucket, 1))
-    return (int(both[0][0]), int(both[0][1])) if len(both) else (-1, -1)
+def band_of(keys: np.ndarray, bucket: int) -> int:
+    """The band that makes a bucket, -1 if a shingle does; keys: one member's."""
+    one = np.flatnonzero(keys == bucket)
+    return int(one[0]) if len(one) else -1
 
 
 def near_pairs(a: list[tuple], b: list[tuple], bucket: int) -> list[tuple[int, int]]:
     """Positions of pairs of different components whose estimate is within reach. a, b: rows of a block's sides.
 
-    A pair that shares several bands is met in the bucket of its first band only, or in that of its first two.
+    A pair that shares several bands is met in the bucket of its first band only.
     """
     if len(a) > len(b):
         return [(y, x) for x, y in near_pairs(b, a, bucket)]
@@ -262,17 +260,12 @@ def near_pairs(a: list[tuple], b: list[tuple], bucket: int) -> list[tuple[int, i
     (one, keys_a), (two, keys_b) = read_sketches([r[SKETCH] for r in a]), read_sketches([r[SKETCH] for r in b])
     labels = np.array([r[LABEL] for r in b])
     two = np.ascontiguousarray(two)
-    first, second = bands_of(keys_b[0], bucket)
+    first = band_of(keys_b[0], bucket)
     out = []
     for k, row in enumerate(a):
         hits = np.flatnonzero((equal_bytes(two, one[k]) >= least) & (labels != row[LABEL]))
         if len(hits) and first >= 0:
-            shared = keys_b[hits] == keys_a[k]
-            met = shared.argmax(axis=1) == first
-            if second >= 0:
-                shared[:, first] = False
-                met &= (shared.argmax(axis=1) == second) & shared.any(axis=1)
-            hits = hits[met]
+            hits = hits[(keys_b[hits] == keys_a[k]).argmax(axis=1) == first]
         out += [(k, h) for h in hits.tolist()]
     return out
 
@@ -329,16 +322,6 @@ def remaining_links(members: DataFrame, labels: DataFrame, sets: DataFrame) -> D
     return dealt(full).mapInArrow(lambda b: emit(links(b), pair), "a long, b long")
 
 
-def by_two_bands(members: DataFrame, nodes: DataFrame, large: DataFrame) -> DataFrame:
-    """key, node: buckets of those that share the band of a large bucket and one more."""
-    at = members.join(large, "key", "left_semi").groupBy("node").agg(F.collect_set("key").alias("hot"))
-    bands = nodes.join(at, "node").select("node", "hot", F.posexplode("bands").alias("i", "one"), "bands")
-    pairs = bands.select("node", "hot", "i", "one", F.posexplode("bands").alias("j", "two")).filter("i < j AND (array_contains(hot, one) OR array_contains(hot, two))")
-    dealt = pairs.select(F.col("one").bitwiseXOR(F.shiftleft("two", 1)).alias("key"), "node").distinct()
-    shared = written(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key"), "near-second")
-    return dealt.join(shared, "key")
-
-
 def rarest_first(grams: np.ndarray, common: np.ndarray, times: np.ndarray) -> np.ndarray:
     """The shingles of a set in the one order: by how often the sample holds them, then by themselves; common is sorted."""
     at = np.minimum(np.searchsorted(common, grams), max(len(common) - 1, 0))
@@ -398,12 +381,8 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         dealt = members.filter("NOT is_large").select("key", "node")
         large = buckets.filter(F.col("size") > LARGE).select("key")
         if not large.isEmpty():
-            two = written(by_two_bands(members, nodes, large), "near-two-bands")
-            still = written(two.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > LARGE).select("key"), "near-still")
-            dealt = dealt.unionByName(two.join(still, "key", "left_anti"))
-            if not still.isEmpty():
-                hot = written(two.join(still, "key", "left_semi").select("node").distinct(), "near-hot")
-                dealt = dealt.unionByName(by_rare_shingles(hot, sets))
+            hot = written(members.filter("is_large").select("node").distinct(), "near-hot")
+            dealt = dealt.unionByName(by_rare_shingles(hot, sets))
         more = written(remaining_links(dealt, labels, sets), "near-links")
         if not more.isEmpty():
             labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
