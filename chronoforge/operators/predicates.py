@@ -53,7 +53,10 @@ def simple(name: str, operator: str, value: str, strict: bool = False) -> Column
     if operator.endswith("LIKE"):
         return ~like(c, value) if operator == "NOT LIKE" else like(c, value)
     if known in INT_COLUMNS and re.fullmatch(r"\s*[+-]?\d+\s*", value):
-        v = F.lit(int(value))
+        n = int(value)
+        if not -(1 << 63) <= n < 1 << 63:  # beyond all numbers of the column
+            return c.isNotNull() & F.lit({"=": False, "!=": True, ">=": n < 0, "<=": n > 0}[operator])
+        v = F.lit(n)
     else:
         c, v = c.cast("string") if known in INT_COLUMNS else c, F.lit(value)
     return {"=": c == v, "!=": c != v, ">=": c >= v, "<=": c <= v}[operator]
@@ -103,6 +106,17 @@ def date_span(request: Request) -> tuple[str, str]:
     return max(lows, default=""), min(highs, default="")
 
 
+def texts_held(request: Request) -> list[str]:
+    """Texts that each event of a request's result holds in one of SEARCH_COLUMNS, in any case; % and _ stand for others."""
+    alone = len([v for _, _, v in request.filters if v]) + bool(request.search) + bool(request.date_from and request.date_to) + request.bookmarked == 1
+    every = request.logic != "OR" or alone
+    out = [request.search] if request.search and (every or request.and_scopes) else []
+    for name, operator, value in request.filters if every else []:
+        if column_name(name) in SEARCH_COLUMNS and operator in ("LIKE", "=") and value:
+            out.append(value)
+    return out
+
+
 def _day(text: str) -> date | None:
     try:
         return date.fromisoformat(text[:10]) if re.match(r"\d{4}-\d{2}-\d{2}", text) else None
@@ -155,10 +169,16 @@ def asks_for_notes(where: str) -> bool:
     return not named or any(n.upper() == "EXAMINER" for n in named)
 
 
-def saved(text: str) -> Column | None:
-    """The condition of a saved query: JSON of a filter panel or of a raw condition."""
+def saved_request(text: str) -> Request | Column:
+    """A saved query: JSON of a filter panel, as a request, or of a raw condition."""
     state = json.loads(text)
     if state.get("advanced"):
         return raw_where(state.get("whereClause", ""))
     filters = [(f["field"], f["operator"], f["value"]) for f in state.get("filters", [])]
-    return predicate(Request(filters, state.get("logic", "AND"), date_from=state.get("dateFrom", ""), date_to=state.get("dateTo", "")))
+    return Request(filters, state.get("logic", "AND"), date_from=state.get("dateFrom", ""), date_to=state.get("dateTo", ""))
+
+
+def saved(text: str) -> Column | None:
+    """The condition of a saved query."""
+    state = saved_request(text)
+    return predicate(state) if isinstance(state, Request) else state

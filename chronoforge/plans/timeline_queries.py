@@ -14,11 +14,12 @@ from chronoforge.functions.data_types import SOURCES, source_of
 from chronoforge.functions.schema import EVENT_COLUMNS, EXPORT_COLUMNS, FREQUENCY_COLUMNS, SEARCH_COLUMNS
 from chronoforge.functions.text import MACB_JSON, MACB_OTHER, highlight, macb
 from chronoforge.functions.times import bucket_bounds, drop_offset, filetime_text, iso_to_utc, l2t_date, l2t_time
-from chronoforge.operators import aggregates, edits, pages, predicates
+from chronoforge.operators import aggregates, edits, pages, predicates, saved
 from chronoforge.operators.predicates import Request, predicate
 from chronoforge.plans.timeline_view import NOTES_SQL, TIMELINE_SQL, notes, timeline
 from chronoforge.sources import dynamic, files, imports, jsonl, l2t, store, tln
 from chronoforge.streaming.imports import live_histogram as stream_histogram
+from chronoforge.streaming.imports import write_histogram
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -288,6 +289,23 @@ def live_histogram(spark, sf):
     return spark.table(name).select(F.date_format("bucket", "yyyy-MM-dd HH:mm:ss").alias("bucket"), "cnt")
 
 
+@query(
+    "WITH e AS (SELECT date_trunc('second', ts) AS t, date_trunc('hour', ts) AS h, ts < TIMESTAMP '2024-01-20' AND event_id % 5 != 0 AS early FROM events),"
+    " m AS (SELECT max(t) FILTER (early) - INTERVAL 1 HOUR AS first, max(t) - INTERVAL 1 HOUR AS last FROM e)"
+    " SELECT strftime(h, '%Y-%m-%d %H:%M:%S') AS bucket, count(*) AS cnt FROM e, m WHERE (early OR h + INTERVAL 1 HOUR > first) AND h + INTERVAL 1 HOUR <= last GROUP BY h",
+    timeline_sql=False,
+)
+def live_histogram_late(spark, sf):
+    """Events come in two lots, the second after a restart. It holds events of closed hours, which are dropped; each hour is written once."""
+    rows, path = spark.read.parquet(f"{sf}/events.parquet"), _folder(spark)
+    early = (F.col("ts") < F.to_timestamp_ntz(F.lit("2024-01-20 00:00:00"))) & (F.col("event_id") % 5 != 0)
+    for lot in (early, ~early):
+        rows.filter(lot).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime")).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema("datetime string").parquet(f"{path}/in")
+        write_histogram(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.schema("bucket string, cnt long").parquet(f"{path}/out")
+
+
 @query(
     "SELECT 'reg' AS name, CAST(count_if(source = 'REG') AS BIGINT) AS events FROM tl UNION ALL SELECT 'either', CAST(count_if(host = 'HOST1' OR tag ILIKE '%malware%') AS BIGINT) FROM tl"
     " UNION ALL SELECT 'raw', CAST(count_if(\"desc\" ILIKE 'click%') AS BIGINT) FROM tl UNION ALL SELECT 'all', count(*) FROM tl"
@@ -302,6 +320,17 @@ def saved_query_counts(spark, sf):
     return aggregates.saved_query_counts(timeline(spark, sf), {n: predicates.saved(t) for n, t in texts.items()})
 
 
+@query(
+    "SELECT 'host ' || h.range || ' site ' || s.range AS name, (SELECT count(*) FROM tl WHERE host = 'HOST' || h.range AND \"URL\" ILIKE '%site/' || s.range || '%') AS events FROM range(7) AS h, range(50) AS s"
+    " UNION ALL SELECT 'raw ' || h.range, (SELECT count(*) FROM tl WHERE host = 'HOST' || h.range OR bookmark = 1) FROM range(7) AS h"
+)
+def saved_queries_many(spark, sf):
+    """350 queries of a panel and seven raw ones, all in one scan."""
+    panel = {f"host {h} site {k}": Request([("host", "=", f"HOST{h}"), ("URL", "LIKE", f"SITE/{k}")]) for h in range(7) for k in range(50)}
+    raw = {f"raw {h}": predicates.raw_where(f"host = 'HOST{h}' OR bookmark = 1") for h in range(7)}
+    return saved.counts(timeline(spark, sf), panel | raw)
+
+
 # -- edits: every seventh event and every second note are named
 
 
@@ -394,6 +423,14 @@ def stored_histogram(spark, sf):
     return aggregates.histogram(store.open_parquet(spark, _stored(spark, sf)), Request(date_from=DAY[0], date_to=DAY[1]))
 
 
+@query(f"SELECT {EVENT_SQL} FROM tl WHERE " + " OR ".join(f"\"{c}\" ILIKE '%SITE/4%'" for c in SEARCH_COLUMNS))
+def stored_keyword_search(spark, sf):
+    """A keyword in a store whose texts are indexed: only files that may hold it are read."""
+    path, request = _stored(spark, sf), Request(search="SITE/4")
+    store.index_texts(spark, path)
+    return pages.found(store.open_for(spark, path, request), request).select(*EVENT_COLUMNS)
+
+
 _EDITED = "SELECT record_number, CASE WHEN id % 50 = 3 THEN 'EDITED' ELSE color END AS color, CASE WHEN id % 100 = 3 THEN '2024-03-03 00:00:00' ELSE datetime END AS datetime, \"desc\" FROM tl"
 
 
@@ -501,8 +538,8 @@ def saved_queries_csv(spark, sf):
     sources = timeline(spark, sf).select(F.col("source").alias("Name")).distinct()
     sql = F.concat(F.lit("source = '"), F.col("Name"), F.lit("'\nOR bookmark = 1"))
     sources.select("Name", sql.alias("SQL"), *[F.lit("").alias(c) for c in store.SAVED_COLUMNS[2:]]).coalesce(1).write.option("header", True).csv(path)
-    saved = {r.Name: predicates.raw_where(r.SQL) for r in store.read_saved_queries(spark, path).collect()}  # a row a saved query
-    return aggregates.saved_query_counts(timeline(spark, sf), saved)
+    named = {r.Name: predicates.raw_where(r.SQL) for r in store.read_saved_queries(spark, path).collect()}  # a row a saved query
+    return aggregates.saved_query_counts(timeline(spark, sf), named)
 
 
 # -- sources: lines are rendered from the timeline, then parsed; the SQL never parses

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from py4j.protocol import Py4JJavaError
@@ -103,3 +104,25 @@ def read_text(spark: SparkSession, path: str) -> str:
         return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
     finally:
         stream.close()
+
+
+def first_line(spark: SparkSession, path: str, part: int = 1 << 16) -> str | None:
+    """First line of a text file that isn't blank, of which so much is read as it takes; None for none. Unpacks what its name says is packed."""
+    fs, where = _at(spark, path)
+    packed = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration()).getCodec(where)
+    raw = fs.open(where)
+    stream = packed.createInputStream(raw) if packed else raw
+    head = b""
+    try:
+        while True:
+            more = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(spark._jvm.org.apache.commons.io.input.BoundedInputStream(stream, part)))
+            head += more
+            lines = re.split(b"\r\n|\n|\r", head)
+            for line in lines if not more else lines[:-1]:  # the last may go on
+                if line.strip(b" "):
+                    return line.decode("utf-8", "replace")
+            if not more:
+                return None
+            head, part = lines[-1], 2 * part
+    finally:
+        stream.close()

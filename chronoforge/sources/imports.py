@@ -10,7 +10,7 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoforge.sources import delimited, dynamic, jsonl, l2t, tln
+from chronoforge.sources import delimited, dynamic, files, jsonl, l2t, tln
 
 
 def detect(path: str, first_line: str) -> str | None:
@@ -49,9 +49,9 @@ def first_lines(spark: SparkSession, paths: list[str]) -> dict[str, str]:
         found = {r["file"]: r["first"] for r in filled(lines).groupBy("file").agg(F.min_by("value", "at").alias("first")).collect()}
         by_name = {plain(k): v for k, v in found.items()}
         out = {p: by_name[plain(p)] for p in small if plain(p) in by_name}
-    with ThreadPoolExecutor(8) as pool:  # a small job a large file, which ends at the first line
-        heads = pool.map(lambda r: (r.path, filled(spark.read.text(r.path)).first()), [r for r in sizes if r.length > SMALL_FILE])
-        out |= {path: row.value for path, row in heads if row}
+    with ThreadPoolExecutor(8) as pool:  # the driver reads the head of a large file, without a job
+        heads = pool.map(lambda r: (r.path, files.first_line(spark, r.path)), [r for r in sizes if r.length > SMALL_FILE])
+        out |= {path: line for path, line in heads if line}
     return out
 
 
@@ -82,16 +82,16 @@ def read_all(spark: SparkSession, paths: list[str], multiline: bool | str = "aut
             raise ValueError(f"{file} is of no known format")
         groups.setdefault((kind, tuple(dynamic.header_of(line)) if kind == "dynamic" else ()), []).append(file)
     out = None
-    for (kind, header), files in groups.items():
-        breaks = kind in ("l2t", "dynamic") and (breaks_lines(spark, files) if multiline == "auto" else multiline)
+    for (kind, header), group in groups.items():
+        breaks = kind in ("l2t", "dynamic") and (breaks_lines(spark, group) if multiline == "auto" else multiline)
         if kind == "jsonl":
-            df = jsonl.read(spark, files)
+            df = jsonl.read(spark, group)
         elif kind == "l2t":
-            df = l2t.mark_window(l2t.read(spark, files, breaks), date_from, date_to)
+            df = l2t.mark_window(l2t.read(spark, group, breaks), date_from, date_to)
         elif kind == "dynamic":
-            df = dynamic.read(spark, files, list(header), breaks).withColumn("ok", F.lit(True))
+            df = dynamic.read(spark, group, list(header), breaks).withColumn("ok", F.lit(True))
         else:
-            df = tln.read(spark, files, 5 if kind == "tln" else 7)
+            df = tln.read(spark, group, 5 if kind == "tln" else 7)
         df = df.withColumn("import_format", F.lit(kind))
         out = df if out is None else out.unionByName(df)
     return out

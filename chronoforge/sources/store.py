@@ -7,14 +7,15 @@ import uuid
 from itertools import accumulate
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoforge.functions.schema import EVENT_COLUMNS, EVENT_SCHEMA, EXPORT_COLUMNS, FREQUENCY_COLUMNS, INT_COLUMNS, no_nulls
+from chronoforge.functions.schema import EVENT_COLUMNS, EVENT_SCHEMA, EXPORT_COLUMNS, FREQUENCY_COLUMNS, INT_COLUMNS, SEARCH_COLUMNS, no_nulls
 from chronoforge.functions.text import strip_nul
 from chronoforge.functions.times import store_time
 from chronoforge.operators import aggregates, edits
-from chronoforge.sources import files, imports
+from chronoforge.operators.predicates import Request, texts_held
+from chronoforge.sources import files, imports, trigrams
 
 STORE_SCHEMA = EVENT_SCHEMA + ", ts timestamp_ntz, import_batch string, event_date date"
 LEDGER_SCHEMA = "batch string, path string, length long, modified timestamp, file string, import_format string, events long, excluded long"
@@ -31,6 +32,7 @@ COUNT_FILES = 1000
 #   ids/               a file for each block of ids that is given out
 #   counts/            counts of values, a difference for each change
 #   ledger/            what was imported
+#   index/             trigrams of the texts of files, for searches
 # A change takes effect with COMMIT. Whoever next opens the store finishes it: files are moved to names of their own and removed by
 # name, so that it does no harm to do so twice, or two at a time. A change that ended before its COMMIT has no effect.
 
@@ -53,14 +55,14 @@ def _change(path: str) -> str:
     return f"{_journal(path)}/pending/{uuid.uuid4().hex}"
 
 
-def _commit(spark: SparkSession, path: str, change: str, remove: list[str] = (), counts: list[str] = ()) -> None:
-    """From now on the change holds. remove: files of the store; counts: files of counts."""
+def _commit(spark: SparkSession, path: str, change: str, remove: list[str] = (), beside: list[str] = ()) -> None:
+    """From now on the change holds. remove: files of the store; beside: files of its journal."""
     add = [[f"data/{f}", f"{path}/{f}"] for f in files.tables(spark, f"{change}/data", 1)]
-    add += [[f"{kind}/{f}", f"{_journal(path)}/{kind}/{f}"] for kind in ("counts", "ledger") for f in files.tables(spark, f"{change}/{kind}")]
+    add += [[f"{kind}/{f}", f"{_journal(path)}/{kind}/{f}"] for kind in ("counts", "ledger", "index") for f in files.tables(spark, f"{change}/{kind}")]
     gone = [f for f in remove if not files.exists(spark, f"{path}/{f}")]
     if gone:
         raise RuntimeError(f"another change came first: {gone[0]} is no longer there")
-    files.write_text(spark, f"{change}/COMMIT", json.dumps({"add": add, "remove": [f"{path}/{f}" for f in remove] + [f"{_journal(path)}/counts/{f}" for f in counts]}))
+    files.write_text(spark, f"{change}/COMMIT", json.dumps({"add": add, "remove": [f"{path}/{f}" for f in remove] + [f"{_journal(path)}/{f}" for f in beside]}))
 
 
 def finish(spark: SparkSession, path: str) -> None:
@@ -205,6 +207,59 @@ def open_parquet(spark: SparkSession, path: str) -> DataFrame:
     return _whole(spark, path).select("id", *EVENT_COLUMNS, "event_date")
 
 
+def index_texts(spark: SparkSession, path: str) -> int:
+    """Indexes the texts of files that are not indexed yet, for open_for; returns their number. Reads no other file of the store.
+
+    Files never change, so what is indexed stays right; files that an edit or import adds later are searched whole until the next call.
+    Entries of files that are gone go when the index has more than COUNT_FILES files.
+    """
+    finish(spark, path)
+    parts = [f"index/{f}" for f in files.tables(spark, f"{_journal(path)}/index")]
+    index = spark.read.schema(trigrams.SCHEMA).parquet(*[f"{_journal(path)}/{f}" for f in parts]) if parts else None
+    there = set(files.tables(spark, path, 1))
+    new = sorted(there - ({r.file for r in index.select("file").distinct().collect()} if parts else set()))
+    merge = len(parts) > COUNT_FILES
+    if not new and not merge:
+        return 0
+    out = None
+    if new:
+        rows = spark.read.schema(STORE_SCHEMA).option("basePath", path).parquet(*[f"{path}/{f}" for f in new])
+        out = trigrams.sketch(rows, _file_below(), SEARCH_COLUMNS)
+    if merge:
+        left = index.join(F.broadcast(spark.createDataFrame([(f,) for f in sorted(there)], "file string")), "file", "left_semi")
+        out = left if out is None else out.unionByName(left)
+    change = _change(path)
+    # a file's rows stay together, so that nobody sees some of them; sorted, so that a search reads the pages of its pieces
+    out.repartition(max(1, len(there if merge else new) // 1000), "file").sortWithinPartitions("piece").write.parquet(f"{change}/index")
+    _commit(spark, path, change, beside=parts if merge else [])
+    finish(spark, path)
+    return len(new)
+
+
+def _file_below() -> Column:
+    """A row's file as a path below its store: its last two names, decoded as touched files are."""
+    named = F.substring_index(F.col("_metadata.file_path"), "/", -2)
+    return F.url_decode(F.replace(named, F.lit("+"), F.lit("%2B")))
+
+
+def files_for(spark: SparkSession, path: str, request: Request) -> list[str]:
+    """The files of a store that may hold what a request asks for, by their texts; those that are not indexed are among them."""
+    finish(spark, path)
+    there = files.tables(spark, path, 1)
+    bits = trigrams.asked(spark, texts_held(request))
+    if not bits or not files.tables(spark, f"{_journal(path)}/index"):
+        return there
+    out = {r.file for r in trigrams.ruled_out(_beside(spark, path, "index", trigrams.SCHEMA), bits).collect()}  # a row a file
+    return [f for f in there if f not in out]
+
+
+def open_for(spark: SparkSession, path: str, request: Request) -> DataFrame:
+    """As open_parquet, without the files that can't hold what a request asks for; its condition is still to be applied (pages.found)."""
+    some = files_for(spark, path, request)
+    rows = spark.read.schema(STORE_SCHEMA).option("basePath", path).parquet(*[f"{path}/{f}" for f in some]) if some else spark.createDataFrame([], STORE_SCHEMA)
+    return rows.select("id", *EVENT_COLUMNS, "event_date")
+
+
 def metadata(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(field, value, frequency), (tag): sums of what each change counted."""
     finish(spark, path)
@@ -227,7 +282,7 @@ def refresh_metadata(spark: SparkSession, path: str) -> None:
 def _replace_counts(spark: SparkSession, path: str, counts: DataFrame) -> None:
     old, change = files.tables(spark, f"{_journal(path)}/counts"), _change(path)
     counts.write.parquet(f"{change}/counts")
-    _commit(spark, path, change, counts=old)
+    _commit(spark, path, change, beside=[f"counts/{f}" for f in old])
     finish(spark, path)
 
 
@@ -280,25 +335,6 @@ def sanitised(events: DataFrame) -> DataFrame:
     return clean.withColumn("datetime", store_time(F.col("datetime")))
 
 
-def push_jdbc(events: DataFrame, notes: DataFrame, url: str, table: str = "log2timeline", notes_table: str = "examiner_notes", **options: str) -> None:
-    """Appends events, then notes, each once, then counts values and tags anew; ValueError if there is no event.
-
-    Partitions commit one by one: use a staging table. The counts go to a table for each field and one for tags.
-    """
-    if events.isEmpty():
-        raise ValueError("the timeline is empty")
-    spark = events.sparkSession
-    sanitised(events.drop("id", "event_date")).write.mode("append").option("batchsize", 5000).options(**options).jdbc(url, table)
-    texts = [strip_nul(F.col(c)).alias(c) if c in ("description", "tag", "color") else F.col(c) for c in notes.columns if c != "id"]
-    notes.select(*texts).withColumn("datetime", store_time(F.col("datetime"))).write.mode("append").options(**options).jdbc(url, notes_table)
-    there = no_nulls(spark.read.format("jdbc").options(url=url, dbtable=table, **options).load().select(*FREQUENCY_COLUMNS, "tag"))
-    counts = aggregates.frequencies(there).persist()
-    for field in FREQUENCY_COLUMNS:  # a small table each
-        counts.filter(F.col("field") == field).select(F.col("value").alias(field), "frequency").write.mode("overwrite").options(**options).jdbc(url, f"l2t_{field}s")
-    counts.unpersist()
-    aggregates.distinct_tags(there).write.mode("overwrite").options(**options).jdbc(url, "l2t_tags")
-
-
 def read_color_template(spark: SparkSession, path: str) -> DataFrame:
     """key, color of a two-column CSV headed (type or host, colorcode); the last row of a key counts. Column ``field`` says which."""
     raw = spark.read.option("header", True).option("escape", '"').csv(path)

@@ -32,3 +32,13 @@ def live_histogram(events: DataFrame, late: str = "1 hour", bucket: str = "1 hou
     """bucket, cnt of a stream of events, by event time, with a bound on lateness."""
     ts = events.select(store_time(F.col("datetime")).cast("timestamp").alias("ts")).filter("ts IS NOT NULL").withWatermark("ts", late)
     return ts.groupBy(F.window("ts", bucket)).agg(F.count(F.lit(1)).alias("cnt")).select(F.col("window.start").alias("bucket"), "cnt")
+
+
+def write_histogram(events: DataFrame, out: str, checkpoint: str, late: str = "1 hour", bucket: str = "1 hour") -> StreamingQuery:
+    """Counts all that has come, then ends: each bucket is written to Parquet once, when the watermark has passed its end.
+
+    Run it again with its checkpoint to go on: buckets that are open are kept there, and none is written twice. Events of buckets that
+    are closed (their end is not after the greatest time seen so far, less the bound on lateness) are dropped. Read ``out`` with Spark.
+    """
+    counts = live_histogram(events, late, bucket).withColumn("bucket", F.date_format("bucket", "yyyy-MM-dd HH:mm:ss"))
+    return counts.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -7,7 +7,7 @@ from chronoforge.functions.schema import EVENT_COLUMNS, EVENT_SCHEMA, as_events
 from chronoforge.functions.times import bucket_range, expand_date, l2t_date, l2t_time
 from chronoforge.operators import aggregates, edits, pages, predicates
 from chronoforge.operators.predicates import Request
-from chronoforge.sources import dynamic, imports, jsonl, store, tln
+from chronoforge.sources import dynamic, imports, jsonl, push, store, tln
 from chronoforge.streaming import imports as live
 
 
@@ -155,11 +155,11 @@ def test_jdbc_round_trip(spark):
     url, driver = "jdbc:derby:memory:t;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
     rows = events(spark, {"datetime": "2024-01-01 00:00:00", "desc": "a\0b"}, {"datetime": "Not a time"})
     notes = spark.createDataFrame([(1, "2024-01-01 00:00:00", "n", "", "", 0)], "id long, datetime string, description string, tag string, color string, bookmark long")
-    store.push_jdbc(rows, notes, url, driver=driver)
+    push.push_jdbc(rows, notes, url, driver=driver)
     back = spark.read.format("jdbc").options(url=url, dbtable="log2timeline", driver=driver).load()
     assert sorted((str(r["datetime"]), r["desc"]) for r in back.collect()) == [("2024-01-01 00:00:00", "ab"), ("None", "")]
     with pytest.raises(ValueError, match="empty"):
-        store.push_jdbc(rows.limit(0), notes, url, driver=driver)
+        push.push_jdbc(rows.limit(0), notes, url, driver=driver)
 
 
 def test_small_csv_tables(spark, tmp_path):
@@ -368,7 +368,7 @@ def test_pushes_clean_notes_and_count_values(spark):
     url, driver = "jdbc:derby:memory:p;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
     rows = events(spark, {"datetime": "2024-01-01 00:00:00", "source": "FILE", "tag": "a, b"}, {"source": "FILE"}, {"source": "LOG"})
     notes = spark.createDataFrame([(1, "2024-01-01 00:00:00", "n\0ote", "t\0", "", 0), (2, "soon", "x", "", "", 0)], "id long, datetime string, description string, tag string, color string, bookmark long")
-    store.push_jdbc(rows, notes, url, driver=driver)
+    push.push_jdbc(rows, notes, url, driver=driver)
     table = lambda name: spark.read.format("jdbc").options(url=url, dbtable=name, driver=driver).load()
     assert sorted((r["description"], r["tag"], r["datetime"] is None) for r in table("examiner_notes").collect()) == [("note", "t", False), ("x", "", True)]
     assert {(r["source"], r["frequency"]) for r in table("l2t_sources").collect()} == {("FILE", 2), ("LOG", 1)}
