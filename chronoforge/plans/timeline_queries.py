@@ -554,8 +554,9 @@ def _with_epoch(spark, sf):
 
 
 def _lines(rows: DataFrame, line: Column) -> DataFrame:
-    """Rendered lines, dealt to all tasks as large files would be."""
-    return rows.select(line.alias("value")).repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    """Rendered lines, dealt to all tasks as large files would be. Conditions on lines stay behind the explode, so each line is rendered once."""
+    dealt = rows.select(F.array(line).alias("lines")).repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    return dealt.select(F.explode_outer("lines").alias("value"))
 
 
 @query(f"SELECT strftime(to_timestamp(e) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS datetime, source, host, \"user\", type, {_M2} AS \"MACB\", \"desc\" || ' | ' || id AS \"desc\", 'UTC' AS timezone FROM (SELECT tl.*, {_SECONDS} AS e FROM tl JOIN events ON id = event_id + 1) WHERE id % 13 != 0")
