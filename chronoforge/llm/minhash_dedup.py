@@ -15,10 +15,12 @@
      as a template shared by dissimilar documents makes them, are first dealt anew by their rarest shingles: if all
      sets are sorted in one order, two that are similar enough share a shingle among the first 15 % of each (and one more),
      whatever the order. Shingles that a sample of these members holds often come last, so that templates bring
-     nobody together. The largest component's members meet
+     nobody together. Where more than a block's worth of members is outside the largest component, all members of the bucket
+     are first dealt into blocks of fixed size, each once, and only those of one block meet; this is done anew as long
+     as it halves what is outside. Then the largest component's members meet
      the others in blocks of fixed size, spread over tasks. A block compares sketches; the
      members of pairs whose estimate is within reach (over seven standard errors below the threshold) meet
-     once more, with their full sets.
+     once more, with their full sets. A block gives a spanning forest of its links, fewer than it has members.
   A pair that shares a band thus ends up linked, in one component anyway, or refuted, unless its
   estimate is out of reach; at a similarity of 0.85 that has a probability of 5e-12 (binomial tail of
   at most 174 of 256 coordinates). All causes together miss such a pair with at most 2.2e-10.
@@ -39,7 +41,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from functools import cache
-from itertools import groupby, islice
+from itertools import count, groupby, islice
 from operator import itemgetter
 
 import numpy as np
@@ -209,11 +211,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return full.mapInArrow(run, "a long, b long")
 
 
-def _blocks(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Blocks of members of one bucket in different components: key, kind, i, j, side, node, label.
+def _live(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets with several components: key, node, label, main (the component with most members there), mains, others.
 
-    members: key, node. The component with most members in a bucket is dealt into blocks i, the
-    others into blocks j; each block i meets each block j, and the blocks j meet each other.
+    mains, others: how many blocks the members of the main component and all others make.
     """
     named = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     per = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -225,7 +226,22 @@ def _blocks(members: DataFrame, labels: DataFrame) -> DataFrame:
         F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("others"),
     )
     top = written(top, "near-top")  # a plain shuffle then, beside which a hot key's members can be split
-    live = written(named.join(top, "key"), "near-live")
+    return written(named.join(top, "key"), "near-live")
+
+
+def _own_blocks(live: DataFrame, turn: int) -> DataFrame:
+    """The members of live (see _live), each in one block, another one every turn: columns as those of _blocks."""
+    at = F.pmod(F.xxhash64(F.lit(turn), "key", "node"), F.col("mains") + F.col("others")).cast("int")
+    return live.select("key", F.lit(1).alias("kind"), at.alias("i"), at.alias("j"), F.lit(0).alias("side"), "node", "label")
+
+
+def _blocks(members: DataFrame, labels: DataFrame, live: DataFrame | None = None) -> DataFrame:
+    """Blocks of members of one bucket in different components: key, kind, i, j, side, node, label.
+
+    members: key, node; live: what _live makes of them, if known. The component with most members in a bucket is dealt into
+    blocks i, the others into blocks j; each block i meets each block j, and the blocks j meet each other.
+    """
+    live = live or _live(members, labels)
     h = F.xxhash64("key", "node")
     main = live.filter("label = main").select(
         "key", F.lit(0).alias("kind"), F.pmod(h, "mains").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("j"), F.lit(0).alias("side"), "node", "label"
@@ -286,8 +302,17 @@ def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple],
             yield block, one, two
 
 
-def remaining_links(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between components that share a bucket; at least one for each two components that have any there."""
+class Joined(dict):
+    """Components joined so far: each one's next, up to the one that stands for all."""
+
+    def find(self, x: int) -> int:
+        while (up := self.get(x, x)) != x:
+            self[x] = x = self.get(up, up)
+        return x
+
+
+def links_within(blocks: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components that meet in blocks (see _blocks), of each block a spanning forest."""
     layout = "key long, kind int, i int, j int, side int, node long, label long"
     arrow = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("node", pa.int64()), ("label", pa.int64())])
 
@@ -304,24 +329,46 @@ def remaining_links(members: DataFrame, labels: DataFrame, sets: DataFrame) -> D
     def links(batches):
         for block, one, two in block_rows(batches):
             ga, gb = ([np.frombuffer(r[GRAMS], np.uint64) for r in side] for side in (one, two))
-            joined: set[tuple[int, int]] = set()
+            joined = Joined()
             for p, q in near_pairs(one, two, block[0][0]):
-                la, lb = one[p][LABEL], two[q][LABEL]
-                if (la, lb) not in joined and linked(ga[p], gb[q]):
-                    joined |= {(la, lb), (lb, la)}
+                x, y = joined.find(one[p][LABEL]), joined.find(two[q][LABEL])
+                if x != y and (p < q or one is not two) and linked(ga[p], gb[q]):
+                    joined[x] = y
                     yield one[p][NODE], two[q][NODE]
 
     def dealt(blocks: DataFrame) -> DataFrame:
         return blocks.repartition(*KEY).sortWithinPartitions(*KEY, "side", "node")
 
     columns = [*KEY, "side", "node", "label", "sketch"]
-    met = _blocks(members, labels).join(sets.select("node", "sketch"), "node").select(*columns)
+    met = blocks.join(sets.select("node", "sketch"), "node").select(*columns)
     close = dealt(met).mapInArrow(lambda b: emit(close_rows(b), arrow), layout)
     full = written(close, "near-reach").join(sets, "node").select(*columns, "grams")
     pair = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     return dealt(full).mapInArrow(lambda b: emit(links(b), pair), "a long, b long")
 
 
+def with_links(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (see components) with links (a, b) added."""
+    return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links))
+
+
+def join_buckets(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """The labels with all links between the members (key, node) of one bucket."""
+    before = None
+    for turn in count():
+        live = _live(members, labels)
+        wide = live.filter("others > 1")
+        outside = wide.filter("label != main").count()
+        if not outside or (before is not None and 2 * outside > before):
+            break
+        more = written(links_within(_own_blocks(wide, turn), sets), "near-links")
+        if more.isEmpty():
+            break
+        before, labels = outside, with_links(labels, more)
+    more = written(links_within(_blocks(members, labels, live), sets), "near-links")
+    return labels if more.isEmpty() else with_links(labels, more)
+
+
 def rarest_first(grams: np.ndarray, common: np.ndarray, times: np.ndarray) -> np.ndarray:
     """The shingles of a set in the one order: by how often the sample holds them, then by themselves; common is sorted."""
     at = np.minimum(np.searchsorted(common, grams), max(len(common) - 1, 0))
@@ -383,9 +430,7 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if not large.isEmpty():
             hot = written(members.filter("is_large").select("node").distinct(), "near-hot")
             dealt = dealt.unionByName(by_rare_shingles(hot, sets))
-        more = written(remaining_links(dealt, labels, sets), "near-links")
-        if not more.isEmpty():
-            labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
+        labels = join_buckets(dealt, labels, sets)
         of = classes.join(labels, "node").select("node", "label", "lead")
         led = of.select("node", "label").join(written(of.groupBy("label").agg(F.min("lead").alias("led_by")), "near-leads"), "label")
         found = classes.join(led.select("node", "led_by"), "node", "left").select("set_id", F.coalesce("led_by", "lead").alias("lead"))

@@ -119,6 +119,31 @@ def test_near_dedup_of_many_variants_equals_brute_force(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("block", [30, 512])
+def test_links_of_a_large_group_grow_with_its_size(spark, monkeypatch, block):
+    rng = np.random.default_rng(6)
+    base, rows = rng.choice(VOCAB, 160), [(0, prose(160))]
+    for k in range(1, 120):  # all near each other
+        words = base.copy()
+        words[rng.integers(0, 160)] = "new"
+        rows.append((k, " ".join(words)))
+    want, links, write = near_brute_force(rows), [], minhash_dedup.written
+
+    def counted(df, name, outlive=False):
+        out = write(df, name, outlive)
+        links.extend([out.count()] if name == "near-links" else [])
+        return out
+
+    monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+    monkeypatch.setattr(minhash_dedup, "written", counted)
+    verified = minhash_dedup.verified
+    monkeypatch.setattr(minhash_dedup, "verified", lambda *a: verified(*a).limit(0))  # stars that find nothing
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.component_id for r in minhash_dedup.mark_near_copies(docs).collect()} == want
+    assert len(set(want.values())) == 2
+    assert sum(links) < 10 * len(rows), links
+
+
 def test_texts_without_an_id_link_others(spark):
     rng = np.random.default_rng(4)
     words = [str(w) for w in rng.choice(VOCAB, 200)]
