@@ -356,6 +356,36 @@ def test_packing_merges_what_tasks_leave(spark):
     assert got[0] <= got[1] / 4096 * 1.1 + 1
 
 
+def test_packing_takes_underfull_sequences_apart():
+    loads = [[2100, 600], [1900, 800], [1400]]  # no two fit together, their pieces fit into two
+    rows = [
+        {"sequence_id": k, "key": k, "load": sum(s), "items": [{"doc_id": 10 * k + i, "piece": 0, "start": 0, "length": n, "ids_crc32": 0, "offset": sum(s[:i])} for i, n in enumerate(s)]}
+        for k, s in enumerate(loads)
+    ]
+    got = packing.pack_together(rows, 4096, 16, [5, 6, 7].__getitem__)
+    assert sorted(b["load"] for b in got) == [2800, 4000] and {b["sequence_id"] for b in got} <= {5, 6, 7}
+    assert sorted(i["doc_id"] for b in got for i in b["items"]) == [0, 1, 10, 11, 20]
+    for b in got:
+        assert [i["offset"] for i in b["items"]] == [sum(j["length"] for j in b["items"][:k]) for k in range(len(b["items"]))]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_packing_of_few_documents_a_task_is_tight(seed):
+    rng = np.random.default_rng(seed)
+    docs = [int(4.2 * (200 + 37 * k % 1500)) + int(rng.integers(-60, 60)) for k in range(60)]
+    cut = [(k, p, p * 4096, min(4096, n - p * 4096), 0) for k, n in enumerate(docs) for p in range(-(-n // 4096))]
+    deal = rng.permutation(60) % 20
+    at, done = [packing.pack_pieces((c for c in cut if deal[c[0]] == t), 4096, 16, t << 32) for t in range(20)], []
+    while True:
+        done += [b for t in at for b in t if b["done"] or len(at) == 1]
+        if len(at) == 1:
+            break
+        some = [[b | {"key": b["sequence_id"]} for t in at[k : k + 8] for b in t if not b["done"]] for k in range(0, len(at), 8)]
+        at = [packing.pack_together(rows, 4096, 16, sorted(r["sequence_id"] for r in rows).__getitem__) for rows in some]
+    assert sorted((i["doc_id"], i["piece"]) for b in done for i in b["items"]) == sorted(c[:2] for c in cut)
+    assert len(done) <= sum(docs) / 4096 * 1.1 + 1
+
+
 def test_word_ids_equal_the_tokenizer(corpus):
     from tokenizers import Tokenizer
 
